@@ -77,8 +77,9 @@ class WordIds:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            for w in set(words) - known.keys():
-                known[w] = self._chunk(w)
+            for w in set(words):
+                if w not in known:
+                    known[w] = self._chunk(w)
             out = b"".join([known[w] for w in words])
         if len(known) > _CACHE_ENTRIES:
             known.clear()
