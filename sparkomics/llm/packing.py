@@ -13,6 +13,7 @@ empty results. Further columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,11 @@ SEARCH_NODES = 400
 #: How the tokenizer's own pre-tokenizer splits a text without white space.
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+#: Characters that no normalisation changes and whose lower case is plain.
+_SIMPLE = regex.compile(r"[!-~À-ɏ]*")
+#: Byte-level vocabularies write the bytes without a printable letter of their own as the letters from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _CACHE_ENTRIES = 1_200_000
 
 
@@ -51,23 +57,33 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a lower-case pre-token, straight from the tokenizer's model, in the letters that it gives to bytes."""
+        letters = part if part.isascii() else part.encode().decode("latin1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        packed = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
 
     def _chunk(self, chunk: str) -> bytes:
         low = chunk.lower()
-        if "<|" in chunk or not (low.isascii() or regex.fullmatch(r"[\x00-\x7fÀ-ɏ]*", low)):
+        if not _SIMPLE.fullmatch(low) or "<|" in chunk:
             return self._plain(chunk)
-        out = []
-        for part in _PRE_TOKEN.findall(low):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.parts[part] = self._plain(part)
-            out.append(ids)
-        return b"".join(out)
+        if low.isalpha():
+            parts = [low]
+        elif low[:-1].isalpha() and low[-1] in ".,":
+            parts = [low[:-1], low[-1]]
+        else:
+            parts = _PRE_TOKEN.findall(low)
+        known = self.parts
+        return b"".join([known.get(p) or self._part(p) for p in parts])
 
     def ids(self, text: str) -> bytes:
         if _SEPARATORS.search(text):
@@ -102,7 +118,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        enc, tail = encoder(tokenizer_path), struct.pack("<I", end_id)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
