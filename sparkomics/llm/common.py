@@ -53,6 +53,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def row_slices(offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most `most` bytes together, or a single longer row."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield at, end
+        at = end
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = h ^ (h >> np.uint64(32))
