@@ -1,6 +1,6 @@
 """Benchmark decontamination: item-sized windows of documents against the items of a benchmark.
 
-Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. For every item a window of as many words
+Words are runs of letters, digits and non-ASCII characters of the lower-cased text. For every item a window of as many words
 slides over the documents. Windows and items have 64-bit SimHash fingerprints of their words; a multi-index of
 RADIUS + 1 blocks finds every item within RADIUS bits, since two such fingerprints agree in one block at least. Candidates
 are then verified exactly: the weighted Jaccard similarity of their 5-word shingles, each weighing its count times
@@ -23,10 +23,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hash_words, row_slices, run_hashes, stored, text_bytes
+from .common import hash_words, row_slices, run_hashes, stored, text_bytes
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -43,10 +44,10 @@ _FILTER_BITS = 22
 
 def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, words before each row) for slices of a text column."""
-    data, offsets = text_bytes(column)
+    data, offsets = text_bytes(pc.utf8_lower(column))
     for a, b in row_slices(offsets):
         part = offsets[a : b + 1]
-        words, _, before = hash_words(data[part[0] : part[-1]], part - part[0], _NO_WORD, LOWER)
+        words, _, before = hash_words(data[part[0] : part[-1]], part - part[0], _NO_WORD)
         yield a, words, before
 
 
