@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -83,12 +84,21 @@ def _powers(k: np.ndarray) -> np.ndarray:
     return p
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE, lower: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash of every word, its first byte, words before each row): words are runs of bytes outside `space`.
+class Words(NamedTuple):
+    """Words of several rows in order: hash, first byte, bytes; and the number of words before each row."""
+
+    hash: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    before: np.ndarray
+
+
+def hash_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE, lower: np.ndarray = LOWER) -> Words:
+    """The words, runs of bytes outside `space`, with 64-bit hashes of their bytes after `lower`.
 
     Memory is bounded: the bytes are taken in chunks that end between two words.
     """
-    hashes, starts = [], []
+    hashes, starts, lengths = [], [], []
     row_start = np.zeros(len(data) + 1, dtype=bool)
     row_start[offsets] = True
     at, n = 0, len(data)
@@ -107,13 +117,15 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPA
             first = np.flatnonzero(begins)
             word = np.cumsum(begins[where]) - 1
             value = (lower[part[where]].astype(np.uint64) + np.uint64(1)) * _powers(where - first[word])
-            hashes.append(np.add.reduceat(value, np.searchsorted(where, first)))
+            at_first = np.searchsorted(where, first)
+            hashes.append(np.add.reduceat(value, at_first))
             starts.append(first + at)
+            lengths.append(np.diff(at_first, append=len(where)))
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
     start = np.concatenate(starts)
-    return mix(np.concatenate(hashes)), start, np.searchsorted(start, offsets)
+    return Words(mix(np.concatenate(hashes)), start, np.concatenate(lengths), np.searchsorted(start, offsets))
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -124,10 +136,3 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         h = (h + words[k : len(words) - n + 1 + k]) * _BASE
     return mix(h)
-
-
-def arrow_batches(columns: dict[str, pa.DataType], rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-    """Record batches of the given columns from dicts of arrays."""
-    schema = pa.schema(list(columns.items()))
-    for r in rows:
-        yield pa.record_batch([r[k] if isinstance(r[k], pa.Array) else pa.array(r[k], t) for k, t in columns.items()], schema=schema)

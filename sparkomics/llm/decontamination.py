@@ -47,8 +47,8 @@ def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data, offsets = text_bytes(pc.utf8_lower(column))
     for a, b in row_slices(offsets):
         part = offsets[a : b + 1]
-        words, _, before = hash_words(data[part[0] : part[-1]], part - part[0], _NO_WORD)
-        yield a, words, before
+        words = hash_words(data[part[0] : part[-1]], part - part[0], _NO_WORD)
+        yield a, words.hash, words.before
 
 
 def fingerprints(words: np.ndarray, n: int) -> np.ndarray:
