@@ -1,9 +1,9 @@
 """Personal data: base patterns, and terms that disclose what the patterns protect.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Corpus co-occurrence then tells how far
-a term reveals a protected entity: over distinct lines as contexts, the pointwise mutual information of term and
-entity, as a part of the entity's information content. Terms at or over `disclosure` that `support` or more different
-lines bear out are spans too, wherever they stand in a line with that entity; in sanitised texts they are generalised
+a term reveals a protected entity: over all lines as contexts, the pointwise mutual information of term and entity, as
+a part of the entity's information content. Terms at or over `disclosure` that `support` or more different lines bear
+out are spans too, wherever they stand in a line with that entity; in sanitised texts they are generalised
 to a placeholder, or removed at or over `removal`. DataFrame operations only.
 
 Nulls: a null text is empty and has no spans; a null doc_id stays null. Repeated rows give one result row each. Spans
@@ -117,26 +117,27 @@ def disclosing_terms(docs: DataFrame, lines: DataFrame, spans: DataFrame, disclo
     """value, term, ratio: terms whose co-occurrence with an entity discloses it."""
     terms = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(TERM), F.lit(0)), F.lower))
     told = spans.select("row", "line_no", "line_id", "value").distinct()
-    entity = told.groupBy("value").agg(F.count_distinct("line_id").alias("n_e"))
+    entity = told.groupBy("value").agg(F.count("*").alias("n_e"))
     pairs = (
         told.join(lines.select("row", "line_no", "line"), ["row", "line_no"])
         .select("value", "line_id", F.explode(terms(F.col("line"))).alias("term"))
+        .groupBy("value", "term", "line_id")
+        .agg(F.count("*").alias("n"))
         .groupBy("value", "term")
-        .agg(F.count_distinct("line_id").alias("n_et"))
-        .filter(F.col("n_et") >= support)
+        .agg(F.sum("n").alias("n_et"), F.count("*").alias("different"))
+        .filter(F.col("different") >= support)
     )
     pairs = stored(pairs.join(entity, "value"), "pii-pairs")
     wanted = pairs.select("term").distinct()
-    every = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)).alias("line"))
     few = wanted.limit(BROADCAST_TERMS + 1).count()
     if not few:
         return pairs.select("value", "term", F.lit(0.0).alias("ratio")).limit(0)
-    total = every.select(F.xxhash64("line").alias("line_id")).groupBy("line_id").agg(F.lit(1).alias("one")).agg(F.count("*").alias("n"))
-    uses = every.select(F.xxhash64("line").alias("line_id"), F.explode(terms(F.col("line"))).alias("term"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n = F.lit(float(docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0]))
+    uses = docs.select(F.explode(F.split(text, "\n", -1)).alias("line")).select(F.explode(terms(F.col("line"))).alias("term"))
     if few <= BROADCAST_TERMS:
         uses = uses.join(F.broadcast(wanted), "term", "left_semi")
-    term = uses.groupBy("term", "line_id").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(total.first()["n"]))
+    term = uses.groupBy("term").agg(F.count("*").alias("n_t"))
     ratio = F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / F.log(n / F.col("n_e"))
     joined = pairs.join(term, "term").filter(F.col("n_e") < n)
     return joined.select("value", "term", ratio.alias("ratio")).filter(F.col("ratio") >= disclosure)
