@@ -22,6 +22,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import build, recount, revision
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    return recount(revision(build(table(spark, sf_dir, "documents"), ranks)), ranks)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
