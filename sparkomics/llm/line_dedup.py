@@ -7,7 +7,7 @@ with the same one, if it is smaller itself.
 
 The join splits each line into threshold + 1 segments. A line within the threshold of it and at least as long holds one
 of them unchanged, near its place; so lines meet over hashes of (length, segment, substring), with the places that
-length and segment still allow. Pairs that meet must have close counts of several sets of letters, and are verified by
+length and segment still allow. Pairs that meet must have close counts of several letters, and are verified by
 banded bit-parallel edit distance. DataFrame operations only.
 
 Nulls: a null text is empty. Rows with one doc_id, null among them, are one document here: a line that several of them
@@ -25,8 +25,10 @@ from .common import stored
 THRESHOLD = 1
 MIN_CHARS = 40
 
-#: Sets of letters whose counts in two lines differ by the threshold at most.
-LETTER_SETS = ("aeiAEI", "oushOUSH", "tnrTNR", "dlcmwDLCMW")
+#: Letters whose counts in two lines differ by the threshold at most.
+LETTERS = "etna"
+#: Lines of so many candidate pairs are picked out by a broadcast of their hashes; more by a join.
+BROADCAST_LINES = 500_000
 
 
 def lines_of(text: Column) -> Column:
@@ -44,10 +46,10 @@ def document_key(docs: DataFrame) -> list[Column]:
 
 
 def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """line, first_doc, n (documents that hold it), h, c."""
+    """line, first_doc, n (documents that hold it), h, c, size, letters (their counts, packed)."""
     lines = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), lambda x: F.trim(x)), lambda x: F.length(x) >= min_chars))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.explode(lines).alias("line"))
-    return rows.groupBy("line").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).select("*", *line_key(F.col("line")))
+    return rows.groupBy("line").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).select("*", *line_key(F.col("line")), F.length("line").alias("size"), letter_counts(F.col("line")).alias("letters"))
 
 
 def _segment(size: Column, i: int, segments: int) -> tuple[Column, Column]:
@@ -62,14 +64,13 @@ def _key(line: Column, size: Column, i: int, start: Column, length: Column) -> C
     return F.xxhash64(size.cast("long"), F.lit(i), F.substr(line, (start + 1).cast("int"), length.cast("int")))
 
 
-def index_keys(line: Column, threshold: int) -> Column:
-    size = F.length(line)
+def index_keys(line: Column, size: Column, threshold: int) -> Column:
     return F.array(*[_key(line, size, i, *_segment(size, i, threshold + 1)) for i in range(threshold + 1)])
 
 
-def probe_keys(line: Column, threshold: int) -> Column:
+def probe_keys(line: Column, size: Column, threshold: int) -> Column:
     """Keys of all substrings that a segment of a line as long or up to `threshold` shorter can equal."""
-    size, keys = F.length(line), []
+    keys = []
     for shorter in range(threshold + 1):
         target = size - shorter
         for i in range(threshold + 1):
@@ -83,18 +84,18 @@ def probe_keys(line: Column, threshold: int) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of LETTER_SETS, 15 bits each."""
+    """Counts of LETTERS, 15 bits each."""
     packed = F.lit(0).cast("long")
-    for k, letters in enumerate(LETTER_SETS):
-        n = F.least(F.length(line) - F.length(F.translate(line, letters, "")), F.lit(32767)).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(n, 15 * k))
+    for k, letter in enumerate(LETTERS):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        packed = packed.bitwiseOR(F.shiftleft(F.least(n, F.lit(32767)).cast("long"), 15 * k))
     return packed
 
 
 def _close_counts(a: Column, b: Column, threshold: int) -> Column:
     part = lambda x, k: F.shiftright(x, 15 * k).bitwiseAND(F.lit(32767))
     close = F.lit(True)
-    for k in range(len(LETTER_SETS)):
+    for k in range(len(LETTERS)):
         close = close & (F.abs(part(a, k) - part(b, k)) <= threshold)
     return close
 
@@ -151,9 +152,8 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
 def edit_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """a_h, a_c, b_h, b_c: pairs of different lines within the threshold, a before b. `lines` is a stored table."""
-    known = lines.select("h", "c", F.length("line").alias("size"), letter_counts(F.col("line")).alias("letters"), "line")
-    index = known.select(F.explode(index_keys(F.col("line"), threshold)).alias("key"), F.col("h").alias("a_h"), F.col("c").alias("a_c"), F.col("letters").alias("a_letters"))
-    probe = known.select(F.explode(probe_keys(F.col("line"), threshold)).alias("key"), F.col("h").alias("b_h"), F.col("c").alias("b_c"), F.col("letters").alias("b_letters"))
+    index = lines.select(F.explode(index_keys(F.col("line"), F.col("size"), threshold)).alias("key"), F.col("h").alias("a_h"), F.col("c").alias("a_c"), F.col("letters").alias("a_letters"))
+    probe = lines.select(F.explode(probe_keys(F.col("line"), F.col("size"), threshold)).alias("key"), F.col("h").alias("b_h"), F.col("c").alias("b_c"), F.col("letters").alias("b_letters"))
     other = (F.col("a_h") != F.col("b_h")) | (F.col("a_c") != F.col("b_c"))
     met = index.join(probe, (index["key"] == probe["key"]) & other & _close_counts(F.col("a_letters"), F.col("b_letters"), threshold))
     # Lines of one length meet both ways; which of them is earlier is only known with the lines.
@@ -166,7 +166,9 @@ def edit_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     ).distinct()
     pairs = stored(pairs, "line-pairs")
     wanted = pairs.select(F.col("a_h").alias("h"), F.col("a_c").alias("c")).union(pairs.select("b_h", "b_c")).distinct()
-    texts = stored(lines.join(wanted, ["h", "c"], "left_semi").select("h", "c", "line", "first_doc"), "pair-lines")
+    wanted = stored(wanted, "pair-keys")
+    few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    texts = stored(lines.join(F.broadcast(wanted) if few else wanted, ["h", "c"], "left_semi").select("h", "c", "line", "first_doc"), "pair-lines")
     side = lambda p: texts.select(F.col("h").alias(f"{p}_h"), F.col("c").alias(f"{p}_c"), F.col("first_doc").alias(f"{p}_doc"), F.split("line", "").alias(p), F.col("line").alias(f"{p}_line"))
     both = pairs.join(side("a"), ["a_h", "a_c"]).join(side("b"), ["b_h", "b_c"])
     close = both.filter(within(F.col("a"), F.col("b"), threshold))
