@@ -1,9 +1,13 @@
 """All registered queries of the reference's own operators."""
 
+from __future__ import annotations
+
+from sparkomics.plans.queries import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
