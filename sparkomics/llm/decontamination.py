@@ -6,8 +6,8 @@ RADIUS + 1 blocks finds every item within RADIUS bits, since two such fingerprin
 are then verified exactly: the weighted Jaccard similarity of their 5-word shingles, each weighing its count times
 ln(1 + items / items that have it), must be THRESHOLD or more.
 
-A window without any shingle of the benchmark has similarity 0, so that only windows around shared shingles are
-fingerprinted. The benchmark goes to the tasks in blocks of a bounded number of items, one pass over the documents each.
+A window's similarity is at most the weight of its shingles that the benchmark has, by the item's weight; windows that
+can't reach the threshold with any item of their size aren't fingerprinted. The benchmark goes to the tasks in blocks of a bounded number of items, one pass over the documents each.
 
 Nulls: a null text is empty, and an empty text has no window; a null doc_id stays null; items without item_id or with
 fewer than 5 words are too short to tell a leak from chance and are not sought. Repeated rows are all searched; of items
@@ -74,18 +74,20 @@ class ItemIndex:
         self.filter[self.shingles & np.uint64((1 << _FILTER_BITS) - 1)] = True
         self.ids = np.array([i for i, _ in items], dtype=np.int64)
         self.bags = [Counter(run_hashes(w, SHINGLE).tolist()) for _, w in items]
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, list[dict[int, list[int]]]]] = {}
+        self.totals = np.array([sum(weights.get(g, rare) * n for g, n in bag.items()) for bag in self.bags])
+        self.lengths_of: dict[int, set[int]] = defaultdict(set)  # of the items that have a shingle
+        for bag, (_, w) in zip(self.bags, items):
+            for g in bag:
+                self.lengths_of[g].add(len(w))
+        # By length: items, fingerprints, least total weight, and the multi-index: for each block its sorted values and
+        # whose they are.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, float, list[tuple[np.ndarray, np.ndarray]]]] = {}
         lengths = np.array([len(w) for _, w in items])
         for n in np.unique(lengths):
             at = np.flatnonzero(lengths == n)
             prints = np.concatenate([fingerprints(items[i][1], int(n)) for i in at])
-            tables = []
-            for block in blocks_of(prints, radius):
-                found = defaultdict(list)
-                for k, v in enumerate(block.tolist()):
-                    found[v].append(k)
-                tables.append(dict(found))
-            self.by_length[int(n)] = at, prints, tables
+            orders = [(np.sort(block), np.argsort(block)) for block in blocks_of(prints, radius)]
+            self.by_length[int(n)] = at, prints, self.totals[at].min(), orders
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Positions of the shingles that an item has."""
@@ -102,32 +104,50 @@ class ItemIndex:
             either += weight * max(a, b)
         return both / either
 
+    def near(self, found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item's place, distance) of all fingerprints within the radius, nearest first."""
+        _, prints, _, tables = self.by_length[n]
+        pairs = []
+        for block, (values, whose) in zip(blocks_of(found, self.radius), tables):
+            low = np.searchsorted(values, block, side="left")
+            count = np.searchsorted(values, block, side="right") - low
+            if total := int(count.sum()):
+                at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)
+                pairs.append(np.repeat(np.arange(len(found)), count) * len(prints) + whose[at])
+        pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        window, item = pair // len(prints), pair % len(prints)
+        distance = np.bitwise_count(found[window] ^ prints[item])
+        order = np.lexsort((window, distance))
+        order = order[distance[order] <= self.radius]
+        return window[order], item[order], distance[order]
+
     def search(self, words: np.ndarray, hits: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, float]]:
         """(item_id, first word, words, similarity) of the best window for each item found in one document."""
         grams = run_hashes(words, SHINGLE)
         best: dict[int, tuple[float, int]] = {}
-        for n, (at, prints, tables) in self.by_length.items():
+        hits_of: dict[int, list[int]] = defaultdict(list)
+        for at, g in zip(hits.tolist(), grams[hits].tolist()):
+            for n in self.lengths_of[g]:
+                hits_of[n].append(at)
+        for n, own_hits in hits_of.items():
             if n > len(words):
                 continue
-            around = np.zeros(len(words) + 1, dtype=np.int32)  # starts of windows of n words that hold a hit
-            np.add.at(around, np.maximum(hits - n + SHINGLE, 0), 1)
-            np.add.at(around, hits + 1, -1)
-            starts = np.flatnonzero(np.cumsum(around)[: len(words) - n + 1] > 0)
-            # Runs of starts share most of their words.
+            at, _, least, _ = self.by_length[n]
+            shared = np.zeros(len(words) + 1)  # weight before each word of shingles that items of n words have
+            shared[np.array(own_hits) + 1] = [self.weights.get(g, self.rare) for g in grams[own_hits].tolist()]
+            shared = np.cumsum(shared)
+            # A window's similarity is its shared weight by the item's weight at most.
+            within = shared[n - SHINGLE + 1 : len(words) - SHINGLE + 2] - shared[: len(words) - n + 1]
+            starts = np.flatnonzero(within >= threshold * least * (1 - 1e-9))
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else ():
-                found = fingerprints(words[run[0] : run[-1] + n], n)
-                pairs = set()
-                for block, table in zip(blocks_of(found, self.radius), tables):
-                    for w, v in enumerate(block.tolist()):
-                        pairs.update((w, k) for k in table.get(v, ()))
-                if not pairs:
-                    continue
-                w, k = np.array(sorted(pairs)).T
-                close = np.bitwise_count(found[w] ^ prints[k]) <= self.radius
-                for w, k in zip(w[close].tolist(), k[close].tolist()):
+                window, place, _ = self.near(fingerprints(words[run[0] : run[-1] + n], n), n)
+                for w, k in zip(window.tolist(), place.tolist()):
                     start, item = int(run[0]) + w, int(at[k])
+                    found = best.get(item, (0.0, 0))
+                    if found[0] >= 1 or within[start] < threshold * self.totals[item] * (1 - 1e-9):
+                        continue
                     value = self.similarity(Counter(grams[start : start + n - SHINGLE + 1].tolist()), item)
-                    if value >= threshold and value > best.get(item, (0.0, 0))[0]:
+                    if value >= threshold and (value > found[0] or (value == found[0] and start < found[1])):
                         best[item] = value, start
         for item, (value, start) in sorted(best.items()):
             yield int(self.ids[item]), start, sum(self.bags[item].values()) + SHINGLE - 1, value
