@@ -9,10 +9,10 @@ the first n - ceil(threshold * n) + 1 of each. Three orders are used:
    dealt by shingle; classes that meet and whose sizes and places allow the similarity are candidates.
 2., 3. the shingles' hashes, ascending and descending. Candidates must share prefixes under both.
 
-What is left is verified by exact intersection. A shingle that many classes have in their prefixes (a bucket over
-SMALL_BUCKET) first links all to one of them that differs from shingle to shingle. When components are known, those of
-its classes that are still apart are compared pair by pair; so no link between components is lost, and no pairs are made
-within a component.
+What is left is verified by intersection. The classes that share a shingle in their prefixes, its bucket, are first
+compared with one of them: the one that comes first in all buckets, or, in buckets over SMALL_BUCKET, one that differs
+from shingle to shingle. When components are known, those of its classes that are still apart are compared pair by pair;
+so no link between components is lost, and no pairs are made within a component.
 
 Nulls: a null text has an empty set; empty sets are linked with nothing, nor are rows without doc_id, whose component_id
 is null. Rows that share a doc_id are documents of their own. Ties: none, components don't depend on order. Repeated
@@ -41,6 +41,7 @@ FREQUENT = 4
 FREQUENT_SHINGLES = 1 << 18
 #: Sets of so many classes are picked out while the texts are read; more by a join.
 BROADCAST_CLASSES = 4_000_000
+SLACK = 4
 
 
 def prefix_size(n, percent: int):
@@ -155,67 +156,86 @@ def _can_reach(n_a, n_b, place_a, place_b, percent: int, least):
 
 
 def meetings(prefix: DataFrame, percent: int, small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """a, b: candidate classes; with b null, a is in a large bucket of `shingle`, with its n and place.
+    """a, b: candidate classes; with b null, a is in a bucket of three or more of `shingle`, with its n and place.
 
-    Rows come sorted by bucket; no more than `small_bucket` of one are held at once. Buckets of frequent shingles are
-    salted and always count as large.
+    Rows come sorted by bucket, in one order of classes; no more than `small_bucket` of one are held at once. Buckets of
+    frequent shingles are salted and always count as large.
     """
     schema = "a long, b long, shingle long, n int, place int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, large = None, [], False
+        bucket, held, large = (0, 0), [], False
         out: list[tuple] = []
         seen: set[tuple[int, int]] = set()
 
         def pair(x: tuple, y: tuple) -> None:
             both = (x[0], y[0]) if x[0] < y[0] else (y[0], x[0])
-            if both not in seen:
+            if both not in seen and _can_reach(x[1], y[1], x[2], y[2], percent, min):
                 seen.add(both)
                 out.append((*both, None, None, None))
 
+        def member(x: tuple) -> None:
+            out.append((x[0], None, bucket[0], x[1], x[2]))
+
+        def finish() -> None:
+            """A small bucket's end: all are candidates with its first class, which similar buckets share."""
+            if not large:
+                for x in held[1:]:
+                    pair(held[0], x)
+                for x in held if len(held) > 2 else ():
+                    member(x)
+
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [[]] * 5
+            out.clear()
+            if len(seen) > 500_000:
+                seen.clear()
+            types = [pa.int64()] * 3 + [pa.int32()] * 2
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["a", "b", "shingle", "n", "place"])
+
         for batch in batches:
             shingle, salt, cls, n, place, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             edge = np.ones(len(shingle) + 1, dtype=bool)
             edge[1:-1] = (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])
-            runs = np.flatnonzero(edge).tolist()
-            for a, b in zip(runs, runs[1:]):
+            runs = np.flatnonzero(edge)
+            use = (np.diff(runs) > 1) | hot[runs[:-1]]
+            use[:1] = use[-1:] = True  # may go on in another batch
+            for a, b in zip(runs[:-1][use].tolist(), runs[1:][use].tolist()):
                 now = (int(shingle[a]), int(salt[a]))
                 if now != bucket:
+                    finish()
                     bucket, held, large = now, [], bool(hot[a])
-                if b - a == 1 and not held and not large and b < len(shingle):
-                    continue  # alone in its bucket
                 for x in zip(cls[a:b].tolist(), n[a:b].tolist(), place[a:b].tolist()):
-                    if any(x[0] == y[0] for y in held):
+                    if held and x[0] == held[-1][0]:
                         continue
                     if not large and len(held) == small_bucket:
                         large = True
-                        out.extend((y[0], None, bucket[0], y[1], y[2]) for y in held)
-                        del held[1:]
+                        centre = held[bucket[0] % small_bucket]
+                        for y in held:
+                            member(y)
+                            if y is not centre:
+                                pair(centre, y)
+                        held = [centre]
                     if large:
-                        out.append((x[0], None, bucket[0], x[1], x[2]))
-                        if held:
+                        member(x)
+                        if not held:
+                            held = [x]
+                        elif x[0] != held[0][0]:
                             pair(held[0], x)
-                        else:
-                            held.append(x)
                     else:
-                        for y in held:
-                            if _can_reach(x[1], y[1], x[2], y[2], percent, min):
-                                pair(x, y)
                         held.append(x)
-            if len(seen) > 500_000:
-                seen.clear()
-            columns = list(zip(*out)) if out else [[]] * 5
-            types = [pa.int64()] * 3 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["a", "b", "shingle", "n", "place"])
-            out.clear()
+            yield rows()
+        finish()
+        yield rows()
 
     salt = F.when(F.col("hot"), F.pmod("class", F.lit(16))).otherwise(0).cast("int").alias("salt")
     dealt = prefix.select("shingle", salt, "class", "n", "place", "hot").repartition("shingle", "salt")
-    return dealt.sortWithinPartitions("shingle", "salt", F.xxhash64("shingle", "class")).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions("shingle", "salt", F.xxhash64("class"), "class").mapInArrow(run, schema)
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, info: DataFrame, shingle: int) -> DataFrame:
-    """class, n, shingles (ascending by hash) of the `wanted` classes, each from the row of its smallest doc_id."""
+def class_sets(docs: DataFrame, wanted: DataFrame, info: DataFrame, shingle: int, bits: int = 64) -> DataFrame:
+    """class, n, shingles (ascending by hash; the first 32 or all 64 bits) of the `wanted` classes, each from the rows of
+    its smallest doc_id."""
     owners = stored(info.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")), "owners")
     few = owners.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     local = owners.toArrow().sort_by("class") if few else None
@@ -231,22 +251,41 @@ def class_sets(docs: DataFrame, wanted: DataFrame, info: DataFrame, shingle: int
                 rows = rows[(classes[at] == keys[rows]) & (owner[at] == ids[rows])] if len(classes) else rows[:0]
             size = sets.size[rows]
             index = np.repeat(sets.at[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(sets.values[index].view(np.int64)))
+            picked_values = sets.values[index].view(np.int64)
+            picked_values = (picked_values >> 32).astype(np.int32) if bits == 32 else picked_values
+            values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(picked_values))
             yield _batch(**{"class": keys[rows]}, id=ids[rows].astype(np.int64), n=size, shingles=values)
 
-    found = _rows(docs).filter("doc_id IS NOT NULL").mapInArrow(run, "class long, id long, n long, shingles array<long>")
-    return (found if few else found.join(owners, ["class", "id"], "left_semi")).dropDuplicates(["class"]).drop("id")
+    kind = "int" if bits == 32 else "long"
+    found = _rows(docs).filter("doc_id IS NOT NULL").mapInArrow(run, f"class long, id long, n long, shingles array<{kind}>")
+    return (found if few else found.join(owners, ["class", "id"], "left_semi")).drop("id")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs whose sets share prefixes under both hash orders and are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, slack: int) -> DataFrame:
+    """a, b, sure: the pairs that share prefixes under both hash orders and are similar enough, give or take `slack`
+    shared shingles; sure if they are so without that many."""
     side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"set_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     size = lambda c: (F.col(f"n_{c}") - F.ceil(F.col(f"n_{c}") * percent / 100) + 1).cast("int")
     first = lambda c: F.slice(f"set_{c}", F.lit(1), size(c))
     last = lambda c: F.slice(f"set_{c}", -size(c), size(c))
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter(F.arrays_overlap(first("a"), first("b")) & F.arrays_overlap(last("a"), last("b"))).filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+    enough = lambda x: 100 * x >= percent * (F.col("n_a") + F.col("n_b") - x)
+    met = both.filter(F.arrays_overlap(first("a"), first("b")) & F.arrays_overlap(last("a"), last("b")))
+    told = met.withColumn("shared", shared).filter(enough(F.col("shared") + slack))
+    return told.select("a", "b", enough(F.col("shared") - slack).alias("sure")).distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """a, b: the pairs that are similar enough. Sets are compared by halves of their hashes first; pairs that SLACK
+    shingles, a count of chance matches that doesn't occur, would decide are compared by all bits."""
+    wanted = lambda p: p.select(F.col("a").alias("class")).union(p.select("b")).distinct()
+    rough = stored(compared(pairs, class_sets(docs, wanted(pairs), info, shingle, 32), percent, SLACK), "compared")
+    open_pairs = rough.filter("NOT sure").select("a", "b")
+    sure = rough.filter("sure").select("a", "b")
+    if not open_pairs.limit(1).count():
+        return sure
+    return sure.unionByName(compared(open_pairs, class_sets(docs, wanted(open_pairs), info, shingle), percent, 0).select("a", "b"))
 
 
 def apart(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -275,8 +314,7 @@ def linked(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE, sm
     members = met.filter("b IS NULL").select("shingle", "a", "n", "place").distinct()
 
     def links(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        return stored(verified(pairs, stored(class_sets(docs, wanted, info, shingle), "sets"), percent), "links")
+        return stored(verified(docs, pairs, info, shingle, percent), "links")
 
     edges = links(pairs)
     labels = stored(components(edges), "labels")
