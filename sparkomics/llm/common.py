@@ -36,16 +36,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
+_RELEASABLE: list[str] = []
+
+
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
+
+    The table goes when the application ends, or, without `keep`, when `release` is called.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkomics-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    hadoop, files = _hadoop(spark, path)
+    files.deleteOnExit(hadoop)
+    if not keep:
+        _RELEASABLE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's path and file system."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables stored so far; no result that reads them may still be wanted."""
+    while _RELEASABLE:
+        hadoop, files = _hadoop(spark, _RELEASABLE.pop())
+        files.delete(hadoop, True)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     column = column.fill_null("").cast(pa.large_string()) if column.null_count or not pa.types.is_large_string(column.type) else column
