@@ -46,7 +46,7 @@ def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkomics-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     hadoop, files = _hadoop(spark, path)
     files.deleteOnExit(hadoop)
     if not keep:

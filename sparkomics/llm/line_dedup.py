@@ -45,11 +45,25 @@ def document_key(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("text_h"), F.crc32(text.cast("binary")).alias("text_c")]
 
 
-def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """line, first_doc, n (documents that hold it), h, c, size, letters (their counts, packed)."""
+def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc, line, h, c: the lines that are compared, each once a document."""
     lines = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), lambda x: F.trim(x)), lambda x: F.length(x) >= min_chars))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.explode(lines).alias("line"))
-    return rows.groupBy("line").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).select("*", *line_key(F.col("line")), F.length("line").alias("size"), letter_counts(F.col("line")).alias("letters"))
+    return rows.select("doc", "line", *line_key(F.col("line")))
+
+
+def distinct_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """h, c, first_doc, n (documents that hold it), letters (their counts, packed), index and probe (keys) of each line.
+
+    What the join needs of a line is made where the line is read; its text isn't shuffled.
+    """
+    rows = long_lines(docs, min_chars).withColumn("size", F.length("line")).withColumn("letters", letter_counts(F.col("line")))
+    index, probe = index_keys(F.col("line"), F.col("size"), threshold), probe_keys(F.col("line"), F.col("size"), threshold)
+    keys = {f"i{k}": c for k, c in enumerate(index)} | {f"p{k}": c for k, c in enumerate(probe)}
+    rows = rows.select("h", "c", "doc", "letters", *[c.alias(k) for k, c in keys.items()])
+    one = rows.groupBy("h", "c").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n"), F.min("letters").alias("letters"), *[F.min(k).alias(k) for k in keys])
+    listed = lambda p: F.array_compact(F.array(*[k for k in keys if k[0] == p]))
+    return one.select("h", "c", "first_doc", "n", "letters", listed("i").alias("index"), listed("p").alias("probe"))
 
 
 def _segment(size: Column, i: int, segments: int) -> tuple[Column, Column]:
@@ -64,12 +78,12 @@ def _key(line: Column, size: Column, i: int, start: Column, length: Column) -> C
     return F.xxhash64(size.cast("long"), F.lit(i), F.substr(line, (start + 1).cast("int"), length.cast("int")))
 
 
-def index_keys(line: Column, size: Column, threshold: int) -> Column:
-    return F.array(*[_key(line, size, i, *_segment(size, i, threshold + 1)) for i in range(threshold + 1)])
+def index_keys(line: Column, size: Column, threshold: int) -> list[Column]:
+    return [_key(line, size, i, *_segment(size, i, threshold + 1)) for i in range(threshold + 1)]
 
 
-def probe_keys(line: Column, size: Column, threshold: int) -> Column:
-    """Keys of all substrings that a segment of a line as long or up to `threshold` shorter can equal."""
+def probe_keys(line: Column, size: Column, threshold: int) -> list[Column]:
+    """Keys of all substrings that a segment of a line as long or up to `threshold` shorter can equal; null for none."""
     keys = []
     for shorter in range(threshold + 1):
         target = size - shorter
@@ -80,7 +94,7 @@ def probe_keys(line: Column, size: Column, threshold: int) -> Column:
                 at = start + shift
                 fits = (at >= 0) & (at + length <= size)
                 keys.append(F.when(fits, _key(line, target, i, at, length)))
-    return F.array_compact(F.array(*keys))
+    return keys
 
 
 def letter_counts(line: Column) -> Column:
@@ -150,10 +164,11 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(n - m) > threshold, False).when((n == 0) | (m == 0), F.greatest(n, m) <= threshold).otherwise(distance <= threshold)
 
 
-def edit_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """a_h, a_c, b_h, b_c: pairs of different lines within the threshold, a before b. `lines` is a stored table."""
-    index = lines.select(F.explode(index_keys(F.col("line"), F.col("size"), threshold)).alias("key"), F.col("h").alias("a_h"), F.col("c").alias("a_c"), F.col("letters").alias("a_letters"))
-    probe = lines.select(F.explode(probe_keys(F.col("line"), F.col("size"), threshold)).alias("key"), F.col("h").alias("b_h"), F.col("c").alias("b_c"), F.col("letters").alias("b_letters"))
+def edit_pairs(docs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """a_h, a_c, b_h, b_c: pairs of different lines within the threshold, a before b. `lines` are the documents' distinct
+    lines, stored."""
+    index = lines.select(F.explode("index").alias("key"), F.col("h").alias("a_h"), F.col("c").alias("a_c"), F.col("letters").alias("a_letters"))
+    probe = lines.select(F.explode("probe").alias("key"), F.col("h").alias("b_h"), F.col("c").alias("b_c"), F.col("letters").alias("b_letters"))
     other = (F.col("a_h") != F.col("b_h")) | (F.col("a_c") != F.col("b_c"))
     met = index.join(probe, (index["key"] == probe["key"]) & other & _close_counts(F.col("a_letters"), F.col("b_letters"), threshold))
     # Lines of one length meet both ways; which of them is earlier is only known with the lines.
@@ -168,7 +183,8 @@ def edit_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     wanted = pairs.select(F.col("a_h").alias("h"), F.col("a_c").alias("c")).union(pairs.select("b_h", "b_c")).distinct()
     wanted = stored(wanted, "pair-keys")
     few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    texts = stored(lines.join(F.broadcast(wanted) if few else wanted, ["h", "c"], "left_semi").select("h", "c", "line", "first_doc"), "pair-lines")
+    held = long_lines(docs, min_chars).join(F.broadcast(wanted) if few else wanted, ["h", "c"], "left_semi")
+    texts = stored(held.groupBy("h", "c", "line").agg(F.min("doc").alias("first_doc")), "pair-lines")
     side = lambda p: texts.select(F.col("h").alias(f"{p}_h"), F.col("c").alias(f"{p}_c"), F.col("first_doc").alias(f"{p}_doc"), F.split("line", "").alias(p), F.col("line").alias(f"{p}_line"))
     both = pairs.join(side("a"), ["a_h", "a_c"]).join(side("b"), ["b_h", "b_c"])
     close = both.filter(within(F.col("a"), F.col("b"), threshold))
@@ -180,8 +196,8 @@ def edit_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc, text_h, text_c (the document's key) and keep: a flag for each line of its text."""
-    lines = stored(distinct_lines(docs, min_chars), "lines")
-    near = edit_pairs(lines, threshold).select(F.col("b_h").alias("h"), F.col("b_c").alias("c")).distinct().withColumn("near", F.lit(True))
+    lines = stored(distinct_lines(docs, threshold, min_chars), "lines")
+    near = edit_pairs(docs, lines, threshold, min_chars).select(F.col("b_h").alias("h"), F.col("b_c").alias("c")).distinct().withColumn("near", F.lit(True))
     told = lines.select("h", "c", "first_doc", "n").join(near, ["h", "c"], "left").filter("n > 1 OR near").select("h", "c", "first_doc", F.coalesce("near", F.lit(False)).alias("near"))
     rows = docs.select(*document_key(docs), F.posexplode(F.transform(lines_of(F.col("text")), lambda x: F.trim(x))).alias("i", "line"))
     long = F.length("line") >= min_chars
