@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sparkomics.functions import columns as C
-from sparkomics.operators import graphs, lists, ranges, stats, tables
+from sparkomics.operators import graphs, lists, models, ranges, stats, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -532,3 +531,53 @@ def scalar_projection(spark, d):
 @query(f"{_CENTRE} SELECT vec_id, round(degrees(acos(list_cosine_similarity(embedding::DOUBLE[], centre))), 3) AS angle FROM embeddings JOIN c USING (label)")
 def angle(spark, d):
     return _with_centroid(spark, d).select("vec_id", F.round(C.angle_degrees(F.col("embedding"), F.col("centre")), 3).alias("angle"))
+
+
+# Models
+
+
+@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 5) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, regr_count(l_extendedprice, l_quantity)::BIGINT AS n FROM lineitem GROUP BY l_returnflag")
+def linear_regression(spark, d):
+    fit = models.regression(t(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
+    return fit.select("l_returnflag", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r2").alias("r2"), "n")
+
+
+@query("WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem) SELECT l_orderkey, l_linenumber, round(l_extendedprice - s * l_quantity - i, 3) AS residual FROM lineitem, f")
+def linear_residuals(spark, d):
+    out = models.residuals(t(spark, d, "lineitem"), ["l_quantity"], ["l_extendedprice"])
+    return out.select("l_orderkey", "l_linenumber", F.round("l_extendedprice_residual", 3).alias("residual"))
+
+
+@query()
+def pca(spark, d):
+    return models.pca(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *_NUMERIC), _NUMERIC).select("l_orderkey", "l_linenumber", F.round("PCA_1", 4).alias("PCA_1"), F.round("PCA_2", 4).alias("PCA_2"))
+
+
+@query("SELECT 'l_quantity' AS component, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'O') - avg(l_quantity) FILTER (WHERE l_linestatus = 'F'), 6) AS effect FROM lineitem UNION ALL SELECT 'l_tax', round(avg(l_tax) FILTER (WHERE l_linestatus = 'O') - avg(l_tax) FILTER (WHERE l_linestatus = 'F'), 6) FROM lineitem")
+def axis_of_effect(spark, d):
+    return models.axis_of_effect(t(spark, d, "lineitem"), "l_linestatus", "F", "O", ["l_quantity", "l_tax"]).withColumn("effect", r6("effect"))
+
+
+@query("""WITH r AS (SELECT p_brand, p_retailprice AS s, p_size > 25 AS m, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+x AS (SELECT p_brand, i, n, sum(CASE WHEN m THEN s ELSE 0 END) OVER w / sum(CASE WHEN m THEN s ELSE 0 END) OVER (PARTITION BY p_brand) - sum((NOT m)::INT) OVER w / sum((NOT m)::INT) OVER (PARTITION BY p_brand) AS lead
+FROM r WINDOW w AS (PARTITION BY p_brand ORDER BY i ROWS UNBOUNDED PRECEDING)) SELECT p_brand, round(max(lead), 6) AS es FROM x WHERE i < n GROUP BY p_brand""")
+def gsea(spark, d):
+    part = t(spark, d, "part").withColumn("m", F.col("p_size") > 25)
+    return models.gsea_scores(part, ["p_brand"], "p_retailprice", "m", "p_partkey").select("p_brand", r6("es").alias("es"))
+
+
+@query()
+def gsea_permuted(spark, d):
+    part = t(spark, d, "part").withColumn("m", F.col("p_size") > 25)
+    return models.gsea_permutations(part, ["p_brand"], "p_retailprice", "m", "p_partkey", 50).select("p_brand", r6("es").alias("es"), r6("p").alias("p"))
+
+
+@query()
+def lowess(spark, d):
+    return models.lowess(t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.lit(1).alias("g")), ["g"], "s_suppkey", "s_acctbal").select("s_suppkey", F.round("fitted", 4).alias("fitted"))
+
+
+@query()
+def tmm(spark, d):
+    counts = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("sample"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("value"))
+    return models.tmm_factors(counts, "sample", "gene", "value", "A").select("sample", r6("factor").alias("factor"))
