@@ -37,7 +37,7 @@ PIECES = ["a@b.co", "_x@d.e", "x.@y.z", "@", "..", ".", "1.2.3.4", "256.1.1.1",
 def test_base_spans_against_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, "".join(rng.choice(PIECES) for _ in range(rng.randrange(0, 25)))) for i in range(600)]
-    rows += [(1000, None), (1001, ""), (1002, "1 2 " * 6000), (1003, "9" * 30_000), (1004, "plain"), (1004, "plain"), (None, "a@b.co")]
+    rows += [(1000, None), (1001, ""), (1002, "1 2 " * 6000), (1003, "9" * 30_000), (1005, "a@b" + ".c" * 30_000), (1006, "+" + "1" * 30_000), (1004, "plain"), (1004, "plain"), (None, "a@b.co")]
     out = P.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], ",".join(x for x in r["spans"].split(",") if not x.startswith("term")), r["base_sha256"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in out.collect())
     want = []
