@@ -105,5 +105,24 @@ FROM sized GROUP BY conv_id
 """
 
 
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words
+), sizes AS (
+  SELECT doc_id, count(g) AS n FROM documents LEFT JOIN sets USING (doc_id) GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), reached AS (
+  SELECT doc_id AS doc, doc_id AS root FROM documents UNION SELECT b, root FROM reached JOIN links ON a = doc
+)
+SELECT doc_id, n AS n_shingles, component_id FROM sizes JOIN (SELECT doc, min(root) AS component_id FROM reached GROUP BY doc) ON doc = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL}
+    return {"op6_chat_formatting": OP6_SQL, "op7_ngram_join": OP7_SQL}
