@@ -9,7 +9,7 @@ the first n - ceil(threshold * n) + 1 of each. Three orders are used:
    dealt by shingle; classes that meet and whose sizes and places allow the similarity are candidates.
 2., 3. the shingles' hashes, ascending and descending. Candidates must share prefixes under both.
 
-What is left is verified by intersection. The classes that share a shingle in their prefixes, its bucket, are first
+Before that, candidates whose parity sketches differ in more bits than their sets may differ in shingles go. What is left is verified by intersection. The classes that share a shingle in their prefixes, its bucket, are first
 compared with one of them: the one that comes first in all buckets, or, in buckets over SMALL_BUCKET, one that differs
 from shingle to shingle. When components are known, those of its classes that are still apart are compared pair by pair;
 so no link between components is lost, and no pairs are made within a component.
@@ -42,6 +42,8 @@ FREQUENT_SHINGLES = 1 << 18
 #: Sets of so many classes are picked out while the texts are read; more by a join.
 BROADCAST_CLASSES = 4_000_000
 SLACK = 4
+#: 64-bit words of a set's parity sketch.
+SKETCH = 32
 
 
 def prefix_size(n, percent: int):
@@ -75,6 +77,17 @@ class Sets:
         """A 64-bit key of each set, whatever the order of its shingles."""
         return mix(self._sum(mix(self.values)) + self.size.astype(np.uint64)).view(np.int64)
 
+    def sketches(self) -> np.ndarray:
+        """(sets, SKETCH): every shingle turns one bit over. Sets that differ in d shingles differ in d bits at most."""
+        bit = (mix(self.values ^ np.uint64(0x5B5B5B5B)) % np.uint64(64 * SKETCH)).astype(np.int64)
+        out = np.zeros((len(self.size), 8 * SKETCH), dtype=np.uint8)
+        for a in range(0, len(self.size), 512):
+            b = min(len(self.size), a + 512)
+            row = np.repeat(np.arange(b - a), self.size[a:b])
+            odd = np.bincount(row * (64 * SKETCH) + bit[self.at[a] : self.at[b]], minlength=(b - a) * 64 * SKETCH) & 1
+            out[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, -1), axis=1)
+        return out.view(np.int64)
+
 
 def _each_slice(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[np.ndarray, Sets]]:
     """(doc_ids, sets) of slices of rows of doc_id, text; only rows with a doc_id."""
@@ -95,17 +108,18 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, shingle: int) -> DataFrame:
-    """frequent false: id = doc_id, n, class of every row with a doc_id; true: id = a shingle frequent in a slice, n = its
-    documents there."""
+    """frequent false: id = doc_id, n, class, sketch of every row with a doc_id; true: id = a shingle frequent in a slice,
+    n = its documents there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _each_slice(batches, shingle):
-            yield _batch(frequent=np.zeros(len(ids), bool), id=ids.astype(np.int64), n=sets.size, **{"class": sets.keys()})
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * SKETCH), pa.array(sets.sketches().ravel()))
+            yield _batch(frequent=np.zeros(len(ids), bool), id=ids.astype(np.int64), n=sets.size, **{"class": sets.keys()}, sketch=bits)
             value, count = np.unique(sets.values, return_counts=True)
             often = count >= FREQUENT
-            yield _batch(frequent=np.ones(often.sum(), bool), id=value[often].view(np.int64), n=count[often], **{"class": np.zeros(often.sum(), np.int64)})
+            yield _batch(frequent=np.ones(often.sum(), bool), id=value[often].view(np.int64), n=count[often], **{"class": np.zeros(often.sum(), np.int64)}, sketch=pa.nulls(int(often.sum()), pa.list_(pa.int64())))
 
-    return _rows(docs).filter("doc_id IS NOT NULL").mapInArrow(run, "frequent boolean, id long, n long, class long")
+    return _rows(docs).filter("doc_id IS NOT NULL").mapInArrow(run, "frequent boolean, id long, n long, class long, sketch array<long>")
 
 
 def frequent_shingles(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -261,6 +275,16 @@ def class_sets(docs: DataFrame, wanted: DataFrame, info: DataFrame, shingle: int
     return (found if few else found.join(owners, ["class", "id"], "left_semi")).drop("id")
 
 
+def within_sketches(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs whose sketches differ in no more bits than similar sets can differ in shingles."""
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    one = info.join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    side = lambda c: one.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"bits_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.filter((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, slack: int) -> DataFrame:
     """a, b, sure: the pairs that share prefixes under both hash orders and are similar enough, give or take `slack`
     shared shingles; sure if they are so without that many."""
@@ -280,6 +304,7 @@ def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, shingle: int, p
     """a, b: the pairs that are similar enough. Sets are compared by halves of their hashes first; pairs that SLACK
     shingles, a count of chance matches that doesn't occur, would decide are compared by all bits."""
     wanted = lambda p: p.select(F.col("a").alias("class")).union(p.select("b")).distinct()
+    pairs = stored(within_sketches(pairs, info, percent), "close")
     rough = stored(compared(pairs, class_sets(docs, wanted(pairs), info, shingle, 32), percent, SLACK), "compared")
     open_pairs = rough.filter("NOT sure").select("a", "b")
     sure = rough.filter("sure").select("a", "b")
@@ -307,7 +332,7 @@ def apart(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def linked(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE, small_bucket: int = SMALL_BUCKET) -> tuple[DataFrame, DataFrame]:
     """(info, labels): id, n, class of every row with a doc_id; node, component of every class with a link."""
     scanned = stored(scan(docs, shingle), "scan")
-    info = scanned.filter("NOT frequent").select("id", "n", "class")
+    info = scanned.filter("NOT frequent").select("id", "n", "class", "sketch")
     prefix = prefixes(docs, frequent_shingles(scanned), shingle, percent)
     met = stored(meetings(prefix, percent, small_bucket), "meetings")
     pairs = stored(met.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
@@ -320,10 +345,21 @@ def linked(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE, sm
     labels = stored(components(edges), "labels")
     later = stored(apart(members, labels, percent), "pairs")
     if later.limit(1).count():
-        labels = stored(components(edges.union(links(later))), "labels")
+        labels = stored(joined_labels(labels, links(later)), "labels")
     return info, labels
 
 
+def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels after further edges, which join whole components."""
+    own = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    between = edges.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    merged = stored(components(between.filter("a != b").distinct()), "merged").select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    grown = labels.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+    # Classes without a label so far are components of their own.
+    new = merged.join(labels.select(F.col("component")).distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("merged").alias("component"))
+    return grown.unionByName(new)
+
+
 def joined(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     info, labels = linked(docs, percent, shingle, small_bucket)
@@ -331,7 +367,7 @@ def joined(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE, sm
     label = owners.join(labels.withColumnRenamed("node", "class"), "class", "left").filter("copies > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "class"))
     least = label.groupBy("component").agg(F.min("owner").alias("component_id"))
     grouped = label.join(least, "component").select("class", "component_id")
-    linked_rows = info.join(grouped, "class", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    linked_rows = info.drop("sketch").join(grouped, "class", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     rest = scan(docs.filter("doc_id IS NULL").withColumn("doc_id", F.lit(0)), shingle).filter("NOT frequent")
     null = F.lit(None).cast("long")
     return linked_rows.unionByName(rest.select(null.alias("doc_id"), F.col("n").alias("n_shingles"), null.alias("component_id")))
