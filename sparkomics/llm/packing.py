@@ -41,7 +41,8 @@ _SIMPLE = regex.compile(r"[!-~À-ɏ]*")
 #: Byte-level vocabularies write the bytes without a printable letter of their own as the letters from U+0100 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_CACHE_ENTRIES = 1_200_000
+#: Chunks and pre-tokens that a worker remembers.
+_CHUNKS, _PARTS = 250_000, 350_000
 
 
 class WordIds:
@@ -97,9 +98,9 @@ class WordIds:
                 if w not in known:
                     known[w] = self._chunk(w)
             out = b"".join([known[w] for w in words])
-        if len(known) > _CACHE_ENTRIES:
+        if len(known) > _CHUNKS:
             known.clear()
-        if len(self.parts) > _CACHE_ENTRIES:
+        if len(self.parts) > _PARTS:
             self.parts.clear()
         return out
 
