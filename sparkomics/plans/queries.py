@@ -332,9 +332,9 @@ def topn(spark, d):
 
 
 @query(f"""WITH a AS ({_ABUNDANCE}), k AS (SELECT *, min(value) OVER (PARTITION BY sample) AS low FROM a), p AS (SELECT sample, value / sum(value) OVER (PARTITION BY sample) AS p FROM k WHERE value > low)
-SELECT s.sample, round(coalesce(-sum(p * ln(p)), 0), 6) AS entropy FROM (SELECT DISTINCT sample FROM a) s LEFT JOIN p ON p.sample = s.sample GROUP BY s.sample""")
+SELECT s.sample, round(coalesce(-sum(p * ln(p)), 0), 6) + 0 AS entropy FROM (SELECT DISTINCT sample FROM a) s LEFT JOIN p ON p.sample = s.sample GROUP BY s.sample""")
 def shannon(spark, d):
-    return tables.shannon(_abundance(spark, d), "sample", "value").withColumn("entropy", r6("entropy"))
+    return tables.shannon(_abundance(spark, d), "sample", "value").withColumn("entropy", r6("entropy") + 0.0)
 
 
 @query(f"""WITH a AS ({_ABUNDANCE}) SELECT sample, taxon, round(greatest(ln(sum(value) OVER w) - sum(value * ln(value)) OVER w / sum(value) OVER w, 0), 6) + 0 AS entropy FROM a
