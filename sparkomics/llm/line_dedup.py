@@ -225,16 +225,25 @@ def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     return decisions(docs, threshold, min_chars).select(F.col("doc").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), numbers.alias("dropped"))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """doc, text_h, text_c of the documents whose whole text an earlier one has, character for character."""
+    keys = docs.select(*document_key(docs)).distinct()
+    first = keys.groupBy("text_h", "text_c").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).filter("n > 1")
+    return keys.join(first, ["text_h", "text_c"]).filter(~F.col("doc").eqNullSafe(F.col("first_doc"))).select("doc", "text_h", "text_c")
+
+
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents with the lines that stay; n_chars, if there, follows. Documents that lose lines and have no line of
-    `min_chars` left are copies, and go."""
+    """The documents with the lines that stay; n_chars, if there, follows. Documents that lose lines go if nothing but
+    white space is left of them, or if an earlier document has the very same text."""
     told = decisions(docs, threshold, min_chars).withColumnsRenamed({"doc": "__doc", "text_h": "__h", "text_c": "__c", "lines": "__lines"})
+    again = copies(docs).select(F.col("doc").alias("__copy_doc"), F.col("text_h").alias("__copy_h"), F.col("text_c").alias("__copy_c"))
     doc, text_h, text_c = document_key(docs)
     own = docs.withColumn("__own", F.struct(doc, text_h, text_c))
-    same = own["__own"]["doc"].eqNullSafe(told["__doc"]) & (own["__own"]["text_h"] == told["__h"]) & (own["__own"]["text_c"] == told["__c"])
+    same = lambda d, h, c: own["__own"]["doc"].eqNullSafe(F.col(d)) & (own["__own"]["text_h"] == F.col(h)) & (own["__own"]["text_c"] == F.col(c))
     text = F.array_join(F.filter(lines_of(F.col("text")), lambda _, i: F.get("__lines", i)["keep"]), "\n")
-    copy = F.exists("__lines", lambda x: ~x["keep"]) & ~F.exists("__lines", lambda x: x["long"] & x["keep"])
-    kept = own.join(told, same).filter(~copy).withColumn("text", F.when(F.col("text").isNotNull(), text))
+    gone = F.exists("__lines", lambda x: ~x["keep"]) & (F.col("__copy_h").isNotNull() | ~text.rlike(r"\S"))
+    joined = own.join(told, same("__doc", "__h", "__c")).join(again, same("__copy_doc", "__copy_h", "__copy_c"), "left")
+    kept = joined.filter(~gone).withColumn("text", F.when(F.col("text").isNotNull(), text))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

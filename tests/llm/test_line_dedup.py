@@ -96,6 +96,15 @@ def test_deduplicated_keeps_columns_and_drops_copies(spark):
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("mine alone: this line stands nowhere else at all", 48), 4: ("short\nshort", 11), 5: (None, None), 6: ("", 0)}
 
 
+def test_documents_of_short_lines_outlive_a_shared_long_line(spark):
+    """Only what is nothing but repeated lines goes, or a whole copy; short lines of a document's own stay."""
+    licence = "this licence line of more than forty characters is shared"
+    poem, code = "roses are red\nviolets are blue", "def f(x):\n    return x"
+    rows = [(1, f"{licence}\nfirst"), (2, f"{poem}\n{licence}"), (3, f"{licence}\n{code}"), (4, f"\n{licence}\n  \t"), (5, f"{poem}\n{licence}"), (None, f"{poem}\n{licence}"), (6, f"{poem}\n{licence}\nmore")]
+    out = L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: rows[0][1], 2: poem, 3: code, 6: f"{poem}\nmore"}
+
+
 def test_empty_table(spark):
     assert L.line_report(spark.createDataFrame([], SCHEMA)).count() == 0
     assert L.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
