@@ -1,9 +1,10 @@
 """Best-fit packing: documents become token pieces, pieces share sequences of a fixed capacity.
 
 `tokenise` cuts every document into pieces of at most `capacity` tokens. `pack` deals the pieces over shards of a
-bounded size by a hash, and packs each shard by bin completion: undominated fillings are enumerated around the
-largest piece left, branches are pruned by the waste that a better solution may still have, and a best-fit solution is
-the incumbent. A shard wastes less than one sequence more than the whole table would.
+bounded size by a hash, and packs each shard by bin completion: undominated fillings around the largest piece left are
+the branches, the search goes back to the others where the waste exceeds what a better solution may have, and a best-fit
+solution is the first incumbent. It ends when no branch is left, when the incumbent is as small as the sum of lengths
+allows, or SEARCH_STEPS after its first descent in a shard; only in the last case may fewer sequences do.
 
 Nulls: a null text is the empty text (one piece, the end token alone); a null doc_id stays null. Repeated rows are
 packed as often as they occur. Ties: pieces of one length are taken in the order of (doc_id, piece). Empty tables give
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +32,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces in a shard, on average: what one task holds at once.
 SHARD_PIECES = 20_000
-#: Fillings looked at for one sequence before the best one so far is taken.
+#: Steps after which the fillings found for one sequence are tried, by waste, before more are sought.
 SEARCH_NODES = 400
+#: Steps of the search in one shard after its first descent; then the best solution so far is taken.
+SEARCH_STEPS = 1_000_000
 
 #: How the tokenizer's own pre-tokenizer splits a text without white space.
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -154,44 +158,68 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _filling(present: int, counts: list[int], room: int, nodes: int) -> list[int]:
-    """Lengths that fill `room` with the least waste found; lengths descend in it, so that no filling comes twice.
+def _dominated(chosen: list[int], left: int, free: int) -> bool:
+    """Whether one free length could take the place of some chosen ones: of a smaller sum, or of several of its own sum."""
+    one = several = 0  # bit s: a chosen length, or several of them, sum to s
+    for n in chosen:
+        several |= (several | one) << n
+        one |= 1 << n
+    larger, width = (one | several) << 1, 1  # in the end: sums greater by 1 to `left`
+    while width < left:
+        step = min(width, left - width)
+        larger |= larger << step
+        width += step
+    return bool(free & (several | larger if left else several))
 
-    The last length is always the largest that fits, since that dominates every smaller one in its place.
-    """
-    best: list[int] = []
-    least, left = room + 1, nodes
-
-    def extend(chosen: list[int], room: int, largest: int) -> None:
-        nonlocal best, least, left
-        fits = present & ((1 << (min(room, largest) + 1)) - 1)
-        first = True
-        while fits and least and left > 0:
-            n = fits.bit_length() - 1
-            fits ^= 1 << n
-            if counts[n] <= chosen.count(n):
-                continue
-            left -= 1
-            rest = room - n
-            chosen.append(n)
-            if rest < least:
-                best, least = chosen.copy(), rest
-            if rest and len(chosen) < 12:
-                extend(chosen, rest, n)
-            chosen.pop()
-            if not first and room - n >= least and n * 2 < room and not chosen:
-                break
-            first = False
-
-    extend([], room, room)
-    return best
 
+def _fillings(present: int, counts: list[int], room: int, nodes: int, budget: list[int]) -> Iterator[tuple[int, list[int]]]:
+    """(what is left of `room`, lengths in descending order) of every undominated filling, or as far as the budget goes.
 
-def bin_completion(lengths: np.ndarray, capacity: int, nodes: int = SEARCH_NODES) -> list[list[int]]:
-    """Positions per sequence; lengths in descending order. Never worse than best fit."""
+    Fillings without waste come as they are found, others by waste after every `nodes` steps.
+    """
+    free, chosen, used, found = present, [], {}, []
+    fitting = lambda room: free & ((1 << (room + 1)) - 1)
+    frames = [(room, fitting(room))]  # room, and lengths still to be tried in it
+    if not frames[0][1]:
+        yield room, []
+        return
+    steps = 0
+    while frames and budget[0] > 0:
+        rest, fits = frames[-1]
+        if not fits:
+            frames.pop()
+            if chosen:
+                n = chosen.pop()
+                used[n] -= 1
+                free |= 1 << n
+            continue
+        n = fits.bit_length() - 1
+        frames[-1] = rest, fits ^ (1 << n)
+        steps += 1
+        budget[0] -= 1
+        left = rest - n
+        chosen.append(n)
+        used[n] = used.get(n, 0) + 1
+        if used[n] == counts[n]:
+            free ^= 1 << n
+        frames.append((left, fitting(min(left, n))))
+        if not fitting(left) and not _dominated(chosen, left, free):
+            if left:
+                found.append((left, chosen.copy()))
+            else:
+                yield 0, chosen.copy()
+        if steps >= nodes:
+            yield from sorted(found, key=lambda f: f[0])
+            steps, found = 0, []
+    yield from sorted(found, key=lambda f: f[0])
+
+
+def bin_completion(lengths: np.ndarray, capacity: int, nodes: int = SEARCH_NODES, steps: int = SEARCH_STEPS) -> list[list[int]]:
+    """Positions per sequence; lengths in descending order. Never worse than best fit, and the fewest sequences there can
+    be if the search ends within `steps` after the first descent, which goes on until a sequence exceeds the waste bound."""
     incumbent = best_fit(lengths, capacity)
-    total = int(lengths.sum())
-    spare = (len(incumbent) - 1) * capacity - total  # the waste that a better solution may have
+    total, most = int(lengths.sum()), len(incumbent)
+    spare = (most - 1) * capacity - total  # the waste that a better solution may have
     if spare < 0:
         return incumbent
     stock: dict[int, list[int]] = {}
@@ -201,22 +229,48 @@ def bin_completion(lengths: np.ndarray, capacity: int, nodes: int = SEARCH_NODES
     for n, at in stock.items():
         counts[n] = len(at)
         present |= 1 << n
-    bins = []
-    while present:
+
+    def move(chosen: list[int], by: int) -> None:
+        nonlocal present
+        for n in chosen:
+            counts[n] += by
+            present = present | 1 << n if counts[n] else present & ~(1 << n)
+
+    budget, waste, best = [sys.maxsize], 0, None
+    levels: list[tuple[int, Iterator]] = []  # of each sequence: its largest length, and the fillings still to be tried
+    path: list[tuple[int, list[int]]] = []  # and the one that is tried
+
+    def begin() -> None:
         n = present.bit_length() - 1
-        counts[n] -= 1
-        if not counts[n]:
-            present ^= 1 << n
-        chosen = [n, *_filling(present, counts, capacity - n, nodes)]
-        for m in chosen[1:]:
-            counts[m] -= 1
-            if not counts[m]:
-                present ^= 1 << m
-        spare -= capacity - sum(chosen) if present else 0
-        if spare < 0 and present:
-            return incumbent  # waste bound: this branch can't beat the incumbent
-        bins.append([stock[m].pop() for m in chosen])
-    return bins if len(bins) < len(incumbent) else incumbent
+        move([n], -1)
+        levels.append((n, _fillings(present, counts, capacity - n, nodes, budget)))
+
+    begin()
+    while levels and spare >= 0:
+        if len(path) == len(levels):
+            left, chosen = path.pop()
+            move(chosen, 1)
+            waste -= left
+        filling = next(levels[-1][1], None)
+        if filling is None:
+            if budget[0] <= 0:
+                break
+            move([levels.pop()[0]], 1)
+            continue
+        left, chosen = filling
+        if waste + left > spare:
+            budget[0] = min(budget[0], steps)
+            continue  # waste bound: this branch can't beat the incumbent
+        move(chosen, -1)
+        waste += left
+        path.append(filling)
+        if present:
+            begin()
+        else:
+            best = [[n, *c] for (n, _), (_, c) in zip(levels, path)]
+            spare = (len(best) - 1) * capacity - total
+            budget[0] = min(budget[0], steps)
+    return incumbent if best is None else [[stock[m].pop() for m in b] for b in best]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:

@@ -40,6 +40,40 @@ def test_bin_completion_beats_best_fit_where_it_can():
     assert len(P.bin_completion(lengths, 60)) == 3 < len(P.best_fit(lengths, 60)) or len(P.best_fit(lengths, 60)) == 3
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying every place of every piece."""
+
+    def go(i, rooms, seen):
+        if i == len(lengths):
+            return True
+        if (i, rooms) in seen:
+            return False
+        seen.add((i, rooms))
+        return any(go(i + 1, tuple(sorted([*rooms[:k], r - lengths[i], *rooms[k + 1 :]])), seen) for k, r in enumerate(rooms) if r >= lengths[i])
+
+    return next(n for n in range(-(-sum(lengths) // capacity), len(lengths) + 1) if go(0, (capacity,) * n, set()))
+
+
+def test_bin_completion_goes_back_to_other_fillings():
+    rng = random.Random(1)
+    cases = [[26, 18, 18, 17, 16, 14, 13, 13, 11, 10], [29, 18, 18, 17, 14, 10, 6, 5]]
+    cases += [sorted((rng.randrange(3, rng.choice([20, 30, 40])) for _ in range(rng.randrange(6, 12))), reverse=True) for _ in range(200)]
+    for lengths in cases:
+        for nodes in (1, P.SEARCH_NODES):
+            bins = P.bin_completion(np.array(lengths), 40, nodes)
+            assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+            assert all(sum(lengths[i] for i in b) <= 40 for b in bins)
+            assert len(bins) == fewest(lengths, 40), lengths
+
+
+def test_bin_completion_of_short_pieces():
+    """Sequences of more than 13 pieces are completed too."""
+    lengths = np.sort(np.random.default_rng(3).integers(20, 45, 3000) * 7)[::-1]
+    bins = P.bin_completion(lengths, 4096)
+    assert max(len(b) for b in bins) > 13
+    assert len(bins) < len(P.best_fit(lengths, 4096))
+
+
 def test_pieces_and_places(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(1, "one"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit(3)).withColumn("shard", F.lit("x"))
