@@ -7,7 +7,8 @@ are then verified exactly: the weighted Jaccard similarity of their 5-word shing
 ln(1 + items / items that have it), must be THRESHOLD or more.
 
 A window's similarity is at most the weight of its shingles that the benchmark has, by the item's weight; windows that
-can't reach the threshold with any item of their size aren't fingerprinted. The benchmark goes to the tasks in blocks of a bounded number of items, one pass over the documents each.
+can't reach the threshold with any item of their size aren't fingerprinted. For items with more words than a document, the
+whole document is the one window; it is compared exactly with each that it shares enough weight with. The benchmark goes to the tasks in blocks of a bounded number of items, one pass over the documents each.
 
 Nulls: a null text is empty, and an empty text has no window; a null doc_id stays null; items without item_id or with
 fewer than 5 words are too short to tell a leak from chance and are not sought. Repeated rows are all searched; of items
@@ -76,13 +77,15 @@ class ItemIndex:
         self.bags = [Counter(run_hashes(w, SHINGLE).tolist()) for _, w in items]
         self.totals = np.array([sum(weights.get(g, rare) * n for g, n in bag.items()) for bag in self.bags])
         self.lengths_of: dict[int, set[int]] = defaultdict(set)  # of the items that have a shingle
-        for bag, (_, w) in zip(self.bags, items):
+        self.items_of: dict[int, list[int]] = defaultdict(list)
+        for i, (bag, (_, w)) in enumerate(zip(self.bags, items)):
             for g in bag:
                 self.lengths_of[g].add(len(w))
+                self.items_of[g].append(i)
         # By length: items, fingerprints, least total weight, and the multi-index: for each block its sorted values and
         # whose they are.
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, float, list[tuple[np.ndarray, np.ndarray]]]] = {}
-        lengths = np.array([len(w) for _, w in items])
+        self.lengths = lengths = np.array([len(w) for _, w in items])
         for n in np.unique(lengths):
             at = np.flatnonzero(lengths == n)
             prints = np.concatenate([fingerprints(items[i][1], int(n)) for i in at])
@@ -149,8 +152,29 @@ class ItemIndex:
                     value = self.similarity(Counter(grams[start : start + n - SHINGLE + 1].tolist()), item)
                     if value >= threshold and (value > found[0] or (value == found[0] and start < found[1])):
                         best[item] = value, start
+        for item, value in self.longer(words, grams, hits, threshold):
+            best[item] = value, 0
         for item, (value, start) in sorted(best.items()):
-            yield int(self.ids[item]), start, sum(self.bags[item].values()) + SHINGLE - 1, value
+            yield int(self.ids[item]), start, min(int(self.lengths[item]), len(words)), value
+
+    def longer(self, words: np.ndarray, grams: np.ndarray, hits: np.ndarray, threshold: float) -> Iterator[tuple[int, float]]:
+        """(item, similarity) of the items with more words than the document, which is the only window for them."""
+        if len(words) >= self.lengths.max():
+            return
+        found = grams[hits].tolist()
+        weight = [self.weights.get(g, self.rare) for g in found]
+        if sum(weight) < threshold * self.totals[self.lengths > len(words)].min() * (1 - 1e-9):
+            return
+        shared: dict[int, float] = defaultdict(float)
+        for g, v in zip(found, weight):
+            for item in self.items_of[g]:
+                shared[item] += v
+        bag = Counter(grams.tolist())
+        for item, v in shared.items():
+            if self.lengths[item] > len(words) and v >= threshold * self.totals[item] * (1 - 1e-9):
+                value = self.similarity(bag, item)
+                if value >= threshold:
+                    yield item, value
 
 
 def item_shingles(benchmark: DataFrame) -> DataFrame:

@@ -64,6 +64,21 @@ def test_against_brute_force(spark):
     assert len(want) > 25
 
 
+def test_documents_shorter_than_the_item(spark):
+    """A document that is an item less some words is its whole window, if it is similar enough."""
+    item = [f"w{i}" for i in range(60)]
+    docs = [(n, " ".join(item[:n])) for n in (60, 59, 55, 50, 45, 40, 4)] + [(100, " ".join(item[5:])), (101, " ".join(["x", *item[1:57]]))]
+    other = (8, " ".join(f"v{i}" for i in range(30)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), other], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["start_word"], r["n_words"], round(r["similarity"], 9)) for r in D.contamination(df, bench).collect()}
+    # A document of n words has n - 4 of the 56 shingles, all of equal weight but those that the benchmark doesn't have.
+    want = {n: (7, 0, n, round((n - 4) / 56, 9)) for n in (60, 59, 55, 50)} | {100: (7, 0, 55, round(51 / 56, 9))}
+    assert {k: v for k, v in got.items() if k != 101} == want
+    assert got[101][:3] == (7, 0, 57)
+    assert {r["doc_id"] for r in D.clean(df, bench).collect()} == {45, 40, 4}
+
+
 def test_clean_and_edge_rows(spark):
     docs, items = corpus()
     leaked = {d for d, _ in brute(docs, items)}
