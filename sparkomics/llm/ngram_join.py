@@ -3,21 +3,26 @@
 A document's set holds its distinct runs of SHINGLE words (`[^\\x20\\x09-\\x0D]+`, A-Z in lower case); with fewer words,
 all of them as one. Documents are linked at a similarity of THRESHOLD percent or more. Documents with one set form a
 class, and only classes are compared. Classes are linked only if, under any order of all shingles, they share one of
-the first n - ceil(threshold * n) + 1 of each. Three orders are used:
+the first n - ceil(threshold * n) + 1 of each. Three orders are used, and their filters are intersected before a set is
+sent anywhere:
 
 1. rare first: by the magnitude of a shingle's count, where it is frequent anywhere, then by a hash. The prefixes are
-   dealt by shingle; classes that meet and whose sizes and places allow the similarity are candidates.
+   dealt by shingle; classes that meet in a bucket and whose sizes and places allow the similarity are candidates.
 2., 3. the shingles' hashes, ascending and descending. Candidates must share prefixes under both.
 
-Before that, candidates whose parity sketches differ in more bits than their sets may differ in shingles go. What is left is verified by intersection. The classes that share a shingle in their prefixes, its bucket, are first
-compared with one of them: the one that comes first in all buckets, or, in buckets over SMALL_BUCKET, one that differs
-from shingle to shingle. When components are known, those of its classes that are still apart are compared pair by pair;
-so no link between components is lost, and no pairs are made within a component.
+In between, candidates whose parity sketches differ in more bits than their sets may differ in shingles go. What is left
+is verified by intersection.
+
+The classes of a bucket are first compared with one of them, its centre: in small buckets the class with the smallest
+hash, in those over SMALL_BUCKET the one with the fewest rarer shingles, which in a group of near copies is what the
+copies were made from. When components are known, classes of a bucket that are still apart are compared; so no link
+between components is lost, and no pairs are made within a component. In large buckets that is done in tiles of at most
+TILE by TILE classes, by their sketches, and only pairs that pass leave a tile.
 
 Nulls: a null text has an empty set; empty sets are linked with nothing, nor are rows without doc_id, whose component_id
 is null. Rows that share a doc_id are documents of their own. Ties: none, components don't depend on order. Repeated
-rows give a row each. Empty tables give empty results; further columns are ignored, `one_of_each` keeps
-them. Shingles and sets stand as 64-bit hashes.
+rows give a row each. Very long texts are one set. Empty tables give empty results; further columns are ignored,
+`one_of_each` keeps them. Shingles and sets stand as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_words, mix, row_slices, run_hashes, stored, text_bytes
@@ -39,11 +44,16 @@ SMALL_BUCKET = 16
 FREQUENT = 4
 #: Frequent shingles known to the tasks: the order needs no more to be right, only to be good.
 FREQUENT_SHINGLES = 1 << 18
+#: Parts of a frequent shingle's bucket, each with a centre of its own.
+SALTS = 16
 #: Sets of so many classes are picked out while the texts are read; more by a join.
 BROADCAST_CLASSES = 4_000_000
+#: Shared halves of hashes beyond the expected chance matches that may be chance.
 SLACK = 4
 #: 64-bit words of a set's parity sketch.
 SKETCH = 32
+#: Classes on each side of a tile.
+TILE = 8192
 
 
 def prefix_size(n, percent: int):
@@ -132,7 +142,8 @@ def frequent_shingles(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle: int, percent: int) -> DataFrame:
-    """shingle, class, n, place, hot: the rare-first prefix of every set, once for a slice of rows."""
+    """shingle, salt, class, n, place: the rare-first prefix of every set, once for a slice of rows; the salt is -1 where
+    the shingle isn't known as frequent."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +166,10 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle:
                 row.append(np.full(len(take), r))
             if picked:
                 picked, place, row = (np.concatenate(x) for x in (picked, place, row))
-                yield _batch(shingle=sets.values[picked].view(np.int64), **{"class": keys[row]}, n=sets.size[row].astype(np.int32), place=place.astype(np.int32), hot=hot[picked])
+                salt = np.where(hot[picked], keys[row] % SALTS, -1)
+                yield _batch(shingle=sets.values[picked].view(np.int64), salt=salt.astype(np.int8), **{"class": keys[row]}, n=sets.size[row].astype(np.int32), place=place.astype(np.int32))
 
-    return _rows(docs).filter("doc_id IS NOT NULL").mapInArrow(run, "shingle long, class long, n int, place int, hot boolean")
+    return _rows(docs).filter("doc_id IS NOT NULL").mapInArrow(run, "shingle long, salt byte, class long, n int, place int")
 
 
 def _can_reach(n_a, n_b, place_a, place_b, percent: int, least):
@@ -172,8 +184,8 @@ def _can_reach(n_a, n_b, place_a, place_b, percent: int, least):
 def meetings(prefix: DataFrame, percent: int, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """a, b: candidate classes; with b null, a is in a bucket of three or more of `shingle`, with its n and place.
 
-    Rows come sorted by bucket, in one order of classes; no more than `small_bucket` of one are held at once. Buckets of
-    frequent shingles are salted and always count as large.
+    Rows come sorted by bucket and place; no more than `small_bucket` of one are held at once. Buckets of frequent
+    shingles are salted and always count as large.
     """
     schema = "a long, b long, shingle long, n int, place int"
 
@@ -192,12 +204,14 @@ def meetings(prefix: DataFrame, percent: int, small_bucket: int = SMALL_BUCKET)
             out.append((x[0], None, bucket[0], x[1], x[2]))
 
         def finish() -> None:
-            """A small bucket's end: all are candidates with its first class, which similar buckets share."""
-            if not large:
-                for x in held[1:]:
-                    pair(held[0], x)
-                for x in held if len(held) > 2 else ():
-                    member(x)
+            """A small bucket's end: all are candidates with the class of the smallest key, which similar buckets share."""
+            if not large and len(held) > 1:
+                centre = min(held)
+                for x in held:
+                    if x is not centre:
+                        pair(centre, x)
+                    if len(held) > 2:
+                        member(x)
 
         def rows() -> pa.RecordBatch:
             columns = list(zip(*out)) if out else [[]] * 5
@@ -208,28 +222,29 @@ def meetings(prefix: DataFrame, percent: int, small_bucket: int = SMALL_BUCKET)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["a", "b", "shingle", "n", "place"])
 
         for batch in batches:
-            shingle, salt, cls, n, place, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            shingle, salt, cls, n, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             edge = np.ones(len(shingle) + 1, dtype=bool)
             edge[1:-1] = (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])
             runs = np.flatnonzero(edge)
-            use = (np.diff(runs) > 1) | hot[runs[:-1]]
+            use = (np.diff(runs) > 1) | (salt[runs[:-1]] >= 0)
             use[:1] = use[-1:] = True  # may go on in another batch
             for a, b in zip(runs[:-1][use].tolist(), runs[1:][use].tolist()):
                 now = (int(shingle[a]), int(salt[a]))
                 if now != bucket:
                     finish()
-                    bucket, held, large = now, [], bool(hot[a])
+                    bucket, held, large = now, [], now[1] >= 0
+                last = held[-1][0] if held else None
                 for x in zip(cls[a:b].tolist(), n[a:b].tolist(), place[a:b].tolist()):
-                    if held and x[0] == held[-1][0]:
+                    if x[0] == last:
                         continue
+                    last = x[0]
                     if not large and len(held) == small_bucket:
                         large = True
-                        centre = held[bucket[0] % small_bucket]
                         for y in held:
                             member(y)
-                            if y is not centre:
-                                pair(centre, y)
-                        held = [centre]
+                            if y is not held[0]:
+                                pair(held[0], y)
+                        del held[1:]
                     if large:
                         member(x)
                         if not held:
@@ -242,14 +257,14 @@ def meetings(prefix: DataFrame, percent: int, small_bucket: int = SMALL_BUCKET)
         finish()
         yield rows()
 
-    salt = F.when(F.col("hot"), F.pmod("class", F.lit(16))).otherwise(0).cast("int").alias("salt")
-    dealt = prefix.select("shingle", salt, "class", "n", "place", "hot").repartition("shingle", "salt")
-    return dealt.sortWithinPartitions("shingle", "salt", F.xxhash64("class"), "class").mapInArrow(run, schema)
+    dealt = prefix.repartition("shingle", "salt")
+    return dealt.sortWithinPartitions("shingle", "salt", "place", "class").mapInArrow(run, schema)
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, info: DataFrame, shingle: int, bits: int = 64) -> DataFrame:
-    """class, n, shingles (ascending by hash; the first 32 or all 64 bits) of the `wanted` classes, each from the rows of
-    its smallest doc_id."""
+def class_sets(docs: DataFrame, wanted: DataFrame, info: DataFrame, shingle: int, percent: int, bits: int = 64) -> DataFrame:
+    """class, n, first, rest, last of the `wanted` classes, each from the rows of its smallest doc_id: its shingles (the
+    first 32 or all 64 bits), `first` and `last` being the prefixes of the ascending and the descending order, which may
+    overlap."""
     owners = stored(info.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")), "owners")
     few = owners.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     local = owners.toArrow().sort_by("class") if few else None
@@ -264,57 +279,109 @@ def class_sets(docs: DataFrame, wanted: DataFrame, info: DataFrame, shingle: int
                 at = np.minimum(np.searchsorted(classes, keys[rows]), len(classes) - 1) if len(classes) else rows[:0]
                 rows = rows[(classes[at] == keys[rows]) & (owner[at] == ids[rows])] if len(classes) else rows[:0]
             size = sets.size[rows]
-            index = np.repeat(sets.at[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            picked_values = sets.values[index].view(np.int64)
-            picked_values = (picked_values >> 32).astype(np.int32) if bits == 32 else picked_values
-            values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(picked_values))
-            yield _batch(**{"class": keys[rows]}, id=ids[rows].astype(np.int64), n=size, shingles=values)
+            ends = prefix_size(size, percent)
+            parts = []
+            for begin, end in ((0 * size, ends), (ends, size - ends), (size - ends, size)):
+                n = np.maximum(end - begin, 0)
+                index = np.repeat(sets.at[rows] + begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+                values = sets.values[index].view(np.int64)
+                values = (values >> 32).astype(np.int32) if bits == 32 else values
+                parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values)))
+            yield _batch(**{"class": keys[rows]}, id=ids[rows].astype(np.int64), n=size, first=parts[0], rest=parts[1], last=parts[2])
 
     kind = "int" if bits == 32 else "long"
-    found = _rows(docs).filter("doc_id IS NOT NULL").mapInArrow(run, f"class long, id long, n long, shingles array<{kind}>")
-    return (found if few else found.join(owners, ["class", "id"], "left_semi")).drop("id")
+    found = _rows(docs).filter("doc_id IS NOT NULL").mapInArrow(run, f"class long, id long, n long, first array<{kind}>, rest array<{kind}>, last array<{kind}>")
+    return stored((found if few else found.join(owners, ["class", "id"], "left_semi")).drop("id"), "sets")
+
+
+def _classes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+
+
+def _both(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The pairs with columns of both classes' rows in `table`, suffixed."""
+    side = lambda c: table.select(F.col("class").alias(c), *[F.expr(v).alias(f"{k}_{c}") for k, v in columns.items()])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
 def within_sketches(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs whose sketches differ in no more bits than similar sets can differ in shingles."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    one = info.join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    side = lambda c: one.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"bits_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    one = info.join(_classes(pairs), "class", "left_semi").dropDuplicates(["class"])
+    both = _both(pairs, one, {"n": "n", "bits": "sketch"})
     differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return both.filter((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int, slack: int) -> DataFrame:
-    """a, b, sure: the pairs that share prefixes under both hash orders and are similar enough, give or take `slack`
-    shared shingles; sure if they are so without that many."""
-    side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"set_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    size = lambda c: (F.col(f"n_{c}") - F.ceil(F.col(f"n_{c}") * percent / 100) + 1).cast("int")
-    first = lambda c: F.slice(f"set_{c}", F.lit(1), size(c))
-    last = lambda c: F.slice(f"set_{c}", -size(c), size(c))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
+def within_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the pairs that share prefixes under both orders of hashes; only prefixes are read of the sets."""
+    both = _both(pairs, sets, {"first": "first", "last": "last"})
+    return both.filter(F.arrays_overlap("first_a", "first_b") & F.arrays_overlap("last_a", "last_b")).select("a", "b")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, slack: Column) -> DataFrame:
+    """a, b, sure: the pairs that are similar enough, give or take `slack` shared shingles; sure if so without them."""
+    both = _both(pairs, sets, {"n": "n", "set": "concat(first, rest, last)"})
     enough = lambda x: 100 * x >= percent * (F.col("n_a") + F.col("n_b") - x)
-    met = both.filter(F.arrays_overlap(first("a"), first("b")) & F.arrays_overlap(last("a"), last("b")))
-    told = met.withColumn("shared", shared).filter(enough(F.col("shared") + slack))
-    return told.select("a", "b", enough(F.col("shared") - slack).alias("sure")).distinct()
+    told = both.withColumn("shared", F.size(F.array_intersect("set_a", "set_b"))).withColumn("slack", slack).filter(enough(F.col("shared") + F.col("slack")))
+    return told.select("a", "b", enough(F.col("shared") - F.col("slack")).alias("sure")).distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """a, b: the pairs that are similar enough. Sets are compared by halves of their hashes first; pairs that SLACK
-    shingles, a count of chance matches that doesn't occur, would decide are compared by all bits."""
-    wanted = lambda p: p.select(F.col("a").alias("class")).union(p.select("b")).distinct()
-    pairs = stored(within_sketches(pairs, info, percent), "close")
-    rough = stored(compared(pairs, class_sets(docs, wanted(pairs), info, shingle, 32), percent, SLACK), "compared")
+def verified(docs: DataFrame, close: DataFrame, info: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """a, b: those of the pairs that are similar enough. Sets are compared by halves of their hashes first; pairs that
+    chance matches of halves could decide, SLACK more than eight times as many as expected, are compared by all bits."""
+    sets = class_sets(docs, _classes(close), info, shingle, percent, 32)
+    close = stored(within_orders(close, sets), "candidates")
+    chance = F.lit(SLACK) + F.ceil(8.0 * F.col("n_a") * F.col("n_b") / 2.0**32)
+    rough = stored(compared(close, sets, percent, chance), "compared")
     open_pairs = rough.filter("NOT sure").select("a", "b")
     sure = rough.filter("sure").select("a", "b")
     if not open_pairs.limit(1).count():
         return sure
-    return sure.unionByName(compared(open_pairs, class_sets(docs, wanted(open_pairs), info, shingle), percent, 0).select("a", "b"))
+    exact = class_sets(docs, _classes(open_pairs), info, shingle, percent)
+    return sure.unionByName(compared(open_pairs, exact, percent, F.lit(0)).select("a", "b"))
 
 
-def apart(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b: classes of one large bucket that are in different components, where sizes and places allow a link.
+def tiles(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components in one tile whose sizes, places and sketches allow a link.
+
+    `members` are rows of shingle, i, j (the tile), a, n, place, component, main (of the bucket's largest component),
+    own (of the tile's first side), sketch. Rows of `main` are never on the first side.
+    """
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, n, place, component, main, own = (rows.column(c).to_numpy() for c in ("a", "n", "place", "component", "main", "own"))
+        bits = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+        other = np.flatnonzero(~own)
+        for x in np.flatnonzero(own).tolist():
+            can = _can_reach(n[x], n[other], place[x], place[other], percent, np.minimum)
+            y = other[can & (component[other] != component[x]) & (main[other] | (a[other] > a[x]))]
+            differ = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            y = y[(100 + percent) * differ <= (100 - percent) * (n[x] + n[y])]
+            if len(y):
+                yield _batch(a=np.minimum(a[x], a[y]), b=np.maximum(a[x], a[y]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tile = [], None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            edge = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+            for start, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if end > start:
+                    if tile != (now := tuple(key[:, start].tolist())) and held:
+                        yield from compare(pa.Table.from_batches(held))
+                        held = []
+                    tile = now
+                    held.append(batch.slice(start, end - start))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    columns = ["shingle", "i", "j", "a", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"), "component", "main", "own", "sketch"]
+    dealt = members.select(*columns).repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def apart(members: DataFrame, labels: DataFrame, info: DataFrame, percent: int, small_bucket: int = SMALL_BUCKET, tile: int = TILE) -> DataFrame:
+    """a, b: classes of one bucket that are in different components and close by sizes, places and sketches.
 
     The classes of a bucket's largest component are only compared with the others.
     """
@@ -322,14 +389,25 @@ def apart(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     told = members.join(labels.withColumnRenamed("node", "a"), "a", "left").select("shingle", "a", "n", "place", own)
     told = stored(told, "members")
     sizes = told.groupBy("shingle", "component").agg(F.count("*").alias("size"))
-    most = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").select("shingle", F.col("most.component").alias("main"))
-    rest = told.join(most, "shingle").filter("component != main").drop("main")
-    other = told.select("shingle", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("component_b"))
-    met = rest.join(other, "shingle").filter(F.col("component") != F.col("component_b")).filter(_can_reach(F.col("n"), F.col("n_b"), F.col("place"), F.col("place_b"), percent, F.least))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def linked(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE, small_bucket: int = SMALL_BUCKET) -> tuple[DataFrame, DataFrame]:
+    most = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("size"), F.count("*").alias("parts")).filter("parts > 1")
+    told = stored(told.join(most.select("shingle", "size", F.col("most.component").alias("largest")), "shingle").withColumn("main", F.expr("component = largest")), "apart")
+    small, large = told.filter(F.col("size") <= small_bucket), told.filter(F.col("size") > small_bucket)
+    other = small.select("shingle", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("component_b"), F.col("main").alias("main_b"))
+    met = small.filter("NOT main").join(other, "shingle").filter("component != component_b AND (main_b OR a < b)")
+    met = met.filter(_can_reach(F.col("n"), F.col("n_b"), F.col("place"), F.col("place_b"), percent, F.least))
+    met = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    close = within_sketches(met, info, percent)
+    if not large.limit(1).count():
+        return close
+    sketch = info.join(large.select(F.col("a").alias("class")).distinct(), "class", "left_semi").groupBy("class").agg(F.first("sketch").alias("sketch"))
+    blocks = F.ceil(F.col("size") / tile).cast("int")
+    block, every = F.pmod(F.xxhash64("a"), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
+    rows = large.join(sketch.withColumnRenamed("class", "a"), "a").withColumn("own", F.explode(F.expr("IF(main, array(false), array(false, true))")))
+    rows = rows.withColumn("k", F.explode(every)).withColumn("i", F.when(F.col("own"), block).otherwise(F.col("k"))).withColumn("j", F.when(F.col("own"), F.col("k")).otherwise(block))
+    return close.unionByName(tiles(rows, percent)).distinct()
+
+
+def linked(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE, small_bucket: int = SMALL_BUCKET, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(info, labels): id, n, class of every row with a doc_id; node, component of every class with a link."""
     scanned = stored(scan(docs, shingle), "scan")
     info = scanned.filter("NOT frequent").select("id", "n", "class", "sketch")
@@ -338,12 +416,12 @@ def linked(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE, sm
     pairs = stored(met.filter("b IS NOT NULL").select("a", "b").distinct(), "pairs")
     members = met.filter("b IS NULL").select("shingle", "a", "n", "place").distinct()
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return stored(verified(docs, pairs, info, shingle, percent), "links")
+    def links(close: DataFrame) -> DataFrame:
+        return stored(verified(docs, close, info, shingle, percent), "links")
 
-    edges = links(pairs)
+    edges = links(stored(within_sketches(pairs, info, percent), "close"))
     labels = stored(components(edges), "labels")
-    later = stored(apart(members, labels, percent), "pairs")
+    later = stored(apart(members, labels, info, percent, small_bucket, tile), "pairs")
     if later.limit(1).count():
         labels = stored(joined_labels(labels, links(later)), "labels")
     return info, labels
@@ -360,9 +438,9 @@ def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return grown.unionByName(new)
 
 
-def joined(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def joined(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE, small_bucket: int = SMALL_BUCKET, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    info, labels = linked(docs, percent, shingle, small_bucket)
+    info, labels = linked(docs, percent, shingle, small_bucket, tile)
     owners = info.filter("n > 0").groupBy("class").agg(F.min("id").alias("owner"), F.count("*").alias("copies"))
     label = owners.join(labels.withColumnRenamed("node", "class"), "class", "left").filter("copies > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "class"))
     least = label.groupBy("component").agg(F.min("owner").alias("component_id"))

@@ -51,16 +51,36 @@ def corpus(seed, n=260):
     return [*rows, (2, None), (5, ""), (8, " \n"), (11, "Kurz und gut"), (14, "kurz und\tgut"), (17, "gut und kurz"), (20, rows[0][1]), (23, "a" * 3000 + " b c d e f")]
 
 
-@pytest.mark.parametrize("small", [2, 16])
-def test_against_brute_force(spark, small):
-    rows = corpus(small)
+@pytest.mark.parametrize("small, tile", [(2, 8192), (2, 7), (16, 16)])
+def test_against_brute_force(spark, small, tile):
+    rows = corpus(small + tile)
     want = brute(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.joined(df, small_bucket=small).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.joined(df, small_bucket=small, tile=tile).collect()}
     assert got == want
     assert len({c for _, c in want.values()}) < len(want) - 100
 
 
+def test_near_copies_on_both_sides_of_the_threshold_a_common_passage_and_long_texts(spark):
+    """A group whose copies are linked to what they were made from, or through others, or not at all."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    base, passage = [rng.choice(words) for _ in range(150)], [rng.choice(words) for _ in range(60)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 300):
+        t = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((d, " ".join(t)))
+    rows += [(d, " ".join(passage + [rng.choice(words) for _ in range(rng.randrange(0, 25))])) for d in range(300, 420)]
+    long = [rng.choice(words) for _ in range(60_000)]
+    rows += [(500, " ".join(long)), (501, " ".join(long[:50_000])), (502, " ".join(long[20_000:]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.joined(spark.createDataFrame(rows, "doc_id long, text string"), tile=64).collect()}
+    want = brute(rows)
+    assert got == want
+    assert 20 < sum(c != 0 for d, (_, c) in want.items() if d < 300) < 250
+
+
 def test_one_of_each_and_clashing_columns(spark):
     rows = [(3, "a b c d e f", None, "x", 1), (1, "A b c d e f", "en", "x", 1), (1, "A b c d e f", "en", "x", 1), (None, "a b c d e f", "en", "x", 1), (7, None, "en", "x", 1), (9, None, "en", "x", 1)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("class", F.lit(1)).withColumn("component_id", F.lit("c")).withColumn("shingle", F.lit(2))
