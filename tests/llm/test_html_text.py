@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sparkomics.llm import html_text as H
@@ -15,10 +16,29 @@ def test_article_without_furniture():
 
 
 def test_tree_fits_its_table():
-    tree = H.train()
-    rows = [tuple(map(float, line.split())) for line in H.LABELLED.strip().splitlines()]
-    right = sum(H.is_content(tree, r[:-1]) == bool(r[-1]) for r in rows)
-    assert right / len(rows) > 0.93
+    tree, rows = H.train(), H.labelled(H.LABELLED)
+    assert len(rows) > 100 and sum(H.is_content(tree, r[:-1]) == bool(r[-1]) for r in rows) / len(rows) > 0.97
+
+
+def test_tree_on_pages_that_it_has_not_seen():
+    """Each labelled page told by a tree of the others."""
+    right = total = 0
+    for i, page in enumerate(H.LABELLED):
+        tree = H.train(H.LABELLED[:i] + H.LABELLED[i + 1 :])
+        rows = H.labelled([page])
+        right, total = right + sum(H.is_content(tree, r[:-1]) == bool(r[-1]) for r in rows), total + len(rows)
+    assert right / total > 0.85
+
+
+PARAGRAPHS = ["The harbour was quiet when the boats came in that night.", "Nobody had seen them leave, and nobody asked.", "So it went on for years, until the war."]
+
+
+@pytest.mark.parametrize("around", ['<div class="content has-sidebar">', '<article class="post no-comments">', '<article data-role="search">', '<article class="article-meta-2024">', "<article>", f'<article data-x="{"a>" * 5000}">'])
+def test_what_stays_in_an_article(around):
+    more = ["They left for good.", "See the long report of the harbour master for all that is known.", "Then x = 2 holds.", "Inside out."]
+    said = [*PARAGRAPHS, f"<a href=x>{more[1][:-28]}</a>{more[1][-28:]}", "Then <math><mi>x</mi> = 2</math> holds.", "<object>Inside</object> out.", more[0]]
+    page = f"<body><nav><a href=a>Home</a></nav>{around}{''.join(f'<p>{p}</p>' for p in said)}</{around[1:].split()[0].strip('>')}><footer>Us. All rights.</footer></body>"
+    assert H.extract(page, H.train()).split("\n\n") == [*PARAGRAPHS, *more[1:], more[0]]
 
 
 def test_plain_paragraphs_without_hints():
@@ -28,7 +48,7 @@ def test_plain_paragraphs_without_hints():
 
 def test_broken_markup_ends():
     tree = H.train()
-    for page in ("", "<", "<p", "<p class='x", "<!-- never", "<script>never", "a < b > c", "</p></div></html>", "<a" * 20_000, "&" * 1000, "<p>" * 5000 + "x", "<p title=\"'" * 3000):
+    for page in ("", "<", "<p", "<p class='x", "<!-- never", "<script>never", "a < b > c", "</p></div></html>", "<a" * 20_000, "&" * 1000, "<p>" * 5000 + "x", "<p title=\"'" * 3000, "<p title=\"a>" * 100_001, "<p title='\">" * 100_001):
         assert isinstance(H.extract(page, tree), str)
 
 
