@@ -1,16 +1,18 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Each of `tables` hash tables turns unit vectors by three rounds of random signs and a fast Hadamard transform and puts
-them into the bucket of their nearest signed axis. A query probes the `probes` nearest axes of each table; rows found in
-`votes` tables or more are its candidates, ranked by their exact cosine in double precision.
+them into the bucket of their nearest signed axis. A query probes the `probes` nearest axes of each table, and collects
+the rows of these buckets; rows found in `votes` tables or more are its candidates, ranked by their exact cosine in
+double precision. Where fewer than k rows of the whole table are found so often, those found most often fill up.
 
-Every row is indexed. The queries are a stated set: they go to the tasks in blocks of at most `block` rows, each task
-hashes its own rows, and only its best k rows of each query leave it.
+Every row is indexed. The queries are a stated set: they go to the tasks in blocks of at most `block` rows. Each task
+indexes its own rows by table and bucket, a stretch at a time; the candidates of a query don't depend on how rows are
+dealt to tasks, and only its best k of each task leave it.
 
 Nulls: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without vec_id.
 Vectors are compared only with those of as many components. Rows with the query's own vec_id are no candidates of it.
-Ties go to the smaller vec_id; of repeated rows each counts. Where fewer than k rows of a batch reach the votes, those
-with the most are its candidates, so that a table of few rows gives all of them. Empty tables give empty results; further columns are ignored.
+Ties go to the smaller vec_id; of repeated rows each counts. A table of few rows gives all of them. Empty tables give
+empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .common import stored
 
 TABLES, PROBES, VOTES, SEED = 32, 8, 4, 20_240_601
 QUERY_BLOCK = 4096
-_ROWS = 2048  # of a batch that are compared at once
+_ROWS = 8192  # that are indexed at once
 
 
 def vectors(ids: pa.Array, column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -89,24 +91,42 @@ def buckets(x: np.ndarray, tables: int, seed: int) -> np.ndarray:
 
 
 def probed(x: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
-    """(tables, queries, buckets): 1 where a query probes a bucket."""
+    """(tables, queries, probes): the buckets that a query probes, nearest first."""
     out = []
     for y in rotations(x, tables, seed):
         side = np.empty((len(x), 2 * y.shape[1]))
         side[:, 0::2], side[:, 1::2] = -y, y
-        near = np.argsort(-side, axis=1, kind="stable")[:, :probes]
-        mask = np.zeros(side.shape, dtype=np.uint8)
-        np.put_along_axis(mask, near, 1, axis=1)
-        out.append(mask)
+        out.append(np.argsort(-side, axis=1, kind="stable")[:, :probes])
     return np.stack(out)
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best: by score, ties by id."""
+class Index:
+    """Rows by table and bucket: those of bucket b of table t are rows[at[t, b]:at[t, b + 1]]."""
+
+    def __init__(self, x: np.ndarray, tables: int, seed: int) -> None:
+        found = buckets(x, tables, seed)
+        self.n, width = len(x), 2 << max(0, x.shape[1] - 1).bit_length()
+        order = np.argsort(found, axis=1, kind="stable")
+        self.rows = order.ravel()
+        counts = np.stack([np.bincount(b, minlength=width) for b in found])
+        self.at = np.concatenate([np.zeros((tables, 1), np.int64), np.cumsum(counts, axis=1)], axis=1) + self.n * np.arange(tables)[:, None]
+
+    def shares(self, probes: np.ndarray) -> np.ndarray:
+        """In how many tables each row is in one of the buckets (tables, probes)."""
+        tables = np.arange(len(probes))[:, None]
+        start, end = self.at[tables, probes].ravel(), self.at[tables, probes + 1].ravel()
+        n = end - start
+        index = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.rows[index], minlength=self.n)
+
+
+def best(ids: np.ndarray, scores: np.ndarray, shares: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best: by shares, then score, ties by id."""
     if len(ids) > 4 * k:
-        at = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-        return at[np.lexsort((ids[at], -scores[at]))][:k]
-    return np.lexsort((ids, -scores))[:k]
+        most = np.flatnonzero(shares >= np.partition(shares, -k)[-k])
+        at = most[scores[most] >= np.partition(scores[most], -k)[-k]] if shares[most].min() == shares.max() else most
+        return at[np.lexsort((ids[at], -scores[at], -shares[at]))][:k]
+    return np.lexsort((ids, -scores, -shares))[:k]
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, probes: int = PROBES, votes: int = VOTES, seed: int = SEED, block: int = QUERY_BLOCK) -> DataFrame:
@@ -118,7 +138,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES
     rows = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
     base, queries = base.select(*rows), queries.select(*rows)
     n_blocks = max(1, -(-queries.count() // block))
-    schema = "query long, query_id long, vec_id long, score double"
+    schema = "query long, query_id long, vec_id long, score double, shares int"
     parts = []
     for b in range(n_blocks):
         part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).toArrow().combine_chunks()
@@ -131,37 +151,38 @@ def search(base: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES
         shared = spark.sparkContext.broadcast(sent)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            top: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+            # By query: its id, and ids, scores and shares of the best rows so far; candidates have `votes` as their shares.
+            top: dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]] = {}
             for batch in batches:
                 for d, (ids, x) in vectors(batch.column(0), batch.column(1)).items():
                     for at in range(0, len(ids) if d in shared.value else 0, _ROWS):
                         compare(ids[at : at + _ROWS], x[at : at + _ROWS], shared.value[d], top)
-            out = [(q, own, i, s) for q, (own, ids, scores) in top.items() for i, s in zip(ids.tolist(), scores.tolist())]
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["query", "query_id", "vec_id", "score"])
+            out = [(q, own, *row) for q, (own, *found) in top.items() for row in zip(*(c.tolist() for c in found))]
+            columns = list(zip(*out)) if out else [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["query", "query_id", "vec_id", "score", "shares"])
 
         def compare(ids: np.ndarray, x: np.ndarray, sent: tuple, top: dict) -> None:
-            numbers, own_ids, queries, query_norms, masks = sent
+            numbers, own_ids, queries, query_norms, probes_of = sent
             size = norms(x)
-            bucket = buckets(x / size[:, None], tables, seed)
-            seen = np.zeros((len(numbers), len(ids)), dtype=np.uint8)
-            for t in range(tables):
-                seen += masks[t][:, bucket[t]]
+            index = Index(x / size[:, None], tables, seed)
             for q, own in enumerate(own_ids):
-                _, held, held_scores = top.get(numbers[q], (own, np.zeros(0, np.int64), np.zeros(0)))
-                other = np.flatnonzero(ids != own)
-                shares = seen[q][other]
-                at = other[shares >= votes]
-                if len(at) < k:  # the rows that share most tables
-                    at = other[np.argsort(-shares.astype(np.int16), kind="stable")[:k]]
+                shares = np.minimum(index.shares(probes_of[:, q]), votes)
+                shares[ids == own] = -1
+                at = np.flatnonzero(shares == votes)
+                held = top.get(numbers[q], (own, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)))
+                if len(at) < k and (held[3] == votes).sum() < k:
+                    at = np.flatnonzero(shares >= 0)
                 if len(at):
                     scores = (x[at] * queries[q]).sum(axis=1) / (size[at] * query_norms[q])
-                    all_ids, all_scores = np.concatenate([held, ids[at]]), np.concatenate([held_scores, scores])
-                    keep = best(all_ids, all_scores, k)
-                    top[numbers[q]] = own, all_ids[keep], all_scores[keep]
+                    found = [np.concatenate(c) for c in zip(held[1:], (ids[at], scores, shares[at]))]
+                    keep = best(*found, k)
+                    top[numbers[q]] = own, *(c[keep] for c in found)
 
         result = base.mapInArrow(run, schema)
         parts.append((stored(result, "neighbours") if n_blocks > 1 else result).withColumn("block", F.lit(b)))
+    merged = reduce(DataFrame.unionByName, parts)
+    first = Window.partitionBy("block", "query").orderBy(F.desc("shares"), F.desc("score"), "vec_id")
     order = Window.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id")
-    merged = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order))
-    return merged.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kept = merged.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k)
+    return kept.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
