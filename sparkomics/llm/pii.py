@@ -1,14 +1,17 @@
 """Personal data: base patterns, and terms that disclose what the patterns protect.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Corpus co-occurrence then tells how far
-a term reveals a protected entity: over all lines as contexts, the pointwise mutual information of term and entity, as
-a part of the entity's information content. Terms at or over `disclosure` that `support` or more different lines bear
-out are spans too, wherever they stand in a line with that entity; in sanitised texts they are generalised
+a term reveals a protected entity. Contexts are lines, longer ones by stretches of CONTEXT characters. The pointwise
+mutual information of term and entity over all contexts, as a part of the entity's information content, is the term's
+disclosure; the entity's share of the term's contexts is shrunk towards its share of all by SHRINKAGE contexts, so that
+few joint occurrences tell less than many, but a term seen with one rare entity alone still tells. Terms at or over
+`disclosure` are spans too, wherever they stand in a context with that entity; in sanitised texts they are generalised
 to a placeholder, or removed at or over `removal`. DataFrame operations only.
 
-Nulls: a null text is empty and has no spans; a null doc_id stays null. Repeated rows give one result row each. Spans
-are code points with exclusive ends, in the order of start, then kind. No span crosses a line end. Empty tables give
-empty results; further columns of the input are ignored, or kept by `sanitise`.
+Nulls: a null text is empty and has no spans; a null doc_id stays null. Repeated rows give one result row each, and count
+as often as they are there. Spans are code points with exclusive ends, in the order of start, then kind. No span crosses
+a line end. Very long lines are only compared within their stretches. Empty tables give empty results; further columns
+of the input are ignored, or kept by `sanitise`.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from .common import stored
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE = 0.8
 REMOVAL = 0.95
-SUPPORT = 3
-#: More candidate terms than this are joined after counting all terms, not broadcast before it.
-BROADCAST_TERMS = 200_000
+SHRINKAGE = 3.0
+CONTEXT = 2000
 
-#: Possessive throughout: nothing follows that could want characters back, and long chains need no stack.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+#: Possessive throughout: nothing follows that could want characters back, and long chains need no stack. An address
+#: begins where its run of characters does, or where the address before it ends.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: On lines whose separators stand between two digits only; so a run is a match of `[0-9]([\x20-]?[0-9])+`.
 LONE_SEPARATOR = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"
@@ -72,7 +75,8 @@ def _matches(line: Column, pattern: str, kind: str) -> Column:
 
 
 def _placed(rows: DataFrame, matches: Column, *keep: str) -> DataFrame:
-    """A row per match with its start and end in the text; rows has row, line_no, at (the line's start)."""
+    """A row per match with its start and end in the text, and its context's number in the line; rows has row, line_no,
+    at (the line's start)."""
     order = Window.partitionBy("row", "line_no", "kind").orderBy("i")
     size = F.length("value")
     return (
@@ -80,6 +84,7 @@ def _placed(rows: DataFrame, matches: Column, *keep: str) -> DataFrame:
         .select("row", "line_no", "at", *keep, "m.*")
         .withColumn("end", F.col("at") + F.sum(F.col("gap") + size).over(order))
         .withColumn("start", F.col("end") - size)
+        .withColumn("piece", F.floor((F.col("start") - F.col("at")) / CONTEXT))
         .drop("gap", "i", "at")
     )
 
@@ -100,7 +105,7 @@ def entity_lines(docs: DataFrame) -> DataFrame:
 
 
 def base_spans(lines: DataFrame) -> DataFrame:
-    """row, line_no, line_id, kind, value, start, end of every base span."""
+    """row, line_no, piece, kind, value, start, end of every base span."""
     line = F.col("line")
     none = F.expr("filter(array(named_struct('kind', '', 'i', 0, 'gap', 0, 'value', '')), x -> false)")
     digit = line.rlike("[0-9]")
@@ -110,56 +115,54 @@ def base_spans(lines: DataFrame) -> DataFrame:
         F.when(digit, _matches(F.regexp_replace(line, LONE_SEPARATOR, "\n"), CARD, "card")).otherwise(none),
         F.when(F.instr(line, "+") > 0, _matches(line, PHONE, "phone")).otherwise(none),
     )
-    rows = lines.withColumn("line_id", F.xxhash64("line"))
-    return _placed(rows, found, "line_id").filter(_holds(F.col("kind"), F.col("value")))
-
-
-def disclosing_terms(docs: DataFrame, lines: DataFrame, spans: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """value, term, ratio: terms whose co-occurrence with an entity discloses it."""
-    terms = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(TERM), F.lit(0)), F.lower))
-    told = spans.select("row", "line_no", "line_id", "value").distinct()
-    entity = told.groupBy("value").agg(F.count("*").alias("n_e"))
-    pairs = (
-        told.join(lines.select("row", "line_no", "line"), ["row", "line_no"])
-        .select("value", "line_id", F.explode(terms(F.col("line"))).alias("term"))
-        .groupBy("value", "term", "line_id")
-        .agg(F.count("*").alias("n"))
-        .groupBy("value", "term")
-        .agg(F.sum("n").alias("n_et"), F.count("*").alias("different"))
-        .filter(F.col("different") >= support)
-    )
-    pairs = stored(pairs.join(entity, "value"), "pii-pairs")
-    wanted = pairs.select("term").distinct()
-    few = wanted.limit(BROADCAST_TERMS + 1).count()
-    if not few:
-        return pairs.select("value", "term", F.lit(0.0).alias("ratio")).limit(0)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    n = F.lit(float(docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0]))
-    uses = docs.select(F.explode(F.split(text, "\n", -1)).alias("line")).select(F.explode(terms(F.col("line"))).alias("term"))
-    if few <= BROADCAST_TERMS:
-        uses = uses.join(F.broadcast(wanted), "term", "left_semi")
-    term = uses.groupBy("term").agg(F.count("*").alias("n_t"))
-    ratio = F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / F.log(n / F.col("n_e"))
-    joined = pairs.join(term, "term").filter(F.col("n_e") < n)
-    return joined.select("value", "term", ratio.alias("ratio")).filter(F.col("ratio") >= disclosure)
+    return _placed(lines, found).filter(_holds(F.col("kind"), F.col("value")))
 
 
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+def term_contexts(docs: DataFrame) -> tuple[DataFrame, float]:
+    """(term and n_t, the number of its contexts; the number of all contexts)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines = docs.select(F.explode(F.split(text, "\n", -1)).alias("line"))
+    long = F.length("line") > CONTEXT
+    words = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), F.lower))
+    stretches = docs.filter(F.length(text) > CONTEXT).withColumn("row", F.monotonically_increasing_id())
+    stretches = stretches.select("row", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).filter(long).withColumn("at", F.lit(0))
+    parts = _placed(stretches, _matches(F.col("line"), TERM, "term")).select("row", "line_no", "piece", F.lower("value").alias("term")).distinct()
+    counts = lines.filter(~long).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = counts.unionByName(parts.groupBy("term").agg(F.count("*").alias("n_t")))
+    n = lines.agg(F.sum(F.greatest(F.ceil(F.length("line") / CONTEXT), F.lit(1)))).first()[0]
+    return counts.groupBy("term").agg(F.sum("n_t").alias("n_t")), float(n or 0)
+
+
+def disclosing_terms(docs: DataFrame, met: DataFrame, spans: DataFrame, disclosure: float = DISCLOSURE, shrinkage: float = SHRINKAGE) -> DataFrame:
+    """value, term, ratio: terms whose co-occurrence with an entity discloses it. `met` are the rows of row, line_no,
+    piece, value, term of terms in a context with an entity."""
+    pairs = met.groupBy("value", "term").agg(F.count("*").alias("n_et"))
+    entity = spans.select("row", "line_no", "piece", "value").distinct().groupBy("value").agg(F.count("*").alias("n_e"))
+    counts, n = term_contexts(docs)
+    term = counts.join(pairs.select("term").distinct(), "term", "left_semi")
+    share = F.col("n_e") / n
+    told = (F.col("n_et") + shrinkage * share) / (F.col("n_t") + shrinkage)
+    joined = pairs.join(entity, "value").join(term, "term").filter(F.col("n_e") < n)
+    return joined.select("value", "term", (F.log(told / share) / -F.log(share)).alias("ratio")).filter(F.col("ratio") >= disclosure)
+
+
+def find(docs: DataFrame, disclosure: float = DISCLOSURE, shrinkage: float = SHRINKAGE) -> tuple[DataFrame, DataFrame]:
     """(entity lines, spans): spans has row, kind, start, end, ratio for base spans and disclosing terms."""
     lines = stored(entity_lines(docs), "pii-lines")
     base = stored(base_spans(lines), "pii-spans")
-    told = disclosing_terms(docs, lines, base, disclosure, support)
-    where = base.select("row", "line_no", "value").distinct().join(told, "value").groupBy("row", "line_no", "term").agg(F.max("ratio").alias("ratio"))
-    word = _matches(F.col("line"), TERM, "term")
-    held = lines.join(where.select("row", "line_no").distinct(), ["row", "line_no"], "left_semi")
-    placed = _placed(held, word).withColumn("term", F.lower("value"))
-    terms = placed.join(where, ["row", "line_no", "term"])
+    held = lines.join(base.select("row", "line_no").distinct(), ["row", "line_no"], "left_semi")
+    placed = stored(_placed(held, _matches(F.col("line"), TERM, "term")).withColumn("term", F.lower("value")).drop("value"), "pii-terms")
+    context = ["row", "line_no", "piece"]
+    met = stored(base.select(*context, "value").distinct().join(placed.select(*context, "term").distinct(), context), "pii-pairs")
+    told = stored(disclosing_terms(docs, met, base, disclosure, shrinkage), "pii-disclosing")
+    where = met.join(told, ["value", "term"]).groupBy(*context, "term").agg(F.max("ratio").alias("ratio"))
+    terms = placed.join(where, [*context, "term"])
     return lines, base.select("row", "kind", "start", "end", F.lit(1.0).alias("ratio")).unionByName(terms.select("row", "kind", "start", "end", "ratio"))
 
 
-def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, shrinkage: float = SHRINKAGE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans: one row per document."""
-    lines, spans = find(docs, disclosure, support)
+    lines, spans = find(docs, disclosure, shrinkage)
     rank = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "ip", 1).when(F.col("kind") == "card", 2).when(F.col("kind") == "phone", 3).otherwise(4)
     per_row = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("all"))
     said = lambda a: F.concat_ws(",", F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
