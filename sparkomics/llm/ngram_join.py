@@ -10,8 +10,8 @@ sent anywhere:
    dealt by shingle; classes that meet in a bucket and whose sizes and places allow the similarity are candidates.
 2., 3. the shingles' hashes, ascending and descending. Candidates must share prefixes under both.
 
-In between, candidates whose parity sketches differ in more bits than their sets may differ in shingles go. What is left
-is verified by intersection.
+In between, candidates whose parity sketches differ in more bits than their sets may differ in shingles go; a sketch has
+two bits or more for a shingle, and is folded where it meets a shorter one. What is left is verified by intersection.
 
 The classes of a bucket are first compared with one of them, its centre: in small buckets the class with the smallest
 hash, in those over SMALL_BUCKET the one with the fewest rarer shingles, which in a group of near copies is what the
@@ -50,8 +50,8 @@ SALTS = 16
 BROADCAST_CLASSES = 4_000_000
 #: Shared halves of hashes beyond the expected chance matches that may be chance.
 SLACK = 4
-#: 64-bit words of a set's parity sketch.
-SKETCH = 32
+#: Bits of a set's parity sketch for each shingle, and the least 64-bit words.
+SKETCH_BITS, SKETCH_WORDS = 2, 4
 #: Classes on each side of a tile.
 TILE = 8192
 
@@ -87,16 +87,25 @@ class Sets:
         """A 64-bit key of each set, whatever the order of its shingles."""
         return mix(self._sum(mix(self.values)) + self.size.astype(np.uint64)).view(np.int64)
 
-    def sketches(self) -> np.ndarray:
-        """(sets, SKETCH): every shingle turns one bit over. Sets that differ in d shingles differ in d bits at most."""
-        bit = (mix(self.values ^ np.uint64(0x5B5B5B5B)) % np.uint64(64 * SKETCH)).astype(np.int64)
-        out = np.zeros((len(self.size), 8 * SKETCH), dtype=np.uint8)
-        for a in range(0, len(self.size), 512):
-            b = min(len(self.size), a + 512)
-            row = np.repeat(np.arange(b - a), self.size[a:b])
-            odd = np.bincount(row * (64 * SKETCH) + bit[self.at[a] : self.at[b]], minlength=(b - a) * 64 * SKETCH) & 1
-            out[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, -1), axis=1)
-        return out.view(np.int64)
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """(words of all sketches, words of each): every shingle turns one bit over, so that sets which differ in d
+        shingles differ in d bits at most. A sketch's words are a power of two; its halves' difference is the sketch of
+        half as many."""
+        wanted = np.maximum(-(-self.size * SKETCH_BITS // 64), SKETCH_WORDS)
+        width = np.int64(1) << np.ceil(np.log2(wanted)).astype(np.int64)
+        start = np.cumsum(width) - width
+        hashed, out = mix(self.values ^ np.uint64(0x5B5B5B5B)), np.zeros(int(width.sum()), dtype=np.int64)
+        for w in np.unique(width):
+            rows = np.flatnonzero(width == w)
+            step = max(1, (1 << 20) // (64 * int(w)))
+            for a in range(0, len(rows), step):
+                part = rows[a : a + step]
+                bit = np.concatenate([hashed[self.at[r] : self.at[r + 1]] for r in part]) & np.uint64(64 * w - 1)
+                row = np.repeat(np.arange(len(part)), self.size[part])
+                odd = np.bincount(row * (64 * w) + bit.astype(np.int64), minlength=len(part) * 64 * int(w)) & 1
+                words = np.packbits(odd.astype(np.uint8).reshape(len(part), -1), axis=1).view(np.int64)
+                out[(start[part][:, None] + np.arange(w)).ravel()] = words.ravel()
+        return out, width
 
 
 def _each_slice(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[np.ndarray, Sets]]:
@@ -123,7 +132,8 @@ def scan(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _each_slice(batches, shingle):
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * SKETCH), pa.array(sets.sketches().ravel()))
+            words, width = sets.sketches()
+            bits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.array(words))
             yield _batch(frequent=np.zeros(len(ids), bool), id=ids.astype(np.int64), n=sets.size, **{"class": sets.keys()}, sketch=bits)
             value, count = np.unique(sets.values, return_counts=True)
             often = count >= FREQUENT
@@ -304,11 +314,21 @@ def _both(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
+def folds(percent: int) -> int:
+    """How often a sketch is folded at most to meet that of a set which can be similar."""
+    return int(np.ceil(np.log2(100 / percent)))
+
+
 def within_sketches(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs whose sketches differ in no more bits than similar sets can differ in shingles."""
     one = info.join(_classes(pairs), "class", "left_semi").dropDuplicates(["class"])
     both = _both(pairs, one, {"n": "n", "bits": "sketch"})
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    for _ in range(folds(percent)):
+        for c, d in ("ab", "ba"):
+            half = f"CAST(size(bits_{c}) / 2 AS INT)"
+            folded = f"zip_with(slice(bits_{c}, 1, {half}), slice(bits_{c}, {half} + 1, {half}), (x, y) -> x ^ y)"
+            both = both.withColumn(f"bits_{c}", F.expr(f"IF(size(bits_{c}) > size(bits_{d}), {folded}, bits_{c})"))
+    differ = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     return both.filter((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
@@ -350,15 +370,32 @@ def tiles(members: DataFrame, percent: int) -> DataFrame:
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         a, n, place, component, main, own = (rows.column(c).to_numpy() for c in ("a", "n", "place", "component", "main", "own"))
-        bits = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
-        other = np.flatnonzero(~own)
+        sketch = rows.column("sketch").combine_chunks()
+        width, bits = sketch.value_lengths().to_numpy(), sketch.flatten().to_numpy().view(np.uint64)
+        start = np.cumsum(width) - width
+        # By the words of the sketches compared: rows of the second side, and their sketches folded to that.
+        sides: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero((width == w) & ~own)
+            words = bits[start[at][:, None] + np.arange(w)]
+            for _ in range(folds(percent) + 1):
+                sides[w, words.shape[1]] = at, words
+                words = words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
         for x in np.flatnonzero(own).tolist():
-            can = _can_reach(n[x], n[other], place[x], place[other], percent, np.minimum)
-            y = other[can & (component[other] != component[x]) & (main[other] | (a[other] > a[x]))]
-            differ = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-            y = y[(100 + percent) * differ <= (100 - percent) * (n[x] + n[y])]
-            if len(y):
-                yield _batch(a=np.minimum(a[x], a[y]), b=np.maximum(a[x], a[y]))
+            mine = bits[start[x] : start[x] + width[x]]
+            for _ in range(folds(percent) + 1):
+                for (w, k), (at, words) in sides.items():
+                    # Each pair once: where neither sketch is folded more than it has to be.
+                    if k != len(mine) or k != min(w, width[x]):
+                        continue
+                    can = _can_reach(n[x], n[at], place[x], place[at], percent, np.minimum)
+                    can &= (component[at] != component[x]) & (main[at] | (a[at] > a[x]))
+                    y, near = at[can], words[can]
+                    differ = np.bitwise_count(near ^ mine).sum(axis=1, dtype=np.int64)
+                    y = y[(100 + percent) * differ <= (100 - percent) * (n[x] + n[y])]
+                    if len(y):
+                        yield _batch(a=np.minimum(a[x], a[y]), b=np.maximum(a[x], a[y]))
+                mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tile = [], None
