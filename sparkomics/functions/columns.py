@@ -128,3 +128,126 @@ def framingham_risk(male: Column, age: Column, cholesterol: Column, hdl: Column,
 
     known = treated.isNotNull() & male.isNotNull()
     return F.when(known, F.when(male, score(True)).otherwise(score(False)))
+
+
+def is_deletion(ref: Column, alt: Column, sv: Column) -> Column:
+    """An indel of one alternative at most that is missing or shorter than the reference."""
+    first = F.get(alt, 0)
+    return (F.size(alt) <= 1) & is_indel(ref, alt, sv) & (first.isNull() | (first == ".") | (F.length(ref) > F.length(first)))
+
+
+def var_subtype(ref: Column, alt: Column, info: Column) -> Column:
+    """ts, tv, del, ins, unknown, complex (breakends), or the structural variant's type; of imprecise ones the
+    alternative's symbol."""
+    kind = F.try_element_at(info, F.lit("SVTYPE"))
+    sv, one = F.map_contains_key(info, "SVTYPE"), F.size(alt) == 1
+    snp = F.when(is_transition(ref, alt), "ts").when(one, "tv").otherwise("unknown")
+    indel = F.when(is_deletion(ref, alt, sv), "del").when(one, "ins").otherwise("unknown")
+    structural = F.when(kind.isNull(), "unknown").when(kind == "BND", "complex").when(~F.map_contains_key(info, "IMPRECISE"), kind).otherwise(F.trim(F.get(alt, 0), F.lit("<>")))
+    return F.when(is_snp(ref, alt), snp).when(is_indel(ref, alt, sv), indel).otherwise(structural)
+
+
+def ploidy(text: Column) -> Column:
+    return F.size(F.split(text, r"[/|]"))
+
+
+def is_phased(text: Column) -> Column:
+    return F.contains(text, F.lit("|"))
+
+
+def variant_end(pos: Column, alt: Column) -> Column:
+    return pos + F.length(F.get(alt, 0))
+
+
+def legacy_variant_id(chrom: Column, pos: Column, ref: Column, alt: Column) -> Column:
+    """The identifier with all alternatives, joined by slashes; - stands for what is missing."""
+    return F.concat_ws("-", chrom, pos.cast("string"), F.coalesce(ref, F.lit("-")), F.array_join(F.transform(alt, lambda a: F.coalesce(a, F.lit("-"))), "/"))
+
+
+def genotype_index(low: Column, high: Column) -> Column:
+    """The place of an unordered genotype among a variant's genotype counts."""
+    return (high * (high + 1) / 2 + low).cast("int")
+
+
+def same_sequence(a: Column, b: Column) -> Column:
+    return F.lower(a) == F.lower(b)
+
+
+def without_ambiguity(c: Column) -> Column:
+    """Two-base ambiguity codes become N."""
+    return F.regexp_replace(c, "[KYWMRS]", "N")
+
+
+def feature_sequence(seq: Column, start: Column, end: Column, strand: Column) -> Column:
+    """A feature's part of a sequence, places from 1, both ends included; on the minus strand its reverse complement."""
+    part = F.substr(seq, start.cast("int"), (end - start + 1).cast("int"))
+    return F.when(strand == "-", revcomp(part)).otherwise(part)
+
+
+def pmin(*columns: Column) -> Column:
+    """The lesser of each place of arrays and scalars."""
+    return _parallel(F.least, columns)
+
+
+def pmax(*columns: Column) -> Column:
+    return _parallel(F.greatest, columns)
+
+
+def _parallel(pick, columns) -> Column:
+    """The first column is an array, the others arrays or scalars (given as numbers)."""
+    out = columns[0]
+    for c in columns[1:]:
+        other = c if isinstance(c, Column) else F.array_repeat(F.lit(c), F.size(out))
+        out = F.zip_with(out, other, lambda x, y: pick(x, y))
+    return out
+
+
+def psl_scores(c: dict[str, Column], mrna: bool = True) -> tuple[Column, Column]:
+    """(score, percent identity) of an alignment in PSL columns."""
+    last = lambda x: F.element_at(F.filter(F.split(c[x], ","), lambda v: v != ""), -1).cast("bigint")
+    reach = 3 * last("block_sizes") + last("t_starts")
+    protein = F.when(c["strand"] == "+", c["t_end"] == reach).when(c["strand"] == "-", c["t_start"] == c["t_size"] - reach).otherwise(False)
+    size = F.when(protein, 3).otherwise(1)
+    score = size * (c["matches"] + F.floor(c["rep_matches"] / 2)) - size * c["mismatches"] - c["q_num_insert"] - c["t_num_insert"]
+    q_size, t_size = size * (c["q_end"] - c["q_start"]), c["t_end"] - c["t_start"]
+    difference = q_size - t_size
+    difference = F.when(difference >= 0, difference).otherwise(F.lit(0) if mrna else -difference)
+    inserts = c["q_num_insert"] if mrna else c["q_num_insert"] + c["t_num_insert"]
+    total = size * (c["matches"] + c["rep_matches"] + c["mismatches"])
+    gap = F.floor(3 * F.log(1 + difference) + 0.5)
+    bad = F.when((F.least(q_size, t_size) <= 0) | (total == 0), 0).otherwise(F.floor(1000 * (c["mismatches"] * size + inserts + gap) / total))
+    return score, 100.0 - bad * 0.1
+
+
+def feature_type(value: Column) -> Column:
+    """The type of a pedigree's feature by a value: marker, trait, affection or other."""
+    return F.when(value.rlike("[/ ]"), "m").when(F.upper(value) == "X", "t").when(value.isin("0", "1", "2"), "a").otherwise("s")
+
+
+#: What stands for an unknown value, by a feature's type; 0 for any other.
+EMPTY_VALUES = {"a": "X", "c": "X", "t": "X", "m": "0/0", "s": "X"}
+
+
+def empty_value(kind: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in EMPTY_VALUES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(kind)), F.lit("0"))
+
+
+def ibd_state(p0: Column, p1: Column, p2: Column) -> Column:
+    """How many alleles are shared most probably; of equals the fewest."""
+    p = [x.try_cast("double") for x in (p0, p1, p2)]
+    return (F.array_position(F.array(*p), F.greatest(*p)) - 1).cast("int")
+
+
+def parse_date(c: Column, formats: list[str]) -> Column:
+    """The date by the first format that fits."""
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in formats])
+
+
+def body_mass_index(weight_kg: Column, height_cm: Column) -> Column:
+    return F.try_divide(weight_kg, F.pow(height_cm / 100, F.lit(2.0)))
+
+
+def token(c: Column, place: int, sep: str = "-") -> Column:
+    """The token at a place, from 1; null if there are fewer."""
+    return F.nullif(F.split_part(c, F.lit(sep), F.lit(place)), F.lit(""))

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Groups that a full matrix of pairs may have.
+MATRIX_GROUPS = 2000
+
 
 def freq(df: DataFrame, key: str, name: str = "n") -> DataFrame:
     """Rows by key."""
@@ -43,22 +46,27 @@ def fingerprint(array: Column, every: bool = False) -> Column:
     return F.md5(F.concat_ws("", F.transform(kept, lambda x: x.cast("string"))))
 
 
-def overlap(df: DataFrame, group: str, element: str) -> DataFrame:
-    """a, b, shared, n_a, n_b for a <= b: sizes of intersections of the groups' sets, those that share nothing included.
+def overlap(df: DataFrame, group: str, element: str, zeros: bool = False) -> DataFrame:
+    """a, b, shared, n_a, n_b for a <= b: sizes of intersections of the groups' sets.
 
-    The pairs come from joining elements, so that their number is bounded by what groups share; groups themselves are
-    the few rows of the matrix.
+    The pairs come from joining elements, so that their number is bounded by what groups share. With `zeros` pairs that
+    share nothing are there too, a full matrix, which up to MATRIX_GROUPS groups can have.
     """
     pairs = df.select(F.col(group).alias("g"), F.col(element).alias("e")).filter("g IS NOT NULL AND e IS NOT NULL").distinct()
     sizes = pairs.groupBy("g").agg(F.count("*").alias("n"))
     met = pairs.alias("x").join(pairs.alias("y"), F.expr("x.e = y.e AND x.g <= y.g")).groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.count("*").alias("shared"))
     a, b = (sizes.select(F.col("g").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    return a.join(b, F.expr("a <= b")).join(met, ["a", "b"], "left").fillna(0, ["shared"]).select("a", "b", "shared", "n_a", "n_b")
+    if zeros:
+        groups = sizes.limit(MATRIX_GROUPS + 1).count()
+        if groups > MATRIX_GROUPS:
+            raise ValueError(f"over {MATRIX_GROUPS} groups: no full matrix")
+        return F.broadcast(a).join(b, F.expr("a <= b")).join(met, ["a", "b"], "left").fillna(0, ["shared"]).select("a", "b", "shared", "n_a", "n_b")
+    return met.join(a, "a").join(b, "b").select("a", "b", "shared", "n_a", "n_b")
 
 
-def jaccard(df: DataFrame, group: str, element: str) -> DataFrame:
-    """a, b, jaccard of every two groups, a <= b."""
-    return overlap(df, group, element).select("a", "b", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
+def jaccard(df: DataFrame, group: str, element: str, zeros: bool = False) -> DataFrame:
+    """a, b, jaccard of every two groups that share an element, or with `zeros` of all, a <= b."""
+    return overlap(df, group, element, zeros).select("a", "b", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
 
 
 def venn_regions(df: DataFrame, group: str, element: str, groups: list[str]) -> DataFrame:

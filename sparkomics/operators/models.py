@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkomics.functions.special import t_two_sided
-from sparkomics.operators.stats import average_rank
+from sparkomics.operators.stats import with_rank
 
 
 def lowess_fit(x: np.ndarray, y: np.ndarray, f: float = 2 / 3, iterations: int = 3) -> np.ndarray:
@@ -133,7 +133,8 @@ def tmm_factors(df: DataFrame, sample: str, gene: str, value: str, reference, lo
     ratio = both.withColumn("__m", F.log2(a / b)).withColumn("__a", (F.log2(a) + F.log2(b)) / 2)
     variance = (F.col("__lib") - F.col(value)) / F.col("__lib") / F.col(value) + (F.col("__rl") - F.col("__rv")) / F.col("__rl") / F.col("__rv")
     n = F.count("*").over(Window.partitionBy(sample))
-    ranked = ratio.withColumn("__w", 1 / variance).withColumn("__n", n).withColumn("__im", average_rank("__m", [sample])).withColumn("__ia", average_rank("__a", [sample]))
+    weighted = ratio.withColumn("__w", 1 / variance).withColumn("__n", n)
+    ranked = with_rank(with_rank(weighted, "__m", [sample], "__im"), "__a", [sample], "__ia")
     low_m, low_a = F.floor(F.col("__n") * logratio_trim) + 1, F.floor(F.col("__n") * sum_trim) + 1
     kept = ranked.filter(F.col("__im").between(low_m, F.col("__n") + 1 - low_m) & F.col("__ia").between(low_a, F.col("__n") + 1 - low_a))
     factors = kept.groupBy(sample).agg((F.sum(F.col("__m") * F.col("__w")) / F.sum("__w")).alias("factor"))

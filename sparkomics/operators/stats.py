@@ -1,4 +1,8 @@
-"""Statistics as windows and aggregates; special functions come from `functions.special`."""
+"""Statistics as windows and aggregates; special functions come from `functions.special`.
+
+Ranks and what follows from them are taken over the different values of a group, dealt over buckets of values, and carried
+from bucket to bucket by small sums; so a group of any size is spread over many tasks.
+"""
 
 from __future__ import annotations
 
@@ -6,44 +10,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkomics.functions.special import chi2_sf, fisher_two_sided, hwe_exact, norm_ppf
+from sparkomics.functions.special import chi2_sf, fisher_two_sided, hwe_exact, norm_ppf, t_two_sided
 
+#: The names of the methods.
 _ALIASES = {
     "fwer": "bonferroni", "bonferroni": "bonferroni", "holm": "holm", "holm-bonferroni": "holm", "hochberg": "hochberg",
-    "fdr": "bh", "bh": "bh", "benjamini_hochberg": "bh", "by": "by", "benjamini_yekutieli": "by", "bejamini_yekutieli": "by",
+    "fdr": "bh", "bh": "bh", "benjamini_hochberg": "bh", "fdr_bh": "bh",
+    "by": "by", "benjamini_yekutieli": "by", "bejamini_yekutieli": "by", "fdr_by": "by",
 }
+BUCKETS = 64
+
+
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that takes nulls as equal; the right side's keys go."""
+    renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & left[c].eqNullSafe(renamed[f"__r_{c}"])
+    return left.join(renamed if on else F.broadcast(renamed), condition, how).drop(*[f"__r_{c}" for c in on])  # without keys: one row
+
+
+def ranked_values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, __v (each different value that isn't null), __k (its rows), __b (its bucket), __last (rows of the group up to it)."""
+    counts = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count("*").alias("__k"))
+    edges = counts.agg(F.percentile_approx("__v", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("__edges"))
+    placed = counts.join(F.broadcast(edges)).withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")  # one row
+    sums = placed.groupBy(*by, "__b").agg(F.sum("__k").alias("__size"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
+    within = Window.partitionBy(*by, "__b").orderBy("__v")
+    return _join(placed, sums, [*by, "__b"]).withColumn("__last", F.col("__before") + F.sum("__k").over(within)).drop("__before")
+
 
+def _harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: summed, or by its asymptotic series, which is exact to double precision over 10,000."""
+    few = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(10_000)).cast("int")), F.lit(0.0), lambda a, k: a + 1.0 / k)
+    return F.when(n <= 10_000, few).otherwise(F.log(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n))
 
-def p_adjust(df: DataFrame, p: str, by: list[str], tie: str, method: str = "fwer", n: int | None = None, name: str = "q") -> DataFrame:
-    """The rows with adjusted p-values within `by`; null p-values give 1 and count among n. Unknown methods are Bonferroni."""
+
+def p_adjust(df: DataFrame, p: str, by: list[str], method: str = "fwer", n: int | None = None, name: str = "q") -> DataFrame:
+    """The rows with adjusted p-values within `by`; null p-values give 1 and count among n. Unknown methods are Bonferroni.
+
+    Equal p-values have equal adjusted ones, so that the step procedures run over the different values.
+    """
     method = _ALIASES.get(method.lower(), "bonferroni")
-    every = Window.partitionBy(*by)
-    total = F.count(F.lit(1)).over(every)
-    total = F.greatest(total, F.lit(n)) if n is not None else total
-    # Nulls come last in ascending order and don't move the ranks of the others.
-    up = every.orderBy(F.asc_nulls_last(p), tie)
-    rank = F.row_number().over(up)
-    ranked = df.withColumn("__n", total.cast("double")).withColumn("__i", rank)
-    value, i, m = F.col(p), F.col("__i"), F.col("__n")
-    forward = up.rowsBetween(Window.unboundedPreceding, 0)
-    backward = every.orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)
+    total = df.groupBy(*by).agg(F.count("*").alias("__m"))
+    total = total.withColumn("__m", F.greatest("__m", F.lit(n)) if n is not None else F.col("__m"))
+    m, value = F.col("__m").cast("double"), F.col("__v")
     if method == "bonferroni":
-        q = m * value
-    elif method == "holm":
-        q = F.max((m - i + 1) * value).over(forward)
-    elif method == "hochberg":
-        q = F.min((m - i + 1) * value).over(backward)
-    else:
-        scale = F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda a, k: a + 1.0 / k) if method == "by" else F.lit(1.0)
-        q = F.min(scale * m / i * value).over(backward)
-    return ranked.withColumn(name, F.when(value.isNull(), 1.0).otherwise(F.least(F.lit(1.0), q))).drop("__n", "__i")
+        told = _join(df, total, by).withColumn("__q", m * F.col(p).cast("double"))
+        return told.withColumn(name, F.when(F.col(p).isNull(), 1.0).otherwise(F.least(F.lit(1.0), "__q"))).drop("__m", "__q")
+    total = total.withColumn("__scale", _harmonic(m) if method == "by" else F.lit(1.0))
+    last, first = F.col("__last"), F.col("__last") - F.col("__k") + 1
+    step = {"holm": (m - first + 1) * value, "hochberg": (m - last + 1) * value}.get(method, F.col("__scale") * m / last * value)
+    ranked = _join(ranked_values(df, p, by), total, by).withColumn("__s", step)
+    up = method == "holm"  # the largest value so far, else the smallest from the last one down
+    extreme, least = (F.max, F.greatest) if up else (F.min, F.least)
+    edges = ranked.groupBy(*by, "__b").agg(extreme("__s").alias("__e"))
+    order = F.col("__b") if up else F.desc("__b")
+    carried = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    edges = edges.withColumn("__carry", extreme("__e").over(carried)).drop("__e")
+    within = Window.partitionBy(*by, "__b").orderBy("__v" if up else F.desc("__v")).rowsBetween(Window.unboundedPreceding, 0)
+    found = _join(ranked, edges, [*by, "__b"]).select(*by, "__v", F.least(F.lit(1.0), least("__carry", extreme("__s").over(within))).alias("__q"))
+    own = df.withColumn("__v", F.col(p).cast("double"))
+    return _join(own, found, [*by, "__v"], "left").withColumn(name, F.coalesce("__q", F.lit(1.0))).drop("__q", "__v")
 
 
 def zscore(df: DataFrame, value: str, by: list[str], name: str = "z", sample: bool = False) -> DataFrame:
     """Standardised values within `by`: by the population's deviation, or the sample's."""
-    w = Window.partitionBy(*by)
     deviation = F.stddev_samp(value) if sample else F.stddev_pop(value)
-    return df.withColumn(name, F.try_divide(F.col(value) - F.avg(value).over(w), deviation.over(w)))
+    groups = df.groupBy(*by).agg(F.avg(value).alias("__mean"), deviation.alias("__sd"))
+    return _join(df, groups, by).withColumn(name, F.try_divide(F.col(value) - F.col("__mean"), F.col("__sd"))).drop("__mean", "__sd")
 
 
 def running(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
@@ -52,27 +89,35 @@ def running(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataF
     return df.withColumn("cummin", F.min(value).over(w)).withColumn("cummax", F.max(value).over(w))
 
 
-def average_rank(value: str | Column, by: list[str]) -> Column:
-    """Ranks from 1 in ascending order; ties share their mean. Nulls have none."""
-    value = F.col(value) if isinstance(value, str) else value
-    w = Window.partitionBy(*by).orderBy(value.asc_nulls_last())
-    ties = F.count(value).over(Window.partitionBy(*by, value))
-    return F.when(value.isNotNull(), F.rank().over(w) + (ties - 1) / 2)
+def with_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """The rows with ranks from 1 in ascending order; ties share their mean. Nulls have none."""
+    ranks = ranked_values(df, value, by).select(*by, "__v", (F.col("__last") - (F.col("__k") - 1) / 2).alias(name))
+    return _join(df.withColumn("__v", F.col(value).cast("double")), ranks, [*by, "__v"], "left").drop("__v")
 
 
 def rin(df: DataFrame, value: str, by: list[str], name: str = "rin", c: float = 3 / 8) -> DataFrame:
     """Rank-inverse-normal values within `by`."""
-    m = F.count(value).over(Window.partitionBy(*by))
-    return df.withColumn(name, norm_ppf((average_rank(value, by) - c) / (m - 2 * c + 1)))
+    ranked = _join(with_rank(df, value, by, "__rank"), df.groupBy(*by).agg(F.count(value).alias("__m")), by)
+    return ranked.withColumn(name, norm_ppf((F.col("__rank") - c) / (F.col("__m") - 2 * c + 1))).drop("__rank", "__m")
 
 
 def correlations(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """a, b, r for every two of the columns, in their order, from one aggregation."""
+    """a, b, r, n, p for every two of the columns, in their order, from one aggregation; p is two-sided."""
+    return correlations_between(df, columns, columns, method).filter(F.expr(f"array_position(array({', '.join(map(repr, columns))}), a) <= array_position(array({', '.join(map(repr, columns))}), b)"))
+
+
+def correlations_between(df: DataFrame, first: list[str], second: list[str], method: str = "pearson") -> DataFrame:
+    """a, b, r, n, p of each column of `first` with each of `second`; rows where either is null don't count."""
+    columns = list(dict.fromkeys([*first, *second]))
+    df = df.select(*columns)
     if method == "spearman":
-        df = df.select(*[average_rank(c, []).alias(c) for c in columns])
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs]).alias("x"))
-    return row.select(F.inline("x"))
+        for c in columns:
+            df = with_rank(df, c, [], f"__rank_{c}")
+        df = df.select(*[F.col(f"__rank_{c}").alias(c) for c in columns])
+    entry = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"))
+    rows = df.agg(F.array(*[entry(a, b) for a in first for b in second]).alias("x")).select(F.inline("x"))
+    t = F.sqrt(F.try_divide(F.col("r") * F.col("r") * (F.col("n") - 2), 1 - F.col("r") * F.col("r")))
+    return rows.withColumn("p", F.when(F.abs("r") >= 1, 0.0).otherwise(t_two_sided(t, (F.col("n") - 2).cast("double"))))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -58,8 +58,8 @@ def relative(df: DataFrame, sample: str, value: str, pseudocount: bool | float =
 def top_taxa(df: DataFrame, sample: str, taxon: str, value: str, n: int) -> DataFrame:
     """sample, taxon, value: the n taxa of the highest mean, and the sum of all others as `Other`."""
     means = df.groupBy(taxon).agg((F.sum(value)).alias("__mean"))
-    best = means.withColumn("__rank", F.row_number().over(Window.orderBy(F.desc("__mean"), taxon))).filter(F.col("__rank") <= n)
-    named = df.join(best.select(taxon, "__rank"), taxon, "left").withColumn(taxon, F.when(F.col("__rank").isNotNull(), F.col(taxon)).otherwise("Other"))
+    best = means.orderBy(F.desc("__mean"), taxon).limit(n).withColumn("__rank", F.lit(1))
+    named = df.join(F.broadcast(best.select(taxon, "__rank")), taxon, "left").withColumn(taxon, F.when(F.col("__rank").isNotNull(), F.col(taxon)).otherwise("Other"))
     return named.groupBy(sample, taxon).agg(F.sum(value).alias(value))
 
 
@@ -173,18 +173,36 @@ def reciprocal_best(hits: DataFrame, other: DataFrame, query: str, subject: str,
 def knn_impute(df: DataFrame, key: str, target: str, features: list[str], k: int = 3, strict: bool = True) -> DataFrame:
     """The rows with nulls of `target` filled from the k nearest rows that have it, by distance over `features`.
 
-    Candidates come from a grid over the first feature whose cells hold many times k rows, three cells each, so that no
-    row meets all others; rows with too few candidates there keep their null. Ties go to the smaller key. Weights fall
-    with distance; without `strict` they grow with it and their mean is divided by k once more.
+    The rows that have it are dealt over cells of about equal numbers along the first feature. A row looks in its own and
+    both next cells, and again in more than twice as many as long as the k-th distance found exceeds the distance to what
+    it hasn't seen; so the neighbours are exact, and rows meet all others only if these are spread so. Rows keep their
+    null if a feature is null, or no row has the target. Ties go to the smaller key. Weights fall with distance; without
+    `strict` they grow with it and their mean is divided by k once more.
     """
-    known = df.filter(F.col(target).isNotNull())
-    cells = known.agg(F.count("*").alias("n"), F.min(features[0]).alias("low"), F.max(features[0]).alias("high")).withColumn("width", F.greatest((F.col("high") - F.col("low")) * F.lit(200.0 * k) / F.col("n"), F.lit(1e-12))).select("low", "width")
-    cell = F.floor((F.col(features[0]) - F.col("low")) / F.col("width"))
-    have = known.join(F.broadcast(cells)).select(F.col(key).alias("__k"), F.col(target).alias("__t"), *[F.col(c).alias(f"__{c}") for c in features], cell.alias("__cell"))
-    want = df.filter(F.col(target).isNull()).join(F.broadcast(cells)).select(key, *features, F.explode(F.array(cell - 1, cell, cell + 1)).alias("__cell"))
+    first = features[0]
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in features])
+    known = df.filter(F.col(target).isNotNull() & whole)
+    cells = int(max(1, min(10_000, known.count() // (64 * k))))
+    bounds = known.agg(F.percentile_approx(F.col(first).cast("double"), F.array(*[F.lit(i / cells) for i in range(1, max(cells, 2))]), F.lit(10_000))).first()[0] or []
+    edges = sorted(set(bounds))
+    walls = F.array(F.lit(float("-inf")), *map(F.lit, edges), F.lit(float("inf")))  # cell i lies between walls i and i + 1
+    cell = F.size(F.filter(walls, lambda w: w < F.col(first))) - 1
+    have = known.select(F.col(key).alias("__k"), F.col(target).alias("__t"), *[F.col(c).alias(f"__{c}") for c in features], cell.alias("__cell"))
+    open_rows, done, ring = df.filter(F.col(target).isNull() & whole).select(key, *features).withColumn("__at", cell), None, 1
     distance = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"__{c}"), 2) for c in features]))
-    near = want.join(have, "__cell").withColumn("__d", distance)
-    near = near.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__d", "__k"))).filter(F.col("__n") <= k)
     weight = 1 / (F.col("__d") + 1e-9) if strict else F.col("__d") / k
-    filled = near.groupBy(key).agg(F.try_divide(F.sum(F.col("__t") * weight), F.sum(weight)).alias("__fill"))
-    return df.join(filled, key, "left").withColumn(target, F.coalesce(target, "__fill")).drop("__fill")
+    last = len(edges)
+    while True:
+        low, high = F.greatest(F.col("__at") - ring, F.lit(0)), F.least(F.col("__at") + ring, F.lit(last))
+        near = open_rows.withColumn("__cell", F.explode(F.sequence(low, high))).join(have, "__cell").withColumn("__d", distance)
+        near = near.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__d", "__k"))).filter(F.col("__n") <= k)
+        filled = near.groupBy(key).agg(F.try_divide(F.sum(F.col("__t") * weight), F.sum(weight)).alias("__fill"), F.max("__d").alias("__far"), F.count("*").alias("__found"))
+        seen = F.least(F.col(first) - F.element_at(walls, (low + 1).cast("int")), F.element_at(walls, (high + 2).cast("int")) - F.col(first))
+        told = open_rows.join(filled, key, "left").withColumn("__sure", (F.coalesce("__found", F.lit(0)) >= k) & (F.col("__far") < seen) | F.lit(ring >= last)).persist()
+        sure = told.filter("__sure").select(key, "__fill")
+        done = sure if done is None else done.unionByName(sure)
+        open_rows = told.filter("NOT __sure").select(key, *features, "__at")
+        if ring >= last or not open_rows.limit(1).count():
+            break
+        ring = 2 * ring + 1
+    return df.join(done, key, "left").withColumn(target, F.coalesce(target, "__fill")).drop("__fill")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sparkomics.plans import variant_queries, annotation_queries  # noqa: F401  (they register their queries)
 from sparkomics.plans.queries import QUERIES, SQL
 
 

@@ -112,19 +112,22 @@ def read_dat(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ped(spark: SparkSession, path: str, features: list[tuple[str, str]] = ()) -> DataFrame:
     """fam_id, id, father_id, mother_id, gender and `features`, a map. `features` lists (type, name) in the order of the
-    columns; a marker (type M) takes two columns, or one with a slash, and is a/b."""
+    columns; a marker (type M) takes two columns, or one with a slash, and is a/b. Features that a row lacks are null."""
     cells = F.split(F.trim("line"), r"\s+")
     parent = lambda i: F.nullif(F.get(cells, i), F.lit("0"))
-    values, at = [], 5
-    for kind, name in features:
-        if kind == "M":
-            slashed = F.instr(F.get(cells, at), "/") > 0
-            values += [F.lit(name), F.when(slashed, F.get(cells, at)).otherwise(F.concat_ws("/", F.get(cells, at), F.get(cells, at + 1)))]
-            at += 2
-        else:
-            values += [F.lit(name), F.nullif(F.get(cells, at), F.lit("x"))]
-            at += 1
-    table = F.create_map(*values) if values else F.lit(None).cast("map<string,string>")
+    table = F.lit(None).cast("map<string,string>")
+    if features:
+        # Each row has its own places: `at` is where the next feature begins.
+        kinds = F.array(*[F.struct(F.lit(k.upper() == "M").alias("marker"), F.lit(n).alias("name")) for k, n in features])
+        begin = F.struct(F.lit(5).alias("at"), F.expr("CAST(array() AS array<struct<key:string,value:string>>)").alias("out"))
+
+        def step(s: Column, f: Column) -> Column:
+            one, two = F.get(cells, s["at"]), F.get(cells, s["at"] + 1)
+            pair = f["marker"] & ~F.coalesce(F.instr(one, "/") > 0, F.lit(False))
+            value = F.when(pair, F.concat(one, F.lit("/"), two)).when(f["marker"], one).otherwise(F.nullif(one, F.lit("x")))
+            return F.struct((s["at"] + F.when(pair, 2).otherwise(1)).alias("at"), F.array_append(s["out"], F.struct(f["name"].alias("key"), value.alias("value"))).alias("out"))
+
+        table = F.map_from_entries(F.aggregate(kinds, begin, step)["out"])
     return _lines(spark, path, "#").select(cells[0].alias("fam_id"), cells[1].alias("id"), parent(2).alias("father_id"), parent(3).alias("mother_id"), F.get(cells, 4).alias("gender"), table.alias("features"))
 
 

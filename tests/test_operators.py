@@ -64,7 +64,7 @@ def test_special_functions(spark):
 
 def test_p_adjust_nulls_and_n(spark):
     df = spark.createDataFrame([(1, 0.01), (2, 0.02), (3, None), (4, 0.04)], "id int, p double")
-    q = lambda method, n=None: [r["q"] for r in stats.p_adjust(df, "p", [], "id", method, n).orderBy("id").collect()]
+    q = lambda method, n=None: [r["q"] for r in stats.p_adjust(df, "p", [], method, n).orderBy("id").collect()]
     assert q("fdr") == [0.04, 0.04, 1.0, pytest.approx(0.16 / 3)]
     assert q("odd") == [0.04, 0.08, 1.0, 0.16] and q("bonferroni", 10) == [0.1, 0.2, 1.0, 0.4]
 
