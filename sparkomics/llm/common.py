@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import NamedTuple
 
 import numpy as np
@@ -28,29 +30,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where the setting is missing (tests)."""
+    """The folder named by spark.checkpoint.dir. A temporary one is set where the setting is missing and all tasks run on
+    this machine, as in tests; a cluster without it is an error, since its machines don't share their folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="sparkomics-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-_RELEASABLE: list[str] = []
+#: Paths of tables that a run gives back before the application ends, by the run's name.
+_OWNED: dict[str, list[str]] = {}
+_OWNER: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """What is stored within belongs to the owner, until it is released."""
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
 
 
 def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
 
-    The table goes when the application ends, or, without `keep`, when `release` is called.
+    The table goes when the application ends, or, without `keep`, when its owner is released.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkomics-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     hadoop, files = _hadoop(spark, path)
     files.deleteOnExit(hadoop)
-    if not keep:
-        _RELEASABLE.append(path)
+    if not keep and (owner := _OWNER.get()):
+        _OWNED.setdefault(owner, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,10 +77,10 @@ def _hadoop(spark: SparkSession, path: str) -> tuple:
     return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables stored so far; no result that reads them may still be wanted."""
-    while _RELEASABLE:
-        hadoop, files = _hadoop(spark, _RELEASABLE.pop())
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete the tables that the owner has stored; no result of its that reads them may still be wanted."""
+    for path in _OWNED.pop(owner, []):
+        hadoop, files = _hadoop(spark, path)
         files.delete(hadoop, True)
 
 
