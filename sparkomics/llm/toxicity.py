@@ -1,22 +1,25 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has a model of words. Its counts are continuation counts: the number of contexts, here documents, in which a
-word follows, not how often it is written. The counts are discounted, and the mass set free goes to a distribution that
-both classes share, the continuation counts of all labelled documents. So an expression rare in either class gets the
-same backed-off probability from both and says little; and where the counts of both classes agree with the shared
-distribution (a likelihood-ratio statistic under GATE) the classes share it wholly.
+Each class has a model of words given the word before. Its counts are continuation counts: the number of contexts, here
+documents, in which a word, or a pair of words, follows, not how often it is written. The counts are discounted, and the
+mass set free goes to a distribution that both classes share, the continuation counts of all labelled documents. So an
+expression rare in either class gets the same backed-off probability from both and says little; and where the counts of
+both classes agree with the shared distribution (a likelihood-ratio statistic under GATE) the classes share it wholly. A
+pair that they share wholly backs off to the word alone: the log-ratio of a word given the one before is that of the pair
+less that of the word before, or else the word's own.
 
 A text's feature is its toxic minus its ordinary log-likelihood, divided by its length in symbols. A logistic curve
 turns it into a score; it is fitted across two halves of the training rows, counts from one, features from the other,
 on about FIT_ROWS rows, picked by a hash of doc_id.
 
 Counts cover all labelled training rows. The model goes to the tasks in blocks of at most MODEL_BLOCK entries, one pass
-each; labels are broadcast up to BROADCAST_LABELS rows and joined by a shuffle beyond.
+each; labels are broadcast up to BROADCAST_LABELS rows and joined
+by a shuffle beyond.
 
 Nulls: a null text is empty; a null doc_id has no label, counts as not held out, and is scored; null labels are no
 labels, of several labels of a doc_id the highest counts. Empty texts have the feature 0. Without labelled rows of both
-classes every score is the toxic part of the labels, or 0. Repeated rows are all counted and scored. Empty tables give
-empty results; further columns are ignored, `keep_clean` keeps them.
+classes every score is the toxic part of the labels, or 0. Repeated rows are all counted and scored. Very long texts are
+counted and scored whole. Empty tables give empty results; further columns are ignored, `keep_clean` keeps them.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, row_slices, stored, text_bytes
+from .common import hash_words, mix, row_slices, stored, text_bytes
 
 DISCOUNT = 0.75
 #: A chi-square quantile of one degree of freedom: 0.1 %.
@@ -54,45 +57,100 @@ def _slices(column: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b, data[part[0] : part[-1]], part - part[0]
 
 
+def pairs(words: np.ndarray) -> np.ndarray:
+    """Hashes of consecutive words; the caller discards those that cross rows."""
+    return mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] + np.uint64(1))
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
-    """word and its counts t0, o0, t1, o1 (toxic and ordinary texts in both halves) over rows of text, toxic, half."""
+    """size (1 or 2 words), key, and counts t0, o0, t1, o1 (toxic and ordinary texts in both halves) over rows of text,
+    toxic, half."""
+    names = ["size", "key", "t0", "o0", "t1", "o1"]
+
+    def counted(size: int, keys: np.ndarray, row: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+        known, number = np.unique(keys, return_inverse=True)
+        width = max(1, len(known))
+        once = np.unique(row * width + number)  # each of a text counts once
+        counts = np.bincount(group[once // width] * width + once % width, minlength=4 * width).reshape(4, -1)[:, : len(known)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(known), size, np.int8)), pa.array(known.view(np.int64)), *[pa.array(c.astype(np.int32)) for c in counts]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in _slices(batch.column(0), 1 << 22):
+            for a, b, data, offsets in _slices(batch.column(0), 1 << 23):
                 words = hash_words(data, offsets, _NO_LETTER)
-                known, number = np.unique(words.hash, return_inverse=True)
                 row = np.repeat(np.arange(b - a), np.diff(words.before))
-                once = np.unique(row * len(known) + number)  # each word of a text counts once
-                cell = group[a:b][once // max(1, len(known))] * len(known) + once % max(1, len(known))
-                counts = np.bincount(cell, minlength=4 * len(known)).reshape(4, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), *map(pa.array, counts)], ["word", "t0", "o0", "t1", "o1"])
+                yield counted(1, words.hash, row, group[a:b])
+                inside = row[:-1] == row[1:]
+                yield counted(2, pairs(words.hash)[inside], row[1:][inside], group[a:b])
 
     group = F.when(F.col("toxic"), 0).otherwise(1) + 2 * F.col("half")
-    counted = rows.select("text", group.cast("int").alias("g")).mapInArrow(run, "word long, t0 long, o0 long, t1 long, o1 long")
-    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("t0", "o0", "t1", "o1")])
+    found = rows.select("text", group.cast("int").alias("g")).mapInArrow(run, "size byte, key long, t0 int, o0 int, t1 int, o1 int")
+    return found.groupBy("size", "key").agg(*[F.sum(c).alias(c) for c in ("t0", "o0", "t1", "o1")])
 
 
 def log_ratios(counts: DataFrame, discount: float = DISCOUNT, gate: float = GATE) -> DataFrame:
-    """word, ratio: the log-ratio of both classes' probabilities, of the words of `counts` (word, t, o) that pass the gate."""
-    total = counts.agg(*[F.sum(c).cast("double").alias(c) for c in ("t", "o")], *[F.sum((F.col(c) > 0).cast("double")).alias(f"types_{c}") for c in ("t", "o")]).first()
-    if not (total["t"] and total["o"]):
-        return counts.select("word", F.lit(0.0).alias("ratio")).limit(0)
+    """size, key, ratio: the log-ratio of both classes' probabilities, of those of `counts` (size, key, t, o) that pass the
+    gate; each size has a distribution of its own."""
+    sums = [F.sum(c).cast("double").alias(f"total_{c}") for c in ("t", "o")] + [F.sum((F.col(c) > 0).cast("double")).alias(f"types_{c}") for c in ("t", "o")]
+    told = counts.join(F.broadcast(counts.groupBy("size").agg(*sums)), "size").filter("total_t > 0 AND total_o > 0")  # two rows
+    total, types = {c: F.col(f"total_{c}") for c in ("t", "o")}, {c: F.col(f"types_{c}") for c in ("t", "o")}
     shared = (F.col("t") + F.col("o")) / (total["t"] + total["o"])
-    own = {c: (F.greatest(F.col(c) - discount, F.lit(0.0)) + discount * total[f"types_{c}"] * shared) / total[c] for c in ("t", "o")}
+    own = {c: (F.greatest(F.col(c) - discount, F.lit(0.0)) + discount * types[c] * shared) / total[c] for c in ("t", "o")}
     surprise = {c: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (total[c] * shared))).otherwise(0.0) for c in ("t", "o")}
-    return counts.filter(2 * (surprise["t"] + surprise["o"]) >= gate).select("word", F.log(own["t"] / own["o"]).alias("ratio"))
+    return told.filter(2 * (surprise["t"] + surprise["o"]) >= gate).select("size", "key", F.log(own["t"] / own["o"]).alias("ratio"))
 
 
 def model_blocks(model: DataFrame, most: int = MODEL_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The stored model in blocks of about `most` words: sorted words and their ratios."""
+    """The stored model in blocks of about `most` entries: sorted keys and their ratios."""
     n = max(1, -(-model.count() // most))
     for b in range(n):
-        part = model.filter(F.pmod(F.xxhash64("word"), F.lit(n)) == b).toArrow()
-        words = part["word"].to_numpy().view(np.uint64)
-        order = np.argsort(words)
-        yield words[order], part["ratio"].to_numpy()[order]
+        part = model.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == b).select("key", "ratio").toArrow()
+        keys = part["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        yield keys[order], part["ratio"].to_numpy()[order]
+
+
+def _find(keys: np.ndarray, ratios: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The ratios of the wanted keys, 0 of those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, ratios[at], 0.0)
+
+
+def members(rows: DataFrame, found: DataFrame, most: int = MODEL_BLOCK) -> DataFrame:
+    """key, first, second: the words of the pairs in `found` (stored; size, key, ratio), looked up in the texts of `rows`."""
+    out = None
+    for keys, _ in model_blocks(found.filter("size = 2"), most):
+        shared = rows.sparkSession.sparkContext.broadcast(keys)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            keys = shared.value
+            for batch in batches:
+                for _, _, data, offsets in _slices(batch.column(0), 1 << 22) if len(keys) else ():
+                    words = hash_words(data, offsets, _NO_LETTER).hash
+                    wanted = pairs(words)
+                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                    _, once = np.unique(np.where(keys[at] == wanted, at, -1), return_index=True)
+                    once = once[keys[at[once]] == wanted[once]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (wanted[once], words[once], words[once + 1])], ["key", "first", "second"])
+
+        part = rows.select("text").mapInArrow(run, "key long, first long, second long")
+        out = part if out is None else out.unionByName(part)
+    return out.dropDuplicates(["key"])
+
+
+def interactions(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """key, ratio of the stored `found`: words with their own, pairs with what they say beyond both their words. The sums
+    over a text are those of the log-ratios of words given the words before them."""
+    words = found.filter("size = 1").select("key", "ratio")
+    if not found.filter("size = 2").limit(1).count():
+        return words
+    of = lambda c: words.select(F.col("key").alias(c), F.col("ratio").alias(f"{c}_ratio"))
+    told = found.filter("size = 2").join(members(rows, found), "key").join(of("first"), "first", "left").join(of("second"), "second", "left")
+    beyond = F.col("ratio") - F.coalesce("first_ratio", F.lit(0.0)) - F.coalesce("second_ratio", F.lit(0.0))
+    return words.unionByName(told.select("key", beyond.alias("ratio")))
 
 
 def features(rows: DataFrame, model: DataFrame, most: int = MODEL_BLOCK) -> DataFrame:
@@ -104,14 +162,13 @@ def features(rows: DataFrame, model: DataFrame, most: int = MODEL_BLOCK) -> Data
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            keys, ratios = shared.value
             for batch in batches:
                 x = batch.column(x_at).to_numpy().copy()
-                for a, b, data, offsets in _slices(batch.column(text_at), 1 << 22) if len(keys) else ():
+                for a, b, data, offsets in _slices(batch.column(text_at), 1 << 22) if len(shared.value[0]) else ():
                     words = hash_words(data, offsets, _NO_LETTER)
-                    at = np.minimum(np.searchsorted(keys, words.hash), len(keys) - 1)
-                    value = np.where(keys[at] == words.hash, ratios[at], 0.0)
                     row = np.repeat(np.arange(b - a), np.diff(words.before))
+                    value = _find(*shared.value, words.hash)
+                    value[1:] += np.where(row[:-1] == row[1:], _find(*shared.value, pairs(words.hash)), 0.0)
                     symbols = np.bincount(row, weights=words.length + 1, minlength=b - a)
                     x[a:b] += np.bincount(row, weights=value, minlength=b - a) / np.maximum(symbols, 1)
                 yield batch.set_column(x_at, "x", pa.array(x))
@@ -146,7 +203,7 @@ def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class Scorer(NamedTuple):
-    """The model table (word, ratio; None if there is nothing to learn from) and the curve."""
+    """The model table (key, ratio; None if there is nothing to learn from) and the curve."""
 
     model: DataFrame | None
     slope: float
@@ -160,7 +217,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     n = {c: sum(v for k, v in size.items() if k[0] == c) for c in (True, False)}
     if not (n[True] and n[False]):
         return Scorer(None, 0.0, float(bool(n[True])))
-    model = lambda t, o: stored(log_ratios(counts.select("word", t.alias("t"), o.alias("o")).filter("t + o > 0")), "toxicity-model")
+
+    def model(t: Column, o: Column) -> DataFrame:
+        found = stored(log_ratios(counts.select("size", "key", t.alias("t"), o.alias("o")).filter("t + o > 0")), "toxicity-ratios")
+        return stored(interactions(rows, found), "toxicity-model")
+
     whole = model(F.col("t0") + F.col("t1"), F.col("o0") + F.col("o1"))
     crossed = len(size) == 4  # both halves have both classes
     fit_rows = rows.filter("half = 1") if crossed else rows

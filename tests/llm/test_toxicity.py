@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -60,6 +63,51 @@ def test_keep_clean_and_edge_rows(spark):
     assert X.toxicity(df, known.limit(0)).agg(F.max("score")).first()[0] == 0.0
 
 
+def plain_features(train, texts, discount=X.DISCOUNT, gate=X.GATE):
+    """The model stated plainly: chain rule over words given the words before, of pairs and words that pass the gate."""
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts = {n: {c: Counter() for c in (0, 1)} for n in (1, 2)}
+    for text, toxic in train:
+        w = split(text)
+        counts[1][toxic].update(set(w))
+        counts[2][toxic].update(set(zip(w, w[1:])))
+    ratio = {1: {}, 2: {}}
+    for n, by in counts.items():
+        total, types = {c: sum(by[c].values()) for c in (0, 1)}, {c: len(by[c]) for c in (0, 1)}
+        for g in by[0].keys() | by[1].keys():
+            shared = (by[0][g] + by[1][g]) / (total[0] + total[1])
+            surprise = sum(2 * by[c][g] * math.log(by[c][g] / (total[c] * shared)) for c in (0, 1) if by[c][g])
+            own = [(max(by[c][g] - discount, 0) + discount * types[c] * shared) / total[c] for c in (0, 1)]
+            if surprise >= gate:
+                ratio[n][g] = math.log(own[1] / own[0])
+    out = []
+    for text in texts:
+        w = split(text)
+        given = [ratio[2][v, a] - ratio[1].get(v, 0.0) if (v, a) in ratio[2] else ratio[1].get(a, 0.0) for v, a in zip([None, *w], w)]
+        out.append(sum(given) / max(1, sum(len(a.encode()) + 1 for a in w)))
+    return out, ratio
+
+
+def test_features_against_a_plain_model(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    train = []
+    for d in range(700):
+        w = [rng.choice(words) for _ in range(rng.randrange(1, 30))]
+        if d % 5 == 0:
+            at = rng.randrange(len(w))
+            w[at:at] = rng.choice([["ba", "ce"], ["zounds"], ["zounds", "di"]])
+        train.append((" ".join(w), int(d % 5 == 0)))
+    texts = [t for t, _ in train[:50]] + ["", "ba ce", "ce ba ce", "Zounds! Zounds di", "di", "1 2"]
+    rows = spark.createDataFrame([(t, bool(y)) for t, y in train], "text string, toxic boolean").withColumn("half", F.lit(0))
+    counts = X.stored(X.word_counts(rows), "counts")
+    model = X.stored(X.interactions(rows, X.stored(X.log_ratios(counts.select("size", "key", F.col("t0").alias("t"), F.col("o0").alias("o"))), "ratios")), "model")
+    got = [r["x"] for r in X.features(spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1), model).orderBy("i").collect()]
+    want, ratio = plain_features(train, texts)
+    assert ("ba", "ce") in ratio[2] and "ba" not in ratio[1]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+
+
 def test_model_in_blocks(spark):
     rows, labels = corpus(600)
     df = spark.createDataFrame(rows, SCHEMA)
