@@ -1,19 +1,22 @@
 """Benchmark decontamination: item-sized windows of documents against the items of a benchmark.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text. For every item a window of as many words
-slides over the documents. Windows and items have 64-bit SimHash fingerprints of their words; a multi-index of
-RADIUS + 1 blocks finds every item within RADIUS bits, since two such fingerprints agree in one block at least. Candidates
-are then verified exactly: the weighted Jaccard similarity of their 5-word shingles, each weighing its count times
-ln(1 + items / items that have it), must be THRESHOLD or more.
+slides over the documents. Windows and items have 128-bit SimHash fingerprints of their words; a multi-index of BLOCKS
+blocks finds every item within RADIUS bits, since two such fingerprints differ in RADIUS // BLOCKS bits at most in one
+block at least, and a block's table holds an item under all values so near to its own. Candidates are then verified
+exactly: the weighted Jaccard similarity of their 5-word shingles, each weighing its count times ln(1 + items / items that
+have it), must be THRESHOLD or more.
 
 A window's similarity is at most the weight of its shingles that the benchmark has, by the item's weight; windows that
 can't reach the threshold with any item of their size aren't fingerprinted. For items with more words than a document, the
-whole document is the one window; it is compared exactly with each that it shares enough weight with. The benchmark goes to the tasks in blocks of a bounded number of items, one pass over the documents each.
-
-Nulls: a null text is empty, and an empty text has no window; a null doc_id stays null; items without item_id or with
-fewer than 5 words are too short to tell a leak from chance and are not sought. Repeated rows are all searched; of items
-with one item_id, each is sought. Ties: of a document's windows that are equally similar to an item the first is
-returned. Empty tables give empty results; further columns are ignored, `clean` keeps them.
+whole document is the one window; it is compared exactly with each that it shares enough weight with. Items of fewer than
+5 words are too short to tell a leak from chance inside a text; they are found where a document is nothing else. The
+benchmark goes to the tasks in blocks of a bounded number of items, one pass over the documents each.
+
+Nulls: a null text is empty, and an empty text has no window; a null doc_id stays null; items without item_id or words
+aren't sought. Repeated rows are all searched; of items with one item_id, each is sought. Ties: of a document's windows
+that are equally similar to an item the first is returned. Very long texts are searched whole. Empty tables give empty
+results; further columns are ignored, `clean` keeps them.
 """
 
 from __future__ import annotations
@@ -28,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, row_slices, run_hashes, stored, text_bytes
+from .common import hash_words, mix, row_slices, run_hashes, stored, text_bytes
 
 SHINGLE = 5
 THRESHOLD = 0.75
-RADIUS = 15
+RADIUS, BLOCKS = 31, 8
 #: Items, and their shingles, that go to the tasks at once.
-ITEM_BLOCK = 4096
+ITEM_BLOCK = 2048
 
 #: Word characters: ASCII letters and digits, and every byte of other characters.
 _NO_WORD = np.ones(256, dtype=bool)
@@ -53,16 +56,22 @@ def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def fingerprints(words: np.ndarray, n: int) -> np.ndarray:
-    """SimHash of every window of n words: bit k is set where more of its words have it than not."""
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
-    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-    return np.packbits((sums[n:] - sums[:-n]) > 0, axis=1).view(np.uint64).ravel()
+    """SimHash of every window of n words, as two 64-bit values: bit k is set where more of its words have it than not."""
+    both = np.stack([words, mix(words ^ np.uint64(0xC3C3C3C3))], axis=1)
+    bits = np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1).astype(np.int32) * 2 - 1
+    sums = np.concatenate([np.zeros((1, 128), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+    return np.packbits((sums[n:] - sums[:-n]) > 0, axis=1).view(np.uint64)
+
+
+def blocks_of(prints: np.ndarray) -> np.ndarray:
+    """(BLOCKS, prints): the 16-bit blocks of each fingerprint."""
+    return np.ascontiguousarray(prints).view(np.uint16).T
 
 
-def blocks_of(prints: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
-    """The radius + 1 blocks of each fingerprint."""
-    edges = np.linspace(0, 64, radius + 2).astype(int)
-    return [(prints >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1) for a, b in zip(edges, edges[1:])]
+def neighbours(radius: int) -> np.ndarray:
+    """All differences of a block of so few bits that two prints within the radius have one of them in some block."""
+    every = np.arange(1 << 16, dtype=np.uint16)
+    return every[np.bitwise_count(every) <= radius // BLOCKS]
 
 
 class ItemIndex:
@@ -70,6 +79,12 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, np.ndarray]], weights: dict[int, float], rare: float, radius: int) -> None:
         self.radius, self.weights, self.rare = radius, weights, rare
+        #: Items too short for a shingle, by the hash of all their words.
+        self.short: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, w in items:
+            if 0 < len(w) < SHINGLE:
+                self.short[whole(w)].append((i, len(w)))
+        items = [x for x in items if len(x[1]) >= SHINGLE]
         self.shingles = np.unique(np.concatenate([run_hashes(w, SHINGLE) for _, w in items])) if items else np.zeros(0, np.uint64)
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.shingles & np.uint64((1 << _FILTER_BITS) - 1)] = True
@@ -82,15 +97,28 @@ class ItemIndex:
             for g in bag:
                 self.lengths_of[g].add(len(w))
                 self.items_of[g].append(i)
-        # By length: items, fingerprints, least total weight, and the multi-index: for each block its sorted values and
-        # whose they are.
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, float, list[tuple[np.ndarray, np.ndarray]]]] = {}
+        # By length: items, fingerprints and least total weight; the multi-index is made when a length is first met.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.lengths = lengths = np.array([len(w) for _, w in items])
         for n in np.unique(lengths):
             at = np.flatnonzero(lengths == n)
             prints = np.concatenate([fingerprints(items[i][1], int(n)) for i in at])
-            orders = [(np.sort(block), np.argsort(block)) for block in blocks_of(prints, radius)]
-            self.by_length[int(n)] = at, prints, self.totals[at].min(), orders
+            self.by_length[int(n)] = at, prints, self.totals[at].min()
+
+    def index(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each block its values, all those near an item's among them, sorted, and whose they are."""
+        if n not in self.tables:
+            near, tables = neighbours(self.radius), []
+            for block in blocks_of(self.by_length[n][1]):
+                values = (block[:, None] ^ near).ravel()
+                order = np.argsort(values, kind="stable")
+                tables.append((values[order], order // len(near)))
+            self.tables[n] = tables
+        return self.tables[n]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": {}}
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Positions of the shingles that an item has."""
@@ -109,9 +137,8 @@ class ItemIndex:
 
     def near(self, found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item's place, distance) of all fingerprints within the radius, nearest first."""
-        _, prints, _, tables = self.by_length[n]
-        pairs = []
-        for block, (values, whose) in zip(blocks_of(found, self.radius), tables):
+        prints, pairs = self.by_length[n][1], []
+        for block, (values, whose) in zip(blocks_of(found), self.index(n)):
             low = np.searchsorted(values, block, side="left")
             count = np.searchsorted(values, block, side="right") - low
             if total := int(count.sum()):
@@ -119,7 +146,7 @@ class ItemIndex:
                 pairs.append(np.repeat(np.arange(len(found)), count) * len(prints) + whose[at])
         pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         window, item = pair // len(prints), pair % len(prints)
-        distance = np.bitwise_count(found[window] ^ prints[item])
+        distance = np.bitwise_count(found[window] ^ prints[item]).sum(axis=1)
         order = np.lexsort((window, distance))
         order = order[distance[order] <= self.radius]
         return window[order], item[order], distance[order]
@@ -135,7 +162,7 @@ class ItemIndex:
         for n, own_hits in hits_of.items():
             if n > len(words):
                 continue
-            at, _, least, _ = self.by_length[n]
+            at, _, least = self.by_length[n]
             shared = np.zeros(len(words) + 1)  # weight before each word of shingles that items of n words have
             shared[np.array(own_hits) + 1] = [self.weights.get(g, self.rare) for g in grams[own_hits].tolist()]
             shared = np.cumsum(shared)
@@ -159,7 +186,7 @@ class ItemIndex:
 
     def longer(self, words: np.ndarray, grams: np.ndarray, hits: np.ndarray, threshold: float) -> Iterator[tuple[int, float]]:
         """(item, similarity) of the items with more words than the document, which is the only window for them."""
-        if len(words) >= self.lengths.max():
+        if not len(self.lengths) or len(words) >= self.lengths.max():
             return
         found = grams[hits].tolist()
         weight = [self.weights.get(g, self.rare) for g in found]
@@ -177,6 +204,11 @@ class ItemIndex:
                     yield item, value
 
 
+def whole(words: np.ndarray) -> int:
+    """A hash of a sequence of fewer words than a shingle has."""
+    return int(run_hashes(words, len(words))[0]) + len(words)
+
+
 def item_shingles(benchmark: DataFrame) -> DataFrame:
     """item_id, text, n (its words) and its distinct shingles."""
 
@@ -190,15 +222,15 @@ def item_shingles(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["item_id", "text", "n", "shingles"])
 
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id IS NOT NULL")
-    return rows.mapInArrow(run, "item_id long, text string, n long, shingles array<long>").filter(F.col("n") >= SHINGLE)
+    return rows.mapInArrow(run, "item_id long, text string, n long, shingles array<long>").filter("n > 0")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, item_block: int = ITEM_BLOCK) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: the best window of a document for each item it leaks."""
     spark = docs.sparkSession
     items = stored(item_shingles(benchmark), "items")
-    total = items.count()
-    n_blocks = max(1, -(-total // item_block))
+    total = items.filter(F.col("n") >= SHINGLE).count()
+    n_blocks = max(1, -(-items.count() // item_block))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)))
     counts = items.select("block", F.explode("shingles").alias("shingle"))
     frequency = counts.groupBy("shingle").agg(F.count("*").alias("items"))
@@ -215,6 +247,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
             for batch in batches:
                 doc_ids, out = batch.column(0).to_pylist(), []
                 for first, words, before in _words(batch.column(1)):
+                    size = np.diff(before)
+                    for r in np.flatnonzero((size > 0) & (size < SHINGLE)) if index.value.short else ():
+                        out += [(doc_ids[first + r], i, 0, n, 1.0) for i, n in index.value.short.get(whole(words[before[r] : before[r + 1]]), ())]
                     hits = index.value.hits(run_hashes(words, SHINGLE))
                     row = np.searchsorted(before, hits, side="right") - 1
                     inside = hits + SHINGLE <= before[row + 1]
@@ -232,6 +267,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that leak no item; of documents with one doc_id, all go if one leaks."""
-    leaks = stored(contamination(docs, benchmark, **options).select("doc_id").distinct(), "leaking")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that leak no item; rows that are equal in doc_id and text share their fate."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, **options)
+    leaks = stored(found.select(F.col("doc_id").alias("__key")).distinct(), "leaking")
+    return docs.withColumn("__key", key).join(leaks, "__key", "left_anti").select(*docs.columns)

@@ -82,22 +82,48 @@ def test_documents_shorter_than_the_item(spark):
 def test_clean_and_edge_rows(spark):
     docs, items = corpus()
     leaked = {d for d, _ in brute(docs, items)}
-    rows = [(d, t, "en", "s", len(t)) for d, t in docs] + [(None, items[0][1], None, None, None), (600, None, "en", "s", 0)]
+    rows = [(d, t, "en", "s", len(t)) for d, t in docs] + [(None, items[0][1], None, None, None), (600, None, "en", "s", 0), (601, "now too short it is", None, None, None), (602, items[0][1][:12], None, None, None), (602, items[0][1], None, None, None), (603, "Too, short!", None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("item_id", F.lit(1)).withColumn("block", F.lit("b"))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(1)).withColumn("weight", F.lit(2))
     out = D.clean(df, bench)
     assert out.columns == df.columns
-    assert {r["doc_id"] for r in out.collect()} == ({d for d, _ in docs} - leaked) | {None, 600}
+    assert {r["doc_id"] for r in out.collect()} == ({d for d, _ in docs} - leaked) | {600, 601, 602}
     assert D.clean(df.limit(0), bench).count() == 0
     assert D.clean(df, bench.limit(0)).count() == len(rows)
+    assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in D.contamination(df.filter("doc_id IN (601, 603)"), bench).collect()] == [(603, 90, 1.0)]
 
 
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
-    prints = rng.integers(0, 2**63, 200).astype(np.uint64)
+    items = [(i, rng.integers(0, 2**63, 20).astype(np.uint64)) for i in range(200)]
+    index = D.ItemIndex(items, {}, 1.0, D.RADIUS)
+    at, prints, _ = index.by_length[20]
     near = prints.copy()
     for i in range(len(near)):
-        for bit in rng.choice(64, D.RADIUS, replace=False):
-            near[i] ^= np.uint64(1 << int(bit))
-    shared = np.any([a == b for a, b in zip(D.blocks_of(prints), D.blocks_of(near))], axis=0)
-    assert shared.all()
+        for bit in rng.choice(128, D.RADIUS, replace=False):
+            near[i, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    window, item, distance = index.near(near, 20)
+    assert {(i, i) for i in range(200)} <= set(zip(window.tolist(), item.tolist())) and distance.max() == D.RADIUS
+    tables = index.index(20)
+    chance = np.mean([len(np.unique(v)) for v, _ in tables]) / 65536
+    assert len(tables) == D.BLOCKS and len(tables[0][0]) / len(items) / 65536 < 0.02, chance
+
+
+def test_similar_windows_outside_the_radius_are_rare():
+    """Of windows similar enough, changed at their begin where words change most for it, how many the radius loses."""
+    rng, lost, n = np.random.default_rng(1), 0, 0
+    for size in (20, 40, 80):
+        for _ in range(500):
+            item = rng.integers(0, 2**63, size).astype(np.uint64)
+            changed = (size - 4) // 7  # (shingles - changed) / (shingles + changed) >= 0.75
+            window = np.concatenate([rng.integers(0, 2**63, changed).astype(np.uint64), item[changed:]])
+            lost += int(np.bitwise_count(D.fingerprints(item, size) ^ D.fingerprints(window, size)).sum() > D.RADIUS)
+            n += 1
+    assert lost / n < 0.01, lost / n
+
+
+def test_long_texts_and_a_hot_item(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, "x " * 200_000 + item), (2, "y" * 500_000), *[(10 + i, f"a{i} {item}") for i in range(400)]]
+    found = D.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert len(found) == 401 and {r["similarity"] for r in found} == {1.0} and {r["start_word"] for r in found} == {1, 200_000}
