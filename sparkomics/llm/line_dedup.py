@@ -1,9 +1,10 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of MIN_CHARS characters or more, without white space around them, are compared; shorter ones always stay. A line
-goes where it has stood before (in an earlier document, or further up in the same), and everywhere if an earlier line is
-within `threshold` edits of it. A different line is earlier if the smallest doc_id that holds it is smaller, or of lines
-with the same one, if it is smaller itself.
+Lines count without white space around them (space, tab, CR, VT, FF). A line of MIN_CHARS characters or more goes where
+it has stood before (in an earlier document, or further up in the same), and everywhere if an earlier line is within
+`threshold` edits of it. A different line is earlier if the smallest doc_id that holds it is smaller, or of lines with the
+same one, if it is smaller itself. Shorter lines repeat by chance, so that they go only where the very same line has stood
+before, and only if COMMON documents or more hold it; blank lines stay.
 
 The join splits each line into threshold + 1 segments. A line within the threshold of it and at least as long holds one
 of them unchanged, near its place; so lines meet over hashes of (length, segment, substring), with the places that
@@ -11,8 +12,8 @@ length and segment still allow. Pairs that meet must have close counts of severa
 banded bit-parallel edit distance. DataFrame operations only.
 
 Nulls: a null text is empty. Rows with one doc_id, null among them, are one document here: a line that several of them
-hold first stays in each. Null doc_ids come last. Repeated rows are treated alike. Empty tables give empty results;
-further columns are ignored, or kept by `deduplicated`.
+hold first stays in each. Null doc_ids come last. Repeated rows are treated alike. Very long lines are compared whole.
+Empty tables give empty results; further columns are ignored, or kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import stored
 
 THRESHOLD = 1
 MIN_CHARS = 40
+#: So many documents hold a short line that is dropped.
+COMMON = 10
 
 #: Letters whose counts in two lines differ by the threshold at most.
 LETTERS = "etna"
@@ -35,6 +38,10 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
+def bare(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r\x0b\x0c"))
+
+
 def line_key(line: Column) -> list[Column]:
     """Two hashes that stand for a line."""
     return [F.xxhash64(line).alias("h"), F.crc32(line.cast("binary")).alias("c")]
@@ -47,7 +54,7 @@ def document_key(docs: DataFrame) -> list[Column]:
 
 def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc, line, h, c: the lines that are compared, each once a document."""
-    lines = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), lambda x: F.trim(x)), lambda x: F.length(x) >= min_chars))
+    lines = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), bare), lambda x: F.length(x) >= min_chars))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.explode(lines).alias("line"))
     return rows.select("doc", "line", *line_key(F.col("line")))
 
@@ -194,35 +201,44 @@ def edit_pairs(docs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, mi
     return close.select(*pick("h"), *pick("c"))
 
 
-def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, common: int = COMMON) -> DataFrame:
+    """h, c, first_doc of the short lines that so many documents hold."""
+    lines = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), bare), lambda x: F.length(x).between(1, min_chars - 1)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.explode(lines).alias("line")).select("doc", *line_key(F.col("line")))
+    return rows.groupBy("h", "c").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).filter(F.col("n") >= common).drop("n")
+
+
+def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, common: int = COMMON) -> DataFrame:
     """doc, text_h, text_c (the document's key) and keep: a flag for each line of its text."""
     lines = stored(distinct_lines(docs, threshold, min_chars), "lines")
     near = edit_pairs(docs, lines, threshold, min_chars).select(F.col("b_h").alias("h"), F.col("b_c").alias("c")).distinct().withColumn("near", F.lit(True))
     told = lines.select("h", "c", "first_doc", "n").join(near, ["h", "c"], "left").filter("n > 1 OR near").select("h", "c", "first_doc", F.coalesce("near", F.lit(False)).alias("near"))
-    rows = docs.select(*document_key(docs), F.posexplode(F.transform(lines_of(F.col("text")), lambda x: F.trim(x))).alias("i", "line"))
-    long = F.length("line") >= min_chars
-    # Short lines meet nothing, and each in another place.
+    told = told.unionByName(common_lines(docs, min_chars, common).withColumn("near", F.lit(False)))
+    rows = docs.select(*document_key(docs), F.posexplode(F.transform(lines_of(F.col("text")), bare)).alias("i", "line"))
+    long, some = F.length("line") >= min_chars, F.length("line") > 0
+    # Blank lines meet nothing, and each in another place.
     h, c = line_key(F.col("line"))
-    rows = rows.select("doc", "text_h", "text_c", "i", long.alias("long"), F.when(long, h).otherwise(F.xxhash64("text_h", "i")).alias("h"), F.when(long, c).otherwise(-1).alias("c"))
+    rows = rows.select("doc", "text_h", "text_c", "i", long.alias("long"), F.when(some, h).otherwise(F.xxhash64("text_h", "i")).alias("h"), F.when(some, c).otherwise(-1).alias("c"))
     found = rows.join(told, ["h", "c"], "left")
     here = F.col("first_doc").eqNullSafe(F.col("doc"))
     keep = F.when(F.col("near").isNull(), True).otherwise(~F.col("near") & here)
-    found = found.select("doc", "text_h", "text_c", F.struct("h", "c", "i", "long", keep.alias("keep")).alias("x"))
+    once = F.col("long") | F.col("near").isNotNull()  # stands once in a text
+    found = found.select("doc", "text_h", "text_c", F.struct("h", "c", "i", once.alias("once"), keep.alias("keep")).alias("x"))
     by_line = F.sort_array(F.collect_set("x"))
-    again = lambda a, x, k: (k > 0) & x["long"] & (F.get(a, k - 1)["h"] == x["h"]) & (F.get(a, k - 1)["c"] == x["c"])
+    again = lambda a, x, k: (k > 0) & x["once"] & (F.get(a, k - 1)["h"] == x["h"]) & (F.get(a, k - 1)["c"] == x["c"])
     grouped = found.groupBy("doc", "text_h", "text_c").agg(by_line.alias("xs"))
-    flags = F.sort_array(F.transform("xs", lambda x, k: F.struct(x["i"].alias("i"), (x["keep"] & ~again(F.col("xs"), x, k)).alias("keep"), x["long"].alias("long"))))
+    flags = F.sort_array(F.transform("xs", lambda x, k: F.struct(x["i"].alias("i"), (x["keep"] & ~again(F.col("xs"), x, k)).alias("keep"))))
     return grouped.select("doc", "text_h", "text_c", flags.alias("lines"))
 
 
-def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, common: int = COMMON) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped: the numbers of the lines that go, from 0, comma-joined; of each document.
 
     Rows that are equal in doc_id and text give one row.
     """
     dropped = F.filter("lines", lambda x: ~x["keep"])
     numbers = F.array_join(F.transform(dropped, lambda x: x["i"].cast("string")), ",")
-    return decisions(docs, threshold, min_chars).select(F.col("doc").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), numbers.alias("dropped"))
+    return decisions(docs, threshold, min_chars, common).select(F.col("doc").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), numbers.alias("dropped"))
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -232,10 +248,10 @@ def copies(docs: DataFrame) -> DataFrame:
     return keys.join(first, ["text_h", "text_c"]).filter(~F.col("doc").eqNullSafe(F.col("first_doc"))).select("doc", "text_h", "text_c")
 
 
-def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, common: int = COMMON) -> DataFrame:
     """The documents with the lines that stay; n_chars, if there, follows. Documents that lose lines go if nothing but
     white space is left of them, or if an earlier document has the very same text."""
-    told = decisions(docs, threshold, min_chars).withColumnsRenamed({"doc": "__doc", "text_h": "__h", "text_c": "__c", "lines": "__lines"})
+    told = decisions(docs, threshold, min_chars, common).withColumnsRenamed({"doc": "__doc", "text_h": "__h", "text_c": "__c", "lines": "__lines"})
     again = copies(docs).select(F.col("doc").alias("__copy_doc"), F.col("text_h").alias("__copy_h"), F.col("text_c").alias("__copy_c"))
     doc, text_h, text_c = document_key(docs)
     own = docs.withColumn("__own", F.struct(doc, text_h, text_c))

@@ -41,22 +41,22 @@ def test_banded_distance(spark, threshold):
         assert r["ok"] == (distance(r["a"], r["b"]) <= threshold), r
 
 
-def brute(rows, threshold, min_chars):
+def brute(rows, threshold, min_chars, common=L.COMMON):
     """doc -> numbers of dropped lines."""
-    docs = [(d, [x.strip(" ") for x in (t or "").split("\n")]) for d, t in rows]
-    first = {}
+    docs = [(d, [x.strip(" \t\r\x0b\x0c") for x in (t or "").split("\n")]) for d, t in rows]
+    first, held = {}, {}
     for d, lines in docs:
-        for x in lines:
-            if len(x) >= min_chars:
-                key = (d is None, d or 0)
-                first[x] = min(first.get(x, key), key)
-    order = {x: (k, x) for x, k in first.items()}
+        key = (d is None, d or 0)
+        for x in set(lines):
+            first[x] = min(first.get(x, key), key)
+            held[x] = held.get(x, 0) + 1
+    order = {x: (k, x) for x, k in first.items() if len(x) >= min_chars}
     near = {b for b in order for a in order if order[a] < order[b] and abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold}
     out = {}
     for d, lines in docs:
         seen, gone = set(), []
         for i, x in enumerate(lines):
-            if len(x) >= min_chars:
+            if len(x) >= min_chars or (x and held[x] >= common):
                 if x in near or first[x] != (d is None, d or 0) or x in seen:
                     gone.append(i)
                 seen.add(x)
@@ -71,7 +71,7 @@ def test_against_brute_force(spark, threshold):
     rows = []
     for d in range(40):
         lines = [edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3])) for _ in range(rng.randrange(1, 6))]
-        rows.append((d if d < 38 else None, "\n".join([*lines, "ab", "ab"])))
+        rows.append((d if d < 38 else None, "\n".join([*lines, "ab", "ab", *["\tcd \r"] * (d % 5 == 0), rng.choice(["", "ef", "  ef"])])))
     rows += [(50, None), (51, ""), (52, rows[3][1])]
     want = brute(rows, threshold, 8)
     got = L.line_report(spark.createDataFrame(rows, "doc_id long, text string"), threshold, 8).collect()
@@ -105,6 +105,13 @@ def test_documents_of_short_lines_outlive_a_shared_long_line(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: rows[0][1], 2: poem, 3: code, 6: f"{poem}\nmore"}
 
 
+def test_a_hot_line_and_very_long_ones(spark):
+    hot, long = "a line of forty characters or more that many hold", "".join(random.Random(3).choice("abc d") for _ in range(60_000))
+    rows = [(d, f"{hot}\nown {d}") for d in range(500)] + [(600, long), (601, long[:30_000] + "x" + long[30_000:]), (602, "y" + long)]
+    got = {r["doc_id"]: r["dropped"] for r in L.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: "" if d in (0, 600) else "0" for d, _ in rows}
+
+
 def test_empty_table(spark):
     assert L.line_report(spark.createDataFrame([], SCHEMA)).count() == 0
     assert L.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
