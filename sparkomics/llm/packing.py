@@ -4,7 +4,8 @@
 bounded size by a hash, and packs each shard by bin completion: undominated fillings around the largest piece left are
 the branches, the search goes back to the others where the waste exceeds what a better solution may have, and a best-fit
 solution is the first incumbent. It ends when no branch is left, when the incumbent is as small as the sum of lengths
-allows, or SEARCH_STEPS after its first descent in a shard; only in the last case may fewer sequences do.
+allows, or SEARCH_STEPS after its first descent in a shard; only in the last case may fewer sequences do. The emptiest
+sequences of several shards are packed once more, together, so that shards cost no sequence each.
 
 Nulls: a null text is the empty text (one piece, the end token alone); a null doc_id stays null. Repeated rows are
 packed as often as they occur. Ties: pieces of one length are taken in the order of (doc_id, piece). Empty tables give
@@ -273,9 +274,10 @@ def bin_completion(lengths: np.ndarray, capacity: int, nodes: int = SEARCH_NODES
     return incumbent if best is None else [[stock[m].pop() for m in b] for b in best]
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, level: int = 0) -> DataFrame:
     """The pieces with sequence_id and offset; `pieces` must be a stored table, since it is counted first."""
     shards = max(1, -(-pieces.count() // shard_pieces))
+    columns = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
@@ -287,10 +289,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
             at = np.array(at) + full
             sequence[at] = b
             offset[at] = np.cumsum(length[at]) - length[at]
-        return pdf.assign(sequence_id=sequence + (pdf["shard"].to_numpy() << 32), offset=offset).drop(columns="shard")
+        rest = sequence == np.bincount(sequence, weights=length).argmin()
+        return pdf.assign(sequence_id=sequence + (pdf["shard"].to_numpy() << 32) + (level << 58), offset=offset, rest=rest).drop(columns="shard")
 
     dealt = pieces.withColumn("shard", F.expr(f"pmod(xxhash64(doc_id, piece, length, ids_crc32), {shards}L)"))
-    return dealt.groupBy("shard").applyInPandas(one, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = dealt.groupBy("shard").applyInPandas(one, columns + ", rest boolean")
+    if shards == 1:
+        return packed.drop("rest")
+    packed = stored(packed, "packed")
+    rest = stored(packed.filter("rest").drop("sequence_id", "offset", "rest"), "rest")
+    return packed.filter("NOT rest").drop("rest").unionByName(pack(rest, capacity, shard_pieces, level + 1))
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
