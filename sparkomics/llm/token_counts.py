@@ -2,10 +2,11 @@
 touch.
 
 A document's text is cut into leaves of LEAF characters or more. Cuts lie between a character that is no white space and
-a space or line end; no pre-token of the byte-level vocabulary spans such a place, so that the leaves' counts add up to
-the text's. A binary tree holds the sums of characters and tokens below each node. An edit finds its leaves by descent,
-and takes in a neighbour where the edge to it is no such place any more. It encodes that region again and updates the
-sums on the paths to the root.
+a space or line end, or behind a letter or digit where something else follows; no pre-token of the byte-level vocabulary
+spans such a place, so that the leaves' counts add up to the text's, also in scripts without spaces. A binary tree holds
+the sums of characters and tokens below each node; it is kept, as a row. An edit finds its leaves by descent, and takes in
+a neighbour where the edge to it is no such place any more. It encodes that region again and updates the sums on the paths
+to the root.
 
 Nulls: a null text is empty and has one empty leaf, null edits are none, a null replacement is empty; a null doc_id stays
 null. Edits refer to the text before all edits (code points, exclusive end), are clipped to it, and are applied by
@@ -17,10 +18,11 @@ are ignored.
 from __future__ import annotations
 
 import base64
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,10 @@ LEAF = 256
 #: How the vocabulary's tokenizer splits a text before it merges bytes.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_CUT = re.compile(r"\S(?=[ \n])")
+_CUT = regex.compile(r"\S(?=[ \n])|[\p{L}\p{N}](?=[^\p{L}\p{N}])")
 _ENCODERS: dict = {}
 
-TREE = "doc_id long, text string, chars array<int>, tokens array<int>"
+TREE = "doc_id long, text string, leaves int, chars array<int>, tokens array<int>"
 EDITS = "array<struct<start:long,end:long,replacement:string>>"
 
 
@@ -47,6 +49,15 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def _word(ch: str) -> bool:
+    return unicodedata.category(ch)[0] in "LN"
+
+
+def may_cut(left: str, right: str) -> bool:
+    """Whether no pre-token spans two characters, whatever stands around them."""
+    return (right in " \n" and not left.isspace()) or (_word(left) and not _word(right))
+
+
 def leaves_of(text: str, size: int = LEAF) -> list[str]:
     out, at = [], 0
     while at < len(text):
@@ -57,18 +68,23 @@ def leaves_of(text: str, size: int = LEAF) -> list[str]:
     return out or [""]
 
 
+def sums(leaves: list[int]) -> list[int]:
+    """The sums of a binary tree over the leaves."""
+    width = 1 << (len(leaves) - 1).bit_length()
+    out = [0] * width + leaves + [0] * (width - len(leaves))
+    for i in range(width - 1, 0, -1):
+        out[i] = out[2 * i] + out[2 * i + 1]
+    return out
+
+
 class TokenTree:
     """Leaves of a text in order, with the sums of their characters and tokens in a binary tree."""
 
-    def __init__(self, leaves: list[str], tokens: list[int], encode) -> None:
+    def __init__(self, leaves: list[str], chars: list[int], tokens: list[int], encode) -> None:
+        """`chars` and `tokens` are the sums of all nodes, as `sums` makes them: the root's at 1, node i's children's at 2 i
+        and 2 i + 1."""
         self.leaves, self.encode, self.encoded = leaves, encode, 0
-        self.width = 1 << (len(leaves) - 1).bit_length()
-        self.chars = [0] * (2 * self.width)
-        self.tokens = [0] * (2 * self.width)
-        self.chars[self.width : self.width + len(leaves)] = map(len, leaves)
-        self.tokens[self.width : self.width + len(tokens)] = tokens
-        for i in range(self.width - 1, 0, -1):
-            self._sum(i)
+        self.width, self.chars, self.tokens = len(chars) // 2, chars, tokens
 
     def _sum(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -113,9 +129,9 @@ class TokenTree:
         last, last_at = self.find(max(start, end - 1))
         old = "".join(self.leaves[first : last + 1])
         text = old[: start - at] + replacement + old[end - at :]
-        while (left := self._before(first - 1)) >= 0 and not (text[:1] in (" ", "\n") and text and not self.leaves[left][-1].isspace()):
+        while (left := self._before(first - 1)) >= 0 and not (text and may_cut(self.leaves[left][-1], text[0])):
             first, text = left, self.leaves[left] + text
-        while (right := self._after(last + 1)) < len(self.leaves) and (not text or text[-1].isspace() or self.leaves[right][0] not in " \n"):
+        while (right := self._after(last + 1)) < len(self.leaves) and not (text and may_cut(text[-1], self.leaves[right][0])):
             last, text = right, text + self.leaves[right]
         parts, room = leaves_of(text), last - first + 1
         if len(parts) > room:  # the tree keeps its shape; its last leaf takes what is left
@@ -125,17 +141,18 @@ class TokenTree:
 
 
 def build(docs: DataFrame, ranks_path: str, leaf: int = LEAF) -> DataFrame:
-    """The tree of every document as a row: doc_id, text, and its leaves' characters and tokens in order."""
+    """The tree of every document as a row: doc_id, text, the number of leaves, and all nodes' characters and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path).encode_ordinary
         for batch in batches:
-            chars, tokens = [], []
+            n, chars, tokens = [], [], []
             for text in batch.column(1):
                 leaves = leaves_of(text.as_py() or "", leaf)
-                chars.append(list(map(len, leaves)))
-                tokens.append([len(encode(x)) for x in leaves])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))], ["doc_id", "text", "chars", "tokens"])
+                n.append(len(leaves))
+                chars.append(sums(list(map(len, leaves))))
+                tokens.append(sums([len(encode(x)) for x in leaves]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))], ["doc_id", "text", "leaves", "chars", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TREE)
 
@@ -154,12 +171,12 @@ def recount(trees: DataFrame, ranks_path: str) -> DataFrame:
         encode = encoder(ranks_path).encode_ordinary
         for batch in batches:
             out = []
-            for doc_id, text, chars, tokens, edits in zip(*batch.columns):
-                text, at, leaves = text.as_py() or "", 0, []
-                for n in chars.as_py():
+            for doc_id, text, n_leaves, chars, tokens, edits in zip(*batch.columns):
+                text, at, leaves, nodes = text.as_py() or "", 0, [], chars.as_py()
+                for n in nodes[len(nodes) // 2 :][: n_leaves.as_py()]:
                     leaves.append(text[at : at + n])
                     at += n
-                tree = TokenTree(leaves, tokens.as_py(), encode)
+                tree = TokenTree(leaves, nodes, tokens.as_py(), encode)
                 before, done = tree.tokens[1], []
                 key = lambda e: (e["start"], e["end"], e["replacement"] or "")
                 for e in sorted((e for e in edits.as_py() or () if e and e["start"] is not None and e["end"] is not None), key=key):
@@ -170,7 +187,7 @@ def recount(trees: DataFrame, ranks_path: str) -> DataFrame:
                 out.append((doc_id.as_py(), before, tree.tokens[1], tree.chars[1], tree.encoded))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names)
 
-    rows = trees.select("doc_id", "text", "chars", "tokens", F.col("edits").cast(EDITS).alias("edits"))
+    rows = trees.select("doc_id", "text", "leaves", "chars", "tokens", F.col("edits").cast(EDITS).alias("edits"))
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 

@@ -28,7 +28,7 @@ def test_matches_whole_encoding(spark):
         text = make(rng.choice([0, 1, 5, 60, 400]))
         edits = [(rng.randrange(-2, len(text) + 3), 0, make(rng.randrange(0, 5))) for _ in range(rng.randrange(0, 6))]
         rows.append((d, text, [(s, s + rng.randrange(0, 30), new) for s, _, new in edits]))
-    rows += [(1000, None, None), (1001, "x" * 5000, [(2500, 2501, " ")]), (1002, " ".join(["word"] * 4000), [(10_000, 10_004, "other")]), (1003, "abc", [(0, 3, None)])]
+    rows += [(1000, None, None), (1001, "x" * 5000, [(2500, 2501, " ")]), (1002, " ".join(["word"] * 4000), [(10_000, 10_004, "other")]), (1003, "abc", [(0, 3, None)]), (1004, "日本語の文。" * 3000, [(9_000, 9_001, "字")])]
     docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
     edits = spark.createDataFrame([(d, *e) for d, _, es in rows for e in es or ()], "doc_id long, start long, end long, replacement string")
     got = {r["doc_id"]: r for r in T.recount(T.with_edits(T.build(docs, RANKS, 16), edits), RANKS).collect()}
@@ -36,7 +36,7 @@ def test_matches_whole_encoding(spark):
         after = applied(text or "", es or [])
         assert got[d]["n_tokens"] == len(encode(text or ""))
         assert (got[d]["n_tokens_after"], got[d]["n_chars_after"]) == (len(encode(after)), len(after)), (d, es)
-    assert got[1002]["encoded_chars"] < 200
+    assert got[1002]["encoded_chars"] < 200 and got[1004]["encoded_chars"] < 200
 
 
 def test_revision_and_edge_rows(spark):
