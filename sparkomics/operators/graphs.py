@@ -60,3 +60,45 @@ def lookup_values(keys: DataFrame, mapping: DataFrame, key: str, field: str) ->
 def full_map(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """The full outer join of two identifier tables."""
     return left.join(right, key, "full_outer")
+
+
+def linked_to(edges: DataFrame, keys: DataFrame, key: str, other: str) -> DataFrame:
+    """The distinct edges of the keys: terms of objects, or objects of terms, by which column is the key."""
+    return edges.select(key, other).distinct().join(keys.select(key).distinct(), key, "left_semi")
+
+
+def distinct_nodes(edges: DataFrame, column: str) -> DataFrame:
+    """The column's different values, without nulls."""
+    return edges.filter(F.col(column).isNotNull()).select(column).distinct()
+
+
+def children(edges: DataFrame, node, parent: str = "parent", child: str = "child") -> DataFrame:
+    return edges.filter(F.col(parent) == node).select(child)
+
+
+def parents(edges: DataFrame, node, parent: str = "parent", child: str = "child") -> DataFrame:
+    return edges.filter(F.col(child) == node).select(parent)
+
+
+def leaf_totals(edges: DataFrame, roots: DataFrame, values: DataFrame, depth: int, parent: str = "parent", child: str = "child") -> DataFrame:
+    """root, n: the sum of `values` (node, n) of the leaves below each root (column `node`), as often as paths lead there."""
+    inner = edges.select(F.col(parent).alias("node")).distinct()
+    level = roots.select(F.col("node").alias("root"), "node").withColumn("paths", F.lit(1).cast("long"))
+    found = level
+    for _ in range(depth):
+        step = level.join(edges.select(F.col(parent).alias("node"), F.col(child).alias("__next")), "node")
+        level = step.groupBy("root", F.col("__next").alias("node")).agg(F.sum("paths").alias("paths")).persist()
+        found = found.unionByName(level)
+    leaves = found.join(inner, "node", "left_anti").join(values.withColumnRenamed("n", "__n"), "node")
+    sums = leaves.groupBy("root").agg(F.sum(F.col("paths") * F.col("__n")).alias("n"))
+    return roots.select(F.col("node").alias("root")).join(sums, "root", "left").fillna(0, ["n"])
+
+
+def feature_counts(features: DataFrame, feature: str = "feature") -> DataFrame:
+    """feature, n: how many rows there are of each kind."""
+    return features.groupBy(feature).agg(F.count("*").alias("n"))
+
+
+def last_of_id(features: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each id: of several the last one."""
+    return features.groupBy(key).agg(F.max_by(F.struct(*[c for c in features.columns if c != key]), order).alias("__row")).select(key, "__row.*")

@@ -99,3 +99,25 @@ def multimax(frames: list[DataFrame], keys: list[str], value: str) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out.groupBy(*keys).agg(F.max(value).alias(value))
+
+
+def sort_by(df: DataFrame, value: Column, tie: str, ascending: bool = True) -> DataFrame:
+    """The rows in the order of a value of theirs; rows of one value stay in the order of `tie`."""
+    return df.orderBy(value.asc() if ascending else value.desc(), tie)
+
+
+def chunks_of(df: DataFrame, order: list[str], by: list[str], n: int) -> DataFrame:
+    """The rows with the number, from 0, of their chunk: `n` chunks within `by`, the last ones shorter."""
+    w = Window.partitionBy(*by)
+    step = F.ceil(F.count("*").over(w) / n)
+    return df.withColumn("chunk", F.floor((F.row_number().over(w.orderBy(*order)) - 1) / step))
+
+
+def dummies(df: DataFrame, code: str, levels: int) -> DataFrame:
+    """The rows with a column of 0 and 1 for each code of an ordinal column from 0, but the first."""
+    return df.select("*", *[(F.col(code) == k).cast("int").alias(f"{code}_{k}") for k in range(1, levels)])
+
+
+def random_draws(df: DataFrame, seed: int, normal: bool = True, name: str = "draw") -> DataFrame:
+    """The rows with a draw of the standard normal, or of the uniform distribution on [0, 1)."""
+    return df.withColumn(name, F.randn(seed) if normal else F.rand(seed))

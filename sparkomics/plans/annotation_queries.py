@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkomics.functions import columns as C
-from sparkomics.operators import association, linkage, lookups, models, pedigree, stats, tables, trees
+from sparkomics.operators import association, graphs, linkage, lists, lookups, models, pedigree, stats, tables, trees
 from sparkomics.plans.queries import query, r6, t
 
 # Scores and regions: part keys as places, brands as chromosomes
@@ -460,3 +460,77 @@ def mott_trimming(spark, d):
     kept = models.mott_trim(part, "q").withColumn("kept", F.slice("q", F.col("first") + 1, F.col("last") - F.col("first")))
     gain = F.aggregate("kept", F.lit(0.0), lambda s, x: s + 0.05 - F.pow(F.lit(10.0), -x.cast("double") / 10))
     return kept.select("p_partkey", r6(F.greatest(gain, F.lit(0.0))).alias("lead"))
+
+
+# Edges and lists
+
+_EDGES = "e AS (SELECT DISTINCT l_suppkey AS term, l_partkey AS object FROM lineitem)"
+
+
+def _edges(spark, d):
+    return t(spark, d, "lineitem").select(F.col("l_suppkey").alias("term"), F.col("l_partkey").alias("object"))
+
+
+@query(f"WITH {_EDGES} SELECT * FROM e WHERE object IN (SELECT p_partkey FROM part WHERE p_size = 7)")
+def terms_of_objects(spark, d):
+    return graphs.linked_to(_edges(spark, d), t(spark, d, "part").filter("p_size = 7").select(F.col("p_partkey").alias("object")), "object", "term")
+
+
+@query(f"WITH {_EDGES} SELECT * FROM e WHERE term IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 4)")
+def objects_of_terms(spark, d):
+    return graphs.linked_to(_edges(spark, d), t(spark, d, "supplier").filter("s_nationkey < 4").select(F.col("s_suppkey").alias("term")), "term", "object")
+
+
+@query("SELECT DISTINCT l_suppkey AS term FROM lineitem")
+def distinct_terms(spark, d):
+    return graphs.distinct_nodes(_edges(spark, d), "term")
+
+
+@query("SELECT s_suppkey AS child FROM supplier WHERE s_suppkey // 3 = 2")
+def direct_children(spark, d):
+    edges = t(spark, d, "supplier").selectExpr("s_suppkey DIV 3 AS parent", "s_suppkey AS child")
+    return graphs.children(edges, 2)
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey // 3 AS p, s_suppkey AS c FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT s_suppkey // 4, s_suppkey FROM supplier WHERE s_suppkey > 0), r AS (SELECT s_suppkey AS root, s_suppkey AS node, 0 AS depth FROM supplier UNION ALL SELECT root, c, depth + 1 FROM r JOIN e ON p = node WHERE depth < 4),
+l AS (SELECT root, node FROM r WHERE node NOT IN (SELECT p FROM e)) SELECT s_suppkey AS root, coalesce(sum(node % 10), 0)::BIGINT AS n FROM supplier LEFT JOIN l ON root = s_suppkey GROUP BY 1""")
+def leaf_totals(spark, d):
+    s = t(spark, d, "supplier").filter("s_suppkey > 0")
+    edges = s.selectExpr("s_suppkey DIV 3 AS parent", "s_suppkey AS child").unionByName(s.selectExpr("s_suppkey DIV 4 AS parent", "s_suppkey AS child"))
+    values = s.selectExpr("s_suppkey AS node", "s_suppkey % 10 AS n")
+    return graphs.leaf_totals(edges, t(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), values, 4).withColumn("n", F.col("n").cast("long"))
+
+
+@query("SELECT event_type AS feature, count(*) AS n FROM events GROUP BY 1")
+def feature_counts(spark, d):
+    return graphs.feature_counts(t(spark, d, "events").withColumnRenamed("event_type", "feature"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def last_of_id(spark, d):
+    return graphs.last_of_id(t(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // CAST(ceil(count(*) OVER (PARTITION BY c_nationkey) / 4) AS BIGINT) AS chunk FROM customer")
+def chunks_of(spark, d):
+    return lists.chunks_of(t(spark, d, "customer"), ["c_custkey"], ["c_nationkey"], 4).select("c_custkey", F.col("chunk").cast("long").alias("chunk"))
+
+
+@query("SELECT c_custkey, CAST(c_nationkey = 1 AS INT) AS c_nationkey_1, CAST(c_nationkey = 2 AS INT) AS c_nationkey_2 FROM customer")
+def dummy_codes(spark, d):
+    return lists.dummies(t(spark, d, "customer"), "c_nationkey", 3).select("c_custkey", "c_nationkey_1", "c_nationkey_2")
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal % 100 DESC, c_custkey LIMIT 50)")
+def sorted_rows(spark, d):
+    return lists.sort_by(t(spark, d, "customer"), F.col("c_acctbal") % 100, "c_custkey", False).limit(50).select("c_custkey")
+
+
+@query("SELECT p_partkey, upper(p_name) || upper(p_type) AS joined, p_name[2:5] AS part FROM part")
+def sequence_parts(spark, d):
+    return t(spark, d, "part").select("p_partkey", F.upper(F.concat("p_name", "p_type")).alias("joined"), F.substring("p_name", 2, 4).alias("part"))
+
+
+@query("SELECT c_custkey, c_acctbal / power((150 + c_nationkey) / 100, 2) AS bmi FROM customer")
+def body_mass(spark, d):
+    return t(spark, d, "customer").select("c_custkey", C.body_mass_index(F.col("c_acctbal"), 150 + F.col("c_nationkey")).alias("bmi"))
