@@ -138,11 +138,13 @@ def disclosing_terms(docs: DataFrame, met: DataFrame, spans: DataFrame, disclosu
     piece, value, term of terms in a context with an entity."""
     pairs = met.groupBy("value", "term").agg(F.count("*").alias("n_et"))
     entity = spans.select("row", "line_no", "piece", "value").distinct().groupBy("value").agg(F.count("*").alias("n_e"))
+    # Stored in parts: the joins of one stage hold their sorted rows side by side.
+    pairs = stored(pairs.join(entity, "value"), "pii-counted")
     counts, n = term_contexts(docs)
-    term = counts.join(pairs.select("term").distinct(), "term", "left_semi")
+    term = stored(counts.join(pairs.select("term").distinct(), "term", "left_semi"), "pii-terms")
     share = F.col("n_e") / n
     told = (F.col("n_et") + shrinkage * share) / (F.col("n_t") + shrinkage)
-    joined = pairs.join(entity, "value").join(term, "term").filter(F.col("n_e") < n)
+    joined = pairs.join(term, "term").filter(F.col("n_e") < n)
     return joined.select("value", "term", (F.log(told / share) / -F.log(share)).alias("ratio")).filter(F.col("ratio") >= disclosure)
 
 
