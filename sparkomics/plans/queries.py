@@ -281,10 +281,13 @@ def rank_inverse_normal(spark, d):
     return stats.rin(t(spark, d, "part"), "p_retailprice", ["p_brand"]).select("p_partkey", r6("rin").alias("rin"))
 
 
-@query()
+@query("""WITH g AS (SELECT l_suppkey, l_partkey * l_linenumber % 3 AS g FROM lineitem), c AS (SELECT l_suppkey, count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 2) AS n2 FROM g GROUP BY 1),
+m AS (SELECT *, n0 + n1 + n2 AS n, 2 * least(n0, n2) + n1 AS r FROM c), h AS (SELECT *, unnest(range(r % 2, r + 1, 2)) AS h FROM m),
+l AS (SELECT *, h * ln(2) - lgamma((r - h) / 2 + 1) - lgamma(h + 1) - lgamma(n - (r + h) / 2 + 1) AS w FROM h WHERE (r + h) / 2 <= n), q AS (SELECT *, exp(w - max(w) OVER (PARTITION BY l_suppkey)) AS e FROM l),
+o AS (SELECT l_suppkey, e AS own FROM q WHERE h = n1) SELECT l_suppkey, any_value(n0) AS n0, any_value(n1) AS n1, any_value(n2) AS n2, round(least(sum(e) FILTER (e <= own * (1 + 1e-9)) / sum(e), 1), 6) AS p FROM q JOIN o USING (l_suppkey) GROUP BY 1""")
 def hardy_weinberg(spark, d):
     genotypes = t(spark, d, "lineitem").select("l_suppkey", F.pmod(F.col("l_partkey") * F.col("l_linenumber"), F.lit(3)).alias("g"))
-    return stats.hardy_weinberg(genotypes, ["l_suppkey"], "g")
+    return stats.hardy_weinberg(genotypes, ["l_suppkey"], "g").select("l_suppkey", "n0", "n1", "n2", r6("p").alias("p"))
 
 
 # Tables
@@ -402,7 +405,8 @@ def rbh(spark, d):
     return tables.reciprocal_best(h, back, "q", "s", "score").select("q", "s")
 
 
-@query()
+@query("""WITH n AS (SELECT w.p_partkey, k.p_retailprice AS v, abs(w.p_size - k.p_size) + 1e-9 AS d, row_number() OVER (PARTITION BY w.p_partkey ORDER BY abs(w.p_size - k.p_size), k.p_partkey) AS i FROM part w JOIN part k ON w.p_partkey % 10 = 0 AND k.p_partkey % 10 > 0),
+f AS (SELECT p_partkey, sum(v / d) / sum(1 / d) AS fill FROM n WHERE i <= 3 GROUP BY 1) SELECT p_partkey, p_size, round(coalesce(fill, p_retailprice), 6) AS p_retailprice FROM part LEFT JOIN f USING (p_partkey)""")
 def knn_impute(spark, d):
     part = t(spark, d, "part").withColumn("p_retailprice", F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")))
     return tables.knn_impute(part.select("p_partkey", "p_size", "p_retailprice"), "p_partkey", "p_retailprice", ["p_size"]).withColumn("p_retailprice", r6("p_retailprice"))
@@ -577,7 +581,10 @@ def lowess(spark, d):
     return models.lowess(t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.lit(1).alias("g")), ["g"], "s_suppkey", "s_acctbal").select("s_suppkey", F.round("fitted", 4).alias("fitted"))
 
 
-@query()
+@query("""WITH c AS (SELECT l_returnflag AS s, l_partkey AS g, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), t AS (SELECT *, sum(v) OVER (PARTITION BY s) AS lib FROM c), b AS (SELECT t.*, r.v AS rv, r.lib AS rl FROM t JOIN t r ON r.g = t.g AND r.s = 'A' AND r.v > 0 AND t.v > 0),
+m AS (SELECT s, log2((v / lib) / (rv / rl)) AS m, (log2(v / lib) + log2(rv / rl)) / 2 AS a, 1 / ((lib - v) / lib / v + (rl - rv) / rl / rv) AS w FROM b),
+r AS (SELECT *, count(*) OVER (PARTITION BY s) AS n, rank() OVER (PARTITION BY s ORDER BY m) + (count(*) OVER (PARTITION BY s, m) - 1) / 2 AS im, rank() OVER (PARTITION BY s ORDER BY a) + (count(*) OVER (PARTITION BY s, a) - 1) / 2 AS ia FROM m)
+SELECT s AS sample, round(sum(m * w) / sum(w), 6) AS factor FROM r WHERE im BETWEEN floor(n * 0.3) + 1 AND n - floor(n * 0.3) AND ia BETWEEN floor(n * 0.05) + 1 AND n - floor(n * 0.05) GROUP BY 1""")
 def tmm(spark, d):
     counts = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("sample"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("value"))
     return models.tmm_factors(counts, "sample", "gene", "value", "A").select("sample", r6("factor").alias("factor"))
