@@ -98,3 +98,17 @@ def test_pieces_and_places(spark):
 
 def test_empty_table(spark):
     assert P.best_fit_packing(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_shards_pack_their_emptiest_sequences_together(spark):
+    rng = random.Random(5)
+    rows = [(i, 0, 0, rng.choice([5, 10, 20, 25, 50]), i) for i in range(600)]
+    pieces = P.stored(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    out = P.pack(pieces, 100, 40).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(600))
+    loads = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == loads.get(r["sequence_id"], 0)
+        loads[r["sequence_id"]] = r["offset"] + r["length"]
+    least = -(-sum(r[3] for r in rows) // 100)
+    assert max(loads.values()) <= 100 and len(loads) <= least + 1  # 15 shards, and no sequence for each
