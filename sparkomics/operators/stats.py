@@ -1,7 +1,8 @@
 """Statistics as windows and aggregates; special functions come from `functions.special`.
 
 Ranks and what follows from them are taken over the different values of a group, dealt over buckets of values, and carried
-from bucket to bucket by small sums; so a group of any size is spread over many tasks.
+from bucket to bucket by small sums; so a group of any size is spread over many tasks. Tables of SMALL rows or fewer take
+one window a group instead, with the same results.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ _ALIASES = {
     "by": "by", "benjamini_yekutieli": "by", "bejamini_yekutieli": "by", "fdr_by": "by",
 }
 BUCKETS = 64
+SMALL = 1_000_000
 
 
 def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -30,6 +32,10 @@ def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.join(renamed if on else F.broadcast(renamed), condition, how).drop(*[f"__r_{c}" for c in on])  # without keys: one row
 
 
+def _small(df: DataFrame) -> bool:
+    return df.limit(SMALL + 1).count() <= SMALL
+
+
 def ranked_values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """by, __v (each different value that isn't null), __k (its rows), __b (its bucket), __last (rows of the group up to it)."""
     counts = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count("*").alias("__k"))
@@ -61,6 +67,8 @@ def p_adjust(df: DataFrame, p: str, by: list[str], method: str = "fwer", n: int
         told = _join(df, total, by).withColumn("__q", m * F.col(p).cast("double"))
         return told.withColumn(name, F.when(F.col(p).isNull(), 1.0).otherwise(F.least(F.lit(1.0), "__q"))).drop("__m", "__q")
     total = total.withColumn("__scale", _harmonic(m) if method == "by" else F.lit(1.0))
+    if _small(df):
+        return _stepped(_join(df, total, by), p, by, method, name)
     last, first = F.col("__last"), F.col("__last") - F.col("__k") + 1
     step = {"holm": (m - first + 1) * value, "hochberg": (m - last + 1) * value}.get(method, F.col("__scale") * m / last * value)
     ranked = _join(ranked_values(df, p, by), total, by).withColumn("__s", step)
@@ -76,6 +84,20 @@ def p_adjust(df: DataFrame, p: str, by: list[str], method: str = "fwer", n: int
     return _join(own, found, [*by, "__v"], "left").withColumn(name, F.coalesce("__q", F.lit(1.0))).drop("__q", "__v")
 
 
+def _stepped(df: DataFrame, p: str, by: list[str], method: str, name: str) -> DataFrame:
+    """The step procedures over rows with __m and __scale, in one window a group."""
+    every = Window.partitionBy(*by)
+    up = every.orderBy(F.asc_nulls_last(p))
+    ranked = df.withColumn("__i", F.row_number().over(up))
+    i, m, value = F.col("__i"), F.col("__m").cast("double"), F.col(p).cast("double")
+    if method == "holm":
+        q = F.max((m - i + 1) * value).over(every.orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        step = (m - i + 1) * value if method == "hochberg" else F.col("__scale") * m / i * value
+        q = F.min(step).over(every.orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.withColumn(name, F.when(value.isNull(), 1.0).otherwise(F.least(F.lit(1.0), q))).drop("__i", "__m", "__scale")
+
+
 def zscore(df: DataFrame, value: str, by: list[str], name: str = "z", sample: bool = False) -> DataFrame:
     """Standardised values within `by`: by the population's deviation, or the sample's."""
     deviation = F.stddev_samp(value) if sample else F.stddev_pop(value)
@@ -91,6 +113,11 @@ def running(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataF
 
 def with_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """The rows with ranks from 1 in ascending order; ties share their mean. Nulls have none."""
+    if _small(df):
+        own = F.col(value)
+        ties = F.count(own).over(Window.partitionBy(*by, own))
+        rank = F.rank().over(Window.partitionBy(*by).orderBy(own.asc_nulls_last()))
+        return df.withColumn(name, F.when(own.isNotNull(), rank + (ties - 1) / 2))
     ranks = ranked_values(df, value, by).select(*by, "__v", (F.col("__last") - (F.col("__k") - 1) / 2).alias(name))
     return _join(df.withColumn("__v", F.col(value).cast("double")), ranks, [*by, "__v"], "left").drop("__v")
 

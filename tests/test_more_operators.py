@@ -13,7 +13,9 @@ from sparkomics.sources import formats
 
 
 @pytest.mark.parametrize("name, kind", [("fdr_bh", "bh"), ("fdr_by", "by"), ("bejamini_yekutieli", "by"), ("FDR", "bh"), ("fwer", "bonferroni"), ("holm", "holm"), ("hochberg", "hochberg")])
-def test_p_adjust_aliases_against_a_plain_version(spark, name, kind):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_p_adjust_aliases_against_a_plain_version(spark, monkeypatch, name, kind, small):
+    monkeypatch.setattr(stats, "SMALL", small)
     rng = random.Random(3)
     p = [rng.choice([0.001, 0.01, 0.02, rng.random(), rng.random() ** 4, 1.0, None]) for _ in range(300)]
     rows = [(i, rng.choice(["a", "b", None]), x) for i, x in enumerate(p)]
@@ -34,7 +36,9 @@ def test_p_adjust_aliases_against_a_plain_version(spark, name, kind):
     assert len(got) == 300
 
 
-def test_ranks_share_their_mean(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_ranks_share_their_mean(spark, monkeypatch, small):
+    monkeypatch.setattr(stats, "SMALL", small)
     values = [5.0, 1.0, 1.0, None, 7.0, 5.0, 5.0]
     out = stats.with_rank(spark.createDataFrame(list(enumerate(values)), "i int, v double"), "v", [], "rank").orderBy("i").collect()
     assert [r["rank"] for r in out] == [4.0, 1.5, 1.5, None, 6.0, 4.0, 4.0]
