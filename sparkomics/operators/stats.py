@@ -60,6 +60,10 @@ def p_adjust(df: DataFrame, p: str, by: list[str], method: str = "fwer", n: int
     Equal p-values have equal adjusted ones, so that the step procedures run over the different values.
     """
     method = _ALIASES.get(method.lower(), "bonferroni")
+    if method not in ("bonferroni", "by") and _small(df):
+        most = F.count("*").over(Window.partitionBy(*by))
+        sized = df.withColumn("__m", F.greatest(most, F.lit(n)) if n is not None else most).withColumn("__scale", F.lit(1.0))
+        return _stepped(sized, p, by, method, name)
     total = df.groupBy(*by).agg(F.count("*").alias("__m"))
     total = total.withColumn("__m", F.greatest("__m", F.lit(n)) if n is not None else F.col("__m"))
     m, value = F.col("__m").cast("double"), F.col("__v")
