@@ -14,40 +14,6 @@ from sparkomics.functions.special import t_two_sided
 from sparkomics.operators.stats import with_rank
 
 
-def lowess_fit(x: np.ndarray, y: np.ndarray, f: float = 2 / 3, iterations: int = 3) -> np.ndarray:
-    """Locally weighted linear regression: tricube weights over the nearest part f, bisquare reweighting of residuals."""
-    n = len(x)
-    k = min(n, max(2, math.ceil(f * n)))
-    fitted, robust = np.zeros(n), np.ones(n)
-    for _ in range(iterations):
-        for i in range(n):
-            distance = np.abs(x - x[i])
-            reach = np.partition(distance, k - 1)[k - 1]
-            w = robust * (1 - np.clip(distance / reach if reach > 0 else distance > 0, 0, 1) ** 3) ** 3
-            total = w.sum()
-            if total <= 0:
-                fitted[i] = y[i]
-                continue
-            mean_x, mean_y = (w @ x) / total, (w @ y) / total
-            spread = w @ (x - mean_x) ** 2
-            slope = (w @ ((x - mean_x) * (y - mean_y))) / spread if spread > 1e-12 else 0.0
-            fitted[i] = mean_y + slope * (x[i] - mean_x)
-        residual = y - fitted
-        scale = 6 * np.median(np.abs(residual))
-        robust = (1 - np.clip(residual / scale, -1, 1) ** 2) ** 2 if scale > 0 else np.ones(n)
-    return fitted
-
-
-def lowess(df: DataFrame, by: list[str], x: str, y: str, f: float = 2 / 3, iterations: int = 3) -> DataFrame:
-    """The rows with `fitted`, a curve for each group; a group is fitted as a whole, with work that grows with its square."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", fitted double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(fitted=lowess_fit(pdf[x].to_numpy(float), pdf[y].to_numpy(float), f, iterations))
-
-    return df.groupBy(*by).applyInPandas(fit, schema)
-
-
 def regression(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """by, slope, intercept, r2, n, p of a simple linear regression; p is two-sided."""
     fit = df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))

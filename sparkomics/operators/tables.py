@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkomics.operators.storage import stored
+
 
 def flat(df: DataFrame, fields: list[str], sep: str | None = None, ignore_unequal_rows: bool = False) -> DataFrame:
     """A row for each place of the parallel lists in `fields`, which come first. Delimited strings are split by `sep`.
@@ -170,8 +172,9 @@ def reciprocal_best(hits: DataFrame, other: DataFrame, query: str, subject: str,
     return a.join(b, (F.col(query) == F.col("__s")) & (F.col(subject) == F.col("__q"))).drop("__q", "__s")
 
 
-def knn_impute(df: DataFrame, key: str, target: str, features: list[str], k: int = 3, strict: bool = True) -> DataFrame:
-    """The rows with nulls of `target` filled from the k nearest rows that have it, by distance over `features`.
+def knn_impute(df: DataFrame, key: str, target: str, features: list[str], k: int = 3, strict: bool = True, known: DataFrame | None = None) -> DataFrame:
+    """The rows with nulls of `target` filled from the k nearest rows that have it, by distance over `features`: rows of df,
+    or of `known` where that is given.
 
     The rows that have it are dealt over cells of about equal numbers along the first feature. A row looks in its own and
     both next cells, and again in more than twice as many as long as the k-th distance found exceeds the distance to what
@@ -181,7 +184,7 @@ def knn_impute(df: DataFrame, key: str, target: str, features: list[str], k: int
     """
     first = features[0]
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in features])
-    known = df.filter(F.col(target).isNotNull() & whole)
+    known = (df if known is None else known).filter(F.col(target).isNotNull() & whole)
     cells = int(max(1, min(10_000, known.count() // (64 * k))))
     bounds = known.agg(F.percentile_approx(F.col(first).cast("double"), F.array(*[F.lit(i / cells) for i in range(1, max(cells, 2))]), F.lit(10_000))).first()[0] or []
     edges = sorted(set(bounds))
@@ -190,15 +193,16 @@ def knn_impute(df: DataFrame, key: str, target: str, features: list[str], k: int
     have = known.select(F.col(key).alias("__k"), F.col(target).alias("__t"), *[F.col(c).alias(f"__{c}") for c in features], cell.alias("__cell"))
     open_rows, done, ring = df.filter(F.col(target).isNull() & whole).select(key, *features).withColumn("__at", cell), None, 1
     distance = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"__{c}"), 2) for c in features]))
-    weight = 1 / (F.col("__d") + 1e-9) if strict else F.col("__d") / k
+    weight = 1 / (F.col("__d") + 1e-9) if strict else F.col("__d")
     last = len(edges)
     while True:
         low, high = F.greatest(F.col("__at") - ring, F.lit(0)), F.least(F.col("__at") + ring, F.lit(last))
         near = open_rows.withColumn("__cell", F.explode(F.sequence(low, high))).join(have, "__cell").withColumn("__d", distance)
         near = near.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__d", "__k"))).filter(F.col("__n") <= k)
-        filled = near.groupBy(key).agg(F.try_divide(F.sum(F.col("__t") * weight), F.sum(weight)).alias("__fill"), F.max("__d").alias("__far"), F.count("*").alias("__found"))
+        filled = near.groupBy(key).agg(F.try_divide(F.sum(F.col("__t") * weight), F.sum(weight) * (1 if strict else k)).alias("__fill"), F.max("__d").alias("__far"), F.count("*").alias("__found"))
         seen = F.least(F.col(first) - F.element_at(walls, (low + 1).cast("int")), F.element_at(walls, (high + 2).cast("int")) - F.col(first))
-        told = open_rows.join(filled, key, "left").withColumn("__sure", (F.coalesce("__found", F.lit(0)) >= k) & (F.col("__far") < seen) | F.lit(ring >= last)).persist()
+        told = open_rows.join(filled, key, "left").withColumn("__sure", (F.coalesce("__found", F.lit(0)) >= k) & (F.col("__far") < seen) | F.lit(ring >= last))
+        told = stored(told, "neighbours")
         sure = told.filter("__sure").select(key, "__fill")
         done = sure if done is None else done.unionByName(sure)
         open_rows = told.filter("NOT __sure").select(key, *features, "__at")
@@ -206,3 +210,40 @@ def knn_impute(df: DataFrame, key: str, target: str, features: list[str], k: int
             break
         ring = 2 * ring + 1
     return df.join(done, key, "left").withColumn(target, F.coalesce(target, "__fill")).drop("__fill")
+
+
+def training_columns(df: DataFrame, target: str, values: list[str]) -> list[str]:
+    """Those of `values` that a model of `target` may use: without nulls where the target is null, and where it isn't."""
+    others = [v for v in values if v != target]
+    lacking = df.agg(*[F.max(F.col(v).isNull()).alias(v) for v in others]).first() if others else ()
+    return [v for v, lacks in zip(others, lacking) if lacks is False]
+
+
+def impute(df: DataFrame, key: str, values: list[str], columns: list[str] | None = None, k: int = 3, rounds: int = 10, strict: bool = True) -> DataFrame:
+    """The rows with nulls of `columns` (by default all of `values` that have any) filled, column by column, from the k
+    nearest rows over the training columns, again and again until a round changes nothing, `rounds` times at most.
+
+    A column that is filled becomes a training column of the next one; from the second round on each is filled from all
+    others. The state is stored after each column. Rows learn from rows that have a value of their own; without
+    `strict` also from filled ones, themselves included, with weights that grow with distance (see `knn_impute`). A
+    column stays as it is while no training column has all values. `key` tells rows apart.
+    """
+    first = df.select(key, *values)
+    if columns is None:
+        lacking = first.agg(*[F.max(F.col(v).isNull()).alias(v) for v in values]).first()
+        columns = [v for v in values if lacking[v]]
+    now = stored(first.withColumns({f"__own_{c}": F.col(c) for c in columns} | {c: F.col(c).cast("double") for c in columns}), "imputed")
+    for _ in range(rounds):
+        before = now
+        for c in columns:
+            features = training_columns(now, c, values)
+            if features:
+                filled = knn_impute(now.withColumn(c, F.col(f"__own_{c}").cast("double")), key, c, features, k, strict, None if strict else now)
+                now = stored(filled, "imputed")
+        old = before.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__old_{c}") for c in columns])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__old_{c}")) for c in columns], F.lit(True))
+        if now.join(old, F.col(key) == F.col("__key")).filter(~same).isEmpty():
+            break
+    done = now.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__new_{c}") for c in columns])
+    joined = df.join(done, F.col(key) == F.col("__key"), "left")
+    return joined.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"__new_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])

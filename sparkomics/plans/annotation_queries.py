@@ -324,9 +324,35 @@ def _heap(spark, d):
     return ranked.select(F.col("s_nationkey").cast("long").alias("tree"), F.col("place").cast("int").alias("node_id"), parent.alias("parent_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("length"), F.col("place").cast("int").alias("ord"), F.lit(0).alias("depth"))
 
 
-@query(f"WITH RECURSIVE {_TREE}, w AS (SELECT tree, node_id, [node_id] AS path FROM n WHERE parent_id IS NULL UNION ALL SELECT n.tree, n.node_id, list_append(path, n.node_id) FROM w JOIN n ON n.tree = w.tree AND n.parent_id = w.node_id) SELECT tree, node_id, row_number() OVER (PARTITION BY tree ORDER BY path) - 1 AS pre FROM w")
+_PATHS = "p AS (SELECT tree, node_id, parent_id, name, length, [node_id] AS path FROM n WHERE parent_id IS NULL UNION ALL SELECT n.tree, n.node_id, n.parent_id, n.name, n.length, list_append(path, n.node_id) FROM p JOIN n ON n.tree = p.tree AND n.parent_id = p.node_id)"
+
+
+@query(f"""WITH RECURSIVE {_TREE}, {_PATHS}, s AS (SELECT a.tree, a.node_id, count(*) AS size FROM p a JOIN p b ON b.tree = a.tree AND list_contains(b.path, a.node_id) GROUP BY ALL),
+w AS (SELECT tree, node_id, size, len(path) - 1 AS depth, row_number() OVER (PARTITION BY tree ORDER BY path) - 1 AS pre FROM p JOIN s USING (tree, node_id))
+SELECT tree, node_id, pre, pre + size - 1 - depth AS post, CAST(depth AS INT) AS depth FROM w""")
 def tree_walk(spark, d):
-    return trees.walks(_heap(spark, d)).select("tree", "node_id", F.col("pre").cast("long").alias("pre"))
+    return trees.walks(_heap(spark, d)).select("tree", "node_id", "pre", "post", "depth")
+
+
+@query(f"""WITH RECURSIVE {_TREE}, {_PATHS}, c AS (SELECT tree, parent_id AS node_id, count(*) AS k, min(node_id) AS first FROM n WHERE parent_id IS NOT NULL GROUP BY ALL),
+w AS (SELECT p.*, k, node_id > min(node_id) OVER (PARTITION BY tree, parent_id) AND parent_id IS NOT NULL AS later FROM p LEFT JOIN c USING (tree, node_id)),
+x AS (SELECT tree, path AS pos, (CASE WHEN later THEN ',' ELSE '' END) || (CASE WHEN k > 0 THEN '(' ELSE '' END) AS token FROM w
+UNION ALL SELECT tree, list_append(path, 1000000), (CASE WHEN k > 0 THEN ')' ELSE '' END) || name || ':' || CAST(CAST(floor(length) AS BIGINT) AS VARCHAR) FROM w)
+SELECT tree, string_agg(token, '' ORDER BY pos) || ';' AS newick FROM x GROUP BY tree""")
+def newick_texts(spark, d):
+    return trees.to_newick(_heap(spark, d).withColumn("length", F.floor("length").cast("double")))
+
+
+@query(f"""WITH RECURSIVE {_TREE}, c AS (SELECT tree, parent_id AS node_id, count(*) AS k FROM n WHERE parent_id IS NOT NULL GROUP BY ALL), m AS (SELECT n.*, coalesce(k, 0) = 1 AS lone FROM n LEFT JOIN c USING (tree, node_id)),
+w AS (SELECT tree, node_id, name, parent_id AS up, length FROM m WHERE NOT lone UNION ALL SELECT w.tree, w.node_id, w.name, m.parent_id, w.length + m.length FROM w JOIN m ON m.tree = w.tree AND m.node_id = w.up WHERE m.lone)
+SELECT tree, node_id, up AS parent_id, name, round(length, 6) AS length FROM w WHERE up IS NULL OR (tree, up) IN (SELECT (tree, node_id) FROM m WHERE NOT lone)""")
+def collapsed_trees(spark, d):
+    return trees.collapse(_heap(spark, d)).select("tree", "node_id", "parent_id", "name", F.round("length", 6).alias("length"))
+
+
+@query(f"""WITH RECURSIVE {_TREE}, {_PATHS} SELECT tree, p.node_id, name, row_number() OVER (PARTITION BY tree ORDER BY path) - 1 AS place FROM p WHERE (tree, node_id) NOT IN (SELECT (tree, parent_id) FROM n WHERE parent_id IS NOT NULL)""")
+def tree_leaves(spark, d):
+    return trees.leaves(_heap(spark, d))
 
 
 @query(f"WITH {_TREE}, c AS (SELECT tree, parent_id, count(*) AS k FROM n WHERE parent_id IS NOT NULL GROUP BY ALL) SELECT n.tree, bool_and(coalesce(k, 0) IN (0, 2)) AS binary FROM n LEFT JOIN c ON c.tree = n.tree AND c.parent_id = n.node_id GROUP BY 1")
@@ -339,11 +365,11 @@ def without_leaf_names(spark, d):
     return trees.without_names(_heap(spark, d), internal=False).select("tree", "node_id", "name")
 
 
-@query(f"WITH {_TREE}, l AS (SELECT * FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.tree = a.tree AND b.parent_id = a.node_id)) SELECT tree, count(*) AS nodes FROM n WHERE NOT (parent_id IS NOT NULL AND node_id IN (3, 5) AND name IN (SELECT name FROM l WHERE l.tree = n.tree)) GROUP BY 1")
+@query(f"""WITH RECURSIVE {_TREE}, {_PATHS}, gone AS (SELECT tree, node_id FROM n WHERE parent_id IS NOT NULL AND name IN (SELECT name FROM n WHERE node_id IN (1, 5)))
+SELECT tree, node_id, parent_id, name FROM p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.tree = p.tree AND list_contains(p.path, g.node_id))""")
 def pruned_trees(spark, d):
     heap = _heap(spark, d)
-    gone = heap.filter("node_id IN (3, 5)").join(heap.select("tree", F.col("parent_id").alias("node_id")).distinct(), ["tree", "node_id"], "left_anti").select("name")
-    return trees.prune(heap, [r[0] for r in gone.collect()]).groupBy("tree").agg(F.count("*").alias("nodes"))
+    return trees.prune(heap, heap.filter("node_id IN (1, 5)")).select("tree", "node_id", "parent_id", "name")
 
 
 # Associations

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkomics.functions import columns as C
-from sparkomics.operators import graphs, lists, models, ranges, stats, tables
+from sparkomics.operators import graphs, lists, models, ranges, smoothing, stats, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -576,9 +576,45 @@ def gsea_permuted(spark, d):
     return models.gsea_permutations(part, ["p_brand"], "p_retailprice", "m", "p_partkey", 50).select("p_brand", r6("es").alias("es"), r6("p").alias("p"))
 
 
-@query()
+def _lowess_sql(rounds: int = 3) -> str:
+    """The plain fit over all pairs, round by round."""
+    parts = ["""p AS (SELECT c_custkey AS i, CAST(c_custkey AS DOUBLE) AS x, c_acctbal AS y FROM customer), n AS (SELECT count(*) AS n, least(CAST(ceil(2 / 3 * count(*)) AS BIGINT), count(*) - 1) AS r FROM p),
+reach AS (SELECT i, any_value(d) AS h FROM (SELECT a.i, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.i ORDER BY abs(a.x - b.x)) - 1 AS k FROM p a, p b), n WHERE k = r GROUP BY i),
+w0 AS (SELECT i, 1.0 AS w FROM p)"""]
+    for k in range(1, rounds + 1):
+        parts.append(f"""s{k} AS (SELECT a.i, any_value(a.y) AS y, sum(t) AS s, sum(t * d) AS sx, sum(t * d * d) AS sxx, sum(t * v) AS sy, sum(t * d * v) AS sxy FROM (
+  SELECT a.i, a.y, b.x - a.x AS d, b.y AS v, w * pow(1 - pow(least(abs(b.x - a.x) / h, 1), 3), 3) AS t FROM p a JOIN reach USING (i), p b JOIN w{k - 1} z ON z.i = b.i) a GROUP BY a.i),
+f{k} AS (SELECT i, y, sy / s - (sxy - sx * sy / s) / (sxx - sx * sx / s) * sx / s AS fitted FROM s{k}),
+m{k} AS (SELECT 6 * median(abs(y - fitted)) AS wide FROM f{k}), w{k} AS (SELECT i, pow(1 - pow(least(abs(y - fitted) / wide, 1), 2), 2) AS w FROM f{k}, m{k})""")
+    return f"WITH {', '.join(parts)} SELECT i AS c_custkey, round(fitted, 4) AS fitted FROM f{rounds}"
+
+
+@query(_lowess_sql())
 def lowess(spark, d):
-    return models.lowess(t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.lit(1).alias("g")), ["g"], "s_suppkey", "s_acctbal").select("s_suppkey", F.round("fitted", 4).alias("fitted"))
+    customers = t(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return smoothing.lowess(customers, [], "c_custkey", "c_acctbal").select("c_custkey", F.round("fitted", 4).alias("fitted"))
+
+
+def _impute_sql(rounds: int) -> str:
+    """The nearest three of each row with a null, column by column, round by round."""
+    state = "SELECT p_partkey AS i, p_size AS a, price AS b, sold AS c, price AS own_b, sold AS own_c FROM parts"
+    parts = ["sums AS (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1), parts AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END AS price, CASE WHEN p_partkey % 7 <> 0 OR p_partkey % 10 = 0 THEN q END AS sold FROM part LEFT JOIN sums ON l_partkey = p_partkey)", f"t0 AS ({state})"]
+    at = 0
+    for k in range(rounds):
+        for c, features in (("b", ["a"] if k == 0 else ["a", "c"]), ("c", ["a", "b"])):
+            far = " + ".join(f"pow(x.{f} - y.{f}, 2)" for f in features)
+            parts.append(f"""n{at} AS (SELECT i, sum(v / (d + 1e-9)) / sum(1 / (d + 1e-9)) AS fill FROM (SELECT x.i, y.own_{c} AS v, sqrt({far}) AS d, row_number() OVER (PARTITION BY x.i ORDER BY sqrt({far}), y.i) AS k FROM t{at} x JOIN t{at} y ON x.own_{c} IS NULL AND y.own_{c} IS NOT NULL) WHERE k <= 3 GROUP BY i),
+t{at + 1} AS (SELECT i, a, {'coalesce(own_b, fill) AS b, c' if c == 'b' else 'b, coalesce(own_c, fill) AS c'}, own_b, own_c FROM t{at} LEFT JOIN n{at} USING (i))""")
+            at += 1
+    return f"WITH {', '.join(parts)} SELECT i AS p_partkey, a AS p_size, round(b, 5) AS price, round(c, 5) AS sold FROM t{at}"
+
+
+@query(_impute_sql(2))
+def impute_rounds(spark, d):
+    sold = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").alias("q"))
+    part = t(spark, d, "part").join(sold, "p_partkey", "left")
+    part = part.select("p_partkey", "p_size", F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")).alias("price"), F.when((F.col("p_partkey") % 7 != 0) | (F.col("p_partkey") % 10 == 0), F.col("q")).alias("sold"))
+    return tables.impute(part, "p_partkey", ["p_size", "price", "sold"], rounds=2).withColumns({c: F.round(c, 5) for c in ("price", "sold")})
 
 
 @query("""WITH c AS (SELECT l_returnflag AS s, l_partkey AS g, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), t AS (SELECT *, sum(v) OVER (PARTITION BY s) AS lib FROM c), b AS (SELECT t.*, r.v AS rv, r.lib AS rl FROM t JOIN t r ON r.g = t.g AND r.s = 'A' AND r.v > 0 AND t.v > 0),
