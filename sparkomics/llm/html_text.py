@@ -2,8 +2,10 @@
 classified by a decision tree that is trained on a small labelled table.
 
 A page is cut into blocks at block-level tags. Besides the shallow features, a block knows whether it stands in an
-element that is furniture by its tag, class or id, whether in an article, whether it is a heading, and whether it ends
-like a sentence. `train` fits a CART tree to the blocks of LABELLED; `main_text` keeps the blocks that it calls content.
+element that is furniture by its tag, class or id, how much else stands in its own element, whether it is in an article,
+whether it is a heading, and whether it ends like a sentence. A class tells of furniture if all its parts do, or are words
+of layout, and only on pages that have text elsewhere. `train` fits a CART tree to the blocks of LABELLED, in which such
+classes also stand around articles, and furniture has none; `main_text` keeps the blocks that the tree calls content.
 
 Nulls: null html is empty and has an empty text; a null page_id or url stays null. Repeated rows give one result row
 each. Broken markup is read as far as it goes: unclosed scripts, quotes and comments end with the page. Empty tables
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,9 +35,13 @@ FURNITURE_TAGS = frozenset("aside button dialog fieldset footer form menu nav no
 FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement advertising alert author-box banner bio breadcrumb breadcrumbs byline captcha comment commentlist comments complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus dialog feedback footer form gdpr login menu meta modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription survey tags teaser toolbar tooltip topbar widget".split()
 )
+#: Words of layout, which a class may hold beside them.
+LAYOUT_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons center col column container content cta entry float global group header heading icon icons img inner item items layout left link links list main mini module more most page panel popular post posts primary right row secondary section site slot small stories sub text title top trail wrap wrapper".split()
+)
 ARTICLE_WORDS = frozenset("article articlebody article-body entry-content main maincontent main-content post post-body post-content story".split())
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "furniture", "article", "heading", "sentence")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "furniture", "article", "heading", "sentence", "peers")
 
 #: The labelled table: invented pages whose blocks begin with their label, + for content and - for anything else.
 LABELLED = [
@@ -68,7 +75,21 @@ LABELLED = [
     """<div><a href=/1>-Index</a> <a href=/2>-Map</a></div><div>-Updated daily</div><div><a href=/3>-Jobs</a></div><article><h1>+Stairs</h1><p>+<a href=/s>The stairs of the tower have been closed by the mayor for the whole of the summer.</a></p><p>+Try the lift.</p></article><div>-Ref. 14</div><div><a href=/4>-Top</a></div>""",
 ]
 
+LABELLED += [
+    """<div class="survey-comments"><h1>+How the town lives</h1><p>+We asked nine hundred people of the town how they spend their evenings and what they would change if it were theirs to decide.</p><p>+Most of them read, walk by the river, or sit with their neighbours until the lamps are lit in the square.</p><p>+Few go out.</p></div><aside><p>-This paper is printed on Thursdays by the friends of the town library.</p></aside><p><a href=/1>-Index</a></p><footer>-Printed in the town. All rights.</footer>""",
+    """<section id="search"><p>+The search for the lost manuscript began in a cellar, where a clerk found two of its leaves wrapped around a candlestick.</p><p>+It took eleven more years until the rest was found, bound into the back of a cookery book.</p></section><footer><p>-Finds and Losses, a journal of the society.</p><p>-Imprint</p></footer>""",
+    """<header>-The Valley Paper, every day</header><nav><a href=/1>-World</a> <a href=/2>-Town</a></nav><section class="social"><h2>+A history of tea</h2><p>+Tea came to the valley with the railway, and for a while it was sold at the station only, by the spoon.</p><p>+The first tea room had four chairs and a queue that reached as far as the bridge on market days.</p><p>+Both are gone.</p></section><footer>-The Valley Paper</footer>""",
+    """<div><h1>+The lock keeper</h1><p>+For thirty years nobody passed the lock without a word from its keeper about the weather, the price of eels or the state of the banks.</p><p>+By hand.</p><p>+Done</p></div>""",
+    """<div><h2>+Notes on glue</h2><p>+Glue from bones is soaked overnight, warmed until it runs from the brush, and never boiled, since it loses its strength.</p><p>+Keep it dry.</p></div><div><p>-Print</p></div><div><p>-Share this page</p><p>-Report a fault</p></div>""",
+    """<article><p>+Snow fell.</p></article><section class="comments"><p>-It did here as well, more than in the last ten winters together if I remember that rightly.</p><p>-Not where we live, but the roads were closed all the same until the late afternoon.</p></section>""",
+    """<article><h1>+The small fair</h1><p>+It took place on the green, with three stalls, a pony and a man who guessed the weight of a cheese.</p></article><div class="related-articles"><p>-The great fair of the county opens in May with all that belongs to it, as it has done since it began.</p></div><div id="comments"><p>-I guessed it right and ate the cheese with my sisters, who say hello to the man.</p></div>""",
+    """<article><h1>+The weir</h1><p>+The weir was built by monks, who drew their fish from it, and it has been mended by everyone since.</p><p>+It leaks again.</p></article><section class="comments"><h3>-Three comments</h3><p>-My father mended it twice with nothing but clay and willow, and it held for longer than the concrete did.</p><p>-Clay is what the old book about it says as well, on the page with the drawing of the sluice.</p><p>-Let us meet there on Saturday with spades and a cart, and see how far we get before the rain.</p></section>""",
+    """<div><h1>+The tower clock</h1><p>+It strikes thirteen at one, since a wheel was cut with a tooth too many, and the town will not have it changed.</p></div><div class="related-posts"><p>-The organ that has played by itself at night since the bellows were given a motor of their own.</p><p>-The bridge that leads to a field, because the road it was built for was never paid for by anyone.</p><p>-The well in the cellar of the inn, which is deeper than the tower is high.</p></div><aside><p>-About us: we are five friends who collect what is odd in small towns, and print it once a year.</p><p>-Write to us if you know of something that is odder than a clock with a tooth too many.</p></aside>""",
+    """<div class="newsletter"><p>-Sign up for our letter and get the best of the week on Sunday morning, free of charge.</p></div><div><p><a href=/a>-Start</a></p></div><article><p>+One line.</p></article>""",
+]
+
 _MARK = re.compile(r"""=\s*["']|>""")
+_COMMENT_END = re.compile(r"--!?>")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 #: A class that begins so tells of something else: has-sidebar, no-comments.
@@ -83,16 +104,20 @@ class Block(NamedTuple):
     furniture: bool
     article: bool
     heading: bool
+    element: int
+    by_tag: bool
 
 
 def _hints(attributes: str) -> tuple[bool, bool]:
-    """Whether a class, id or role says furniture or article: by itself, or by the first or last of its parts."""
+    """Whether a class, id or role says furniture, by itself or by parts none of which is about anything but layout; or
+    article, by itself or by its first part."""
     furniture = article = False
     for m in _ATTRIBUTE.finditer(attributes):
         for word in (m[1] or m[2] or m[3] or "").lower().replace("_", "-").split():
             parts = word.split("-")
             if parts[0] not in _ABOUT:
-                furniture |= not FURNITURE_WORDS.isdisjoint((word, parts[0], parts[-1]))
+                known = [p for p in parts if p and not p.isdigit()]
+                furniture |= word in FURNITURE_WORDS or (not FURNITURE_WORDS.isdisjoint(known) and all(p in FURNITURE_WORDS or p in LAYOUT_WORDS for p in known))
                 article |= not ARTICLE_WORDS.isdisjoint((word, parts[0]))
     return furniture, article
 
@@ -122,14 +147,15 @@ def blocks(page: str) -> list[Block]:
     linked = 0
     in_link = False
     heading = False
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # open elements: tag, furniture, article
+    stack: list[tuple[str, bool, bool, int, bool]] = [("", False, False, 0, False)]  # open elements: tag, furniture, article, number, furniture by tag
+    elements = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
             words = text.count(" ") + 1
-            out.append(Block(text, words, min(words, linked), stack[-1][1], stack[-1][2], heading))
+            out.append(Block(text, words, min(words, linked), stack[-1][1], stack[-1][2], heading, stack[-1][3], stack[-1][4]))
         parts.clear()
         linked = 0
 
@@ -150,8 +176,8 @@ def blocks(page: str) -> list[Block]:
         if lt > at:
             say(page[at:lt])
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
+            closed = _COMMENT_END.search(page, lt + 2)  # <!--> and <!---> are whole comments
+            at = closed.end() if closed else n
             continue
         mark = page[lt + 1 : lt + 2]
         closing = mark == "/"
@@ -202,18 +228,19 @@ def blocks(page: str) -> list[Block]:
                 in_link = heading = False
         else:
             furniture, article = _hints(page[name.end() : stop])
-            _, was_furniture, was_article = stack[-1]
+            _, was_furniture, was_article, _, was_by_tag = stack[-1]
             if tag in ("article", "main"):
                 article = True
             if article and tag in ("article", "main", "body", "html"):
                 furniture = False  # such an element is told by its tag
-            if tag in FURNITURE_TAGS or (tag == "header" and not was_article):
-                furniture = True
+            by_tag = tag in FURNITURE_TAGS or (tag == "header" and not was_article)
+            furniture |= by_tag
             if tag in ("html", "body"):
                 furniture = article = False  # their classes describe the site
             if tag == "main":
                 furniture = False
-            stack.append((tag, was_furniture or furniture, was_article or article))
+            elements += 1
+            stack.append((tag, was_furniture or furniture, was_article or article, elements, was_by_tag or by_tag))
     flush()
     return out
 
@@ -221,11 +248,16 @@ def blocks(page: str) -> list[Block]:
 def features(page_blocks: list[Block]) -> list[tuple[float, ...]]:
     """FEATURES of every block."""
     density = [b.linked / b.words for b in page_blocks]
+    plain: Counter[int] = Counter()  # words without links, by element
+    for b in page_blocks:
+        plain[b.element] += b.words - b.linked
+    outside = any(b.linked < b.words for b in page_blocks if not b.furniture)
     rows = []
     for i, b in enumerate(page_blocks):
         before = (float(page_blocks[i - 1].words), density[i - 1]) if i else (0.0, 0.0)
         after = (float(page_blocks[i + 1].words), density[i + 1]) if i + 1 < len(page_blocks) else (0.0, 0.0)
-        rows.append((float(b.words), density[i], *before, *after, float(b.furniture), float(b.article), float(b.heading), float(bool(_SENTENCE.search(b.text)))))
+        peers = float(plain[b.element] - (b.words - b.linked))
+        rows.append((float(b.words), density[i], *before, *after, float(b.furniture and (b.by_tag or outside)), float(b.article), float(b.heading), float(bool(_SENTENCE.search(b.text))), peers))
     return rows
 
 
@@ -244,8 +276,8 @@ def labelled(pages: list[str]) -> list[tuple[float, ...]]:
     rows = []
     for page in pages:
         found = blocks(page)
-        plain = [b._replace(text=b.text[1:]) for b in found]
-        rows += [(*row, float(b.text[0] == "+")) for row, b in zip(features(plain), found)]
+        unmarked = [b._replace(text=b.text[1:]) for b in found]
+        rows += [(*row, float(b.text[0] == "+")) for row, b in zip(features(unmarked), found)]
     return rows
 
 

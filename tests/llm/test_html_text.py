@@ -46,6 +46,26 @@ def test_plain_paragraphs_without_hints():
     assert H.extract(page, H.train()).count("Sentence") == 5 and "One" not in H.extract(page, H.train())
 
 
+@pytest.mark.parametrize("open_tag", ['section class="social-history"', 'div class="survey-results"', 'div id="search-content"', 'div class="notice-board-history"', 'div id="form-and-function"', 'div class="survey"', "article><!--", "article><!---"])
+def test_classes_that_only_sound_like_furniture(open_tag):
+    paragraphs = [f"Paragraph {i} tells at some length how the matter went on, who had a part in it, and what came of it in the end." for i in range(3)]
+    page = f"<body><nav><a href=a>Home</a></nav><{open_tag}>{''.join(f'<p>{p}</p>' for p in paragraphs)}</{open_tag.split()[0].split('>')[0]}><footer>Us. All rights.</footer></body>"
+    assert H.extract(page, H.train()).split("\n\n") == paragraphs
+
+
+def test_short_paragraphs_beside_long_ones():
+    long = "It was made in the valley by a family that had done so for as long as anybody there could remember, and they sold it to nobody."
+    page = f"<nav><a href=/>Home</a></nav><div><h1>A cheese</h1><p>{long}</p><p class=\"meta-analysis\">A study of it found little.</p><p>By hand.</p><p>Done</p></div><footer>Us.</footer>"
+    assert H.extract(page, H.train()).split("\n\n") == ["A cheese", long, "A study of it found little.", "By hand.", "Done"]
+
+
+@pytest.mark.parametrize("around", ['div class="related-articles"', 'div class="comment-list"', 'section id="comments-section"', 'div class="newsletter-box"', 'div class="ad-slot-2"', "aside", "footer"])
+def test_furniture_beside_an_article(around):
+    tag = around.split()[0]
+    page = f"<article><p>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[1]}</p></article><{around}><p>There is more to read here, and it is as long as any paragraph of the article itself.</p></{tag}>"
+    assert H.extract(page, H.train()).split("\n\n") == PARAGRAPHS[:2]
+
+
 def test_broken_markup_ends():
     tree = H.train()
     for page in ("", "<", "<p", "<p class='x", "<!-- never", "<script>never", "a < b > c", "</p></div></html>", "<a" * 20_000, "&" * 1000, "<p>" * 5000 + "x", "<p title=\"'" * 3000, "<p title=\"a>" * 100_001, "<p title='\">" * 100_001):
