@@ -3,7 +3,8 @@
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text. For every item a window of as many words
 slides over the documents. Windows and items have 128-bit SimHash fingerprints of their words; a multi-index of BLOCKS
 blocks finds every item within RADIUS bits, since two such fingerprints differ in RADIUS // BLOCKS bits at most in one
-block at least, and a block's table holds an item under all values so near to its own. Candidates are then verified
+block at least: a block's table holds an item under all values within half of that of its own, and a window asks for all
+within the other half. Candidates are then verified
 exactly: the weighted Jaccard similarity of their 5-word shingles, each weighing its count times ln(1 + items / items that
 have it), must be THRESHOLD or more.
 
@@ -35,7 +36,7 @@ from .common import hash_words, mix, row_slices, run_hashes, stored, text_bytes
 
 SHINGLE = 5
 THRESHOLD = 0.75
-RADIUS, BLOCKS = 31, 8
+RADIUS, BLOCKS = 39, 8
 #: Items, and their shingles, that go to the tasks at once.
 ITEM_BLOCK = 2048
 
@@ -68,10 +69,10 @@ def blocks_of(prints: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(prints).view(np.uint16).T
 
 
-def neighbours(radius: int) -> np.ndarray:
-    """All differences of a block of so few bits that two prints within the radius have one of them in some block."""
+def neighbours(bits: int) -> np.ndarray:
+    """All differences of a block in so few bits."""
     every = np.arange(1 << 16, dtype=np.uint16)
-    return every[np.bitwise_count(every) <= radius // BLOCKS]
+    return every[np.bitwise_count(every) <= bits]
 
 
 class ItemIndex:
@@ -107,9 +108,10 @@ class ItemIndex:
             self.by_length[int(n)] = at, prints, self.totals[at].min()
 
     def index(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each block its values, all those near an item's among them, sorted, and whose they are."""
+        """For each block its values, all those within half the block's bits of an item's among them, sorted, and whose they
+        are."""
         if n not in self.tables:
-            near, tables = neighbours(self.radius), []
+            near, tables = neighbours((self.radius // BLOCKS + 1) // 2), []
             for block in blocks_of(self.by_length[n][1]):
                 values = (block[:, None] ^ near).ravel()
                 order = np.argsort(values, kind="stable")
@@ -138,12 +140,15 @@ class ItemIndex:
     def near(self, found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item's place, distance) of all fingerprints within the radius, nearest first."""
         prints, pairs = self.by_length[n][1], []
+        asked = neighbours(self.radius // BLOCKS // 2)
         for block, (values, whose) in zip(blocks_of(found), self.index(n)):
-            low = np.searchsorted(values, block, side="left")
-            count = np.searchsorted(values, block, side="right") - low
-            if total := int(count.sum()):
-                at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)
-                pairs.append(np.repeat(np.arange(len(found)), count) * len(prints) + whose[at])
+            for at in range(0, len(block), 1024):  # windows whose values are looked up at once
+                wanted = (block[at : at + 1024, None] ^ asked).ravel()
+                low = np.searchsorted(values, wanted, side="left")
+                count = np.searchsorted(values, wanted, side="right") - low
+                if total := int(count.sum()):
+                    own = np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)
+                    pairs.append(np.unique(np.repeat(at + np.arange(len(wanted)) // len(asked), count) * len(prints) + whose[own]))
         pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         window, item = pair // len(prints), pair % len(prints)
         distance = np.bitwise_count(found[window] ^ prints[item]).sum(axis=1)
