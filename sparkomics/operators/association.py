@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkomics.operators import stats
+from sparkomics.operators.storage import stored
 
 
 def is_categorical(df: DataFrame, columns: list[str], numeric_strings: bool = False) -> DataFrame:
@@ -58,7 +59,7 @@ def associations(df: DataFrame, columns: list[str], method: str = "fdr") -> Data
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return stats.p_adjust(out.persist(), "p", [], method)
+    return stats.p_adjust(stored(out, "associations"), "p", [], method)
 
 
 def enrich(edges: DataFrame, term: str, element: str, chosen: DataFrame, background: DataFrame | None = None, names: DataFrame | None = None, method: str = "fdr") -> DataFrame:
@@ -66,7 +67,7 @@ def enrich(edges: DataFrame, term: str, element: str, chosen: DataFrame, backgro
     chosen elements, against the background or, without one, all annotated elements."""
     universe = edges.select(element) if background is None else background
     # The rows of terms are read several times.
-    tested = stats.set_enrichment(stats.enrichment_tables(edges, term, element, chosen, universe)).persist()
+    tested = stored(stats.set_enrichment(stats.enrichment_tables(edges, term, element, chosen, universe)), "enrichment")
     tested = stats.p_adjust(tested, "p", [], method)
     return tested if names is None else tested.join(names.select(term, "description"), term, "left")
 
@@ -83,17 +84,17 @@ def modularity(matrix: DataFrame, modules: DataFrame, sigma: float | None = None
     """module, modularity from a symmetric matrix in rows of i, j, r, and modules in rows of module, node: the part of all
     weights within the module, less the squared part of its nodes. With `sigma`, weighted by the module's mean weight."""
     upper = matrix.filter("i <= j")
-    total = upper.agg(F.sum("r").alias("y"))
-    rows = modules.join(matrix, F.col("node") == F.col("i")).groupBy("module").agg(F.sum("r").alias("z"))
+    total = upper.agg(F.sum("r").alias("all_weight"))
+    rows = modules.join(matrix, F.col("node") == F.col("i")).groupBy("module").agg(F.sum("r").alias("touching"))
     inside = modules.join(upper, F.col("node") == F.col("i")).join(modules.select(F.col("module").alias("__m"), F.col("node").alias("__n")), (F.col("module") == F.col("__m")) & (F.col("j") == F.col("__n")))
-    within = inside.groupBy("module").agg(F.sum("r").alias("x"))
+    within = inside.groupBy("module").agg(F.sum("r").alias("inside"))
     size = modules.groupBy("module").agg(F.count("*").alias("n"))
-    told = size.join(rows, "module").join(within, "module", "left").fillna(0.0, ["x"]).join(F.broadcast(total))  # one row
-    value = F.col("x") / F.col("y") - F.pow(F.col("z") / (2 * F.col("y")), F.lit(2.0))
+    told = size.join(rows, "module").join(within, "module", "left").fillna(0.0, ["inside"]).join(F.broadcast(total))  # one row
+    value = F.col("inside") / F.col("all_weight") - F.pow(F.col("touching") / (2 * F.col("all_weight")), F.lit(2.0))
     if sigma is not None:
         import math
 
-        weight = F.when(F.col("n") > 1, 1 + 2 * F.col("x") / (math.exp(1 / sigma**2) * F.col("n") * (F.col("n") - 1))).otherwise(1.0)
+        weight = F.when(F.col("n") > 1, 1 + 2 * F.col("inside") / (math.exp(1 / sigma**2) * F.col("n") * (F.col("n") - 1))).otherwise(1.0)
         value = weight * value
     return told.select("module", value.alias("modularity"))
 

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkomics.operators.storage import stored
+
 
 def descendants(edges: DataFrame, roots: DataFrame, depth: int, parent: str = "parent", child: str = "child") -> DataFrame:
     """root, node, depth of everything below each root (column `node`), down to `depth` steps; each node at its smallest.
 
-    Every step is a join with the edges and is kept, so that the next one starts from it. Cycles are walked once.
+    Every step is a join with the edges and is stored, so that the next one starts from it. Cycles are walked once.
     """
     level = roots.select(F.col("node").alias("root"), F.col("node"), F.lit(0).alias("depth"))
     found = level
     for d in range(1, depth + 1):
         step = level.join(edges.select(F.col(parent).alias("node"), F.col(child).alias("__next")), "node")
-        level = step.select("root", F.col("__next").alias("node"), F.lit(d).alias("depth")).distinct().join(found.select("root", "node"), ["root", "node"], "left_anti").persist()
+        level = step.select("root", F.col("__next").alias("node"), F.lit(d).alias("depth")).distinct().join(found.select("root", "node"), ["root", "node"], "left_anti")
+        level = stored(level, "descendants")
         found = found.unionByName(level)
     return found.filter("depth > 0")
 
@@ -30,7 +33,7 @@ def neighbourhood(edges: DataFrame, chosen: DataFrame, hops: int, threshold: flo
     nodes = chosen.select("node").distinct()
     for _ in range(hops):
         further = both.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node"))
-        nodes = nodes.union(further).distinct().persist()
+        nodes = stored(nodes.union(further).distinct(), "neighbourhood")
     out = strong.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").join(nodes.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b", "weight")
     loops = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1000).cast(out.schema["weight"].dataType).alias("weight"))
     return out.unionByName(loops) if self_links else out
@@ -87,7 +90,7 @@ def leaf_totals(edges: DataFrame, roots: DataFrame, values: DataFrame, depth: in
     found = level
     for _ in range(depth):
         step = level.join(edges.select(F.col(parent).alias("node"), F.col(child).alias("__next")), "node")
-        level = step.groupBy("root", F.col("__next").alias("node")).agg(F.sum("paths").alias("paths")).persist()
+        level = stored(step.groupBy("root", F.col("__next").alias("node")).agg(F.sum("paths").alias("paths")), "paths")
         found = found.unionByName(level)
     leaves = found.join(inner, "node", "left_anti").join(values.withColumnRenamed("n", "__n"), "node")
     sums = leaves.groupBy("root").agg(F.sum(F.col("paths") * F.col("__n")).alias("n"))

@@ -134,19 +134,23 @@ def rin(df: DataFrame, value: str, by: list[str], name: str = "rin", c: float =
 
 def correlations(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
     """a, b, r, n, p for every two of the columns, in their order, from one aggregation; p is two-sided."""
-    return correlations_between(df, columns, columns, method).filter(F.expr(f"array_position(array({', '.join(map(repr, columns))}), a) <= array_position(array({', '.join(map(repr, columns))}), b)"))
+    return _correlated(df, [(a, b) for i, a in enumerate(columns) for b in columns[i:]], method)
 
 
 def correlations_between(df: DataFrame, first: list[str], second: list[str], method: str = "pearson") -> DataFrame:
     """a, b, r, n, p of each column of `first` with each of `second`; rows where either is null don't count."""
-    columns = list(dict.fromkeys([*first, *second]))
+    return _correlated(df, [(a, b) for a in first for b in second], method)
+
+
+def _correlated(df: DataFrame, pairs: list[tuple[str, str]], method: str) -> DataFrame:
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
     df = df.select(*columns)
     if method == "spearman":
         for c in columns:
             df = with_rank(df, c, [], f"__rank_{c}")
         df = df.select(*[F.col(f"__rank_{c}").alias(c) for c in columns])
     entry = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"))
-    rows = df.agg(F.array(*[entry(a, b) for a in first for b in second]).alias("x")).select(F.inline("x"))
+    rows = df.agg(F.array(*[entry(a, b) for a, b in pairs]).alias("x")).select(F.inline("x"))
     t = F.sqrt(F.try_divide(F.col("r") * F.col("r") * (F.col("n") - 2), 1 - F.col("r") * F.col("r")))
     return rows.withColumn("p", F.when(F.abs("r") >= 1, 0.0).otherwise(t_two_sided(t, (F.col("n") - 2).cast("double"))))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkomics.functions import columns as C
 from sparkomics.operators import association, graphs, linkage, lists, lookups, models, pedigree, stats, tables, trees
-from sparkomics.plans.queries import query, r6, t
+from sparkomics.plans.queries import enrichment_sql, query, r6, t
 
 # Scores and regions: part keys as places, brands as chromosomes
 
@@ -394,22 +394,41 @@ def associated_columns(spark, d):
     return both.select("a", "b", r6("statistic").alias("statistic"))
 
 
-@query()
+def _t_tail(r: str, n: str) -> str:
+    """SQL: both tails of a correlation's t test, by the series for whole degrees of freedom; |r| is the sine."""
+    even = f"list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(1 - {r} * {r}, k) FOR k IN range(0, ({n} - 2) // 2)])"
+    odd = f"coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(k) - lgamma(k + 0.5)) * pow(1 - {r} * {r}, k - 0.5) FOR k IN range(1, ({n} - 3) // 2 + 1)]), 0)"
+    return f"CASE WHEN {n} % 2 = 0 THEN 1 - abs({r}) * {even} ELSE 1 - 2 / pi() * (asin(abs({r})) + abs({r}) * {odd}) END"
+
+
+@query(f"""WITH v AS (SELECT avg(c_acctbal) OVER (PARTITION BY c_mktsegment) AS a, c_acctbal AS b, avg(c_nationkey) OVER (PARTITION BY c_mktsegment) AS c, c_nationkey AS d FROM customer),
+pairs AS (SELECT 'c_mktsegment' AS a, 'c_acctbal' AS b, 'category means' AS method, corr(a, b) AS r, count(*) AS n FROM v UNION ALL SELECT 'c_mktsegment', 'c_nationkey', 'category means', corr(c, d), count(*) FROM v
+  UNION ALL SELECT 'c_acctbal', 'c_nationkey', 'pearson', corr(b, d), count(*) FROM v),
+tests AS (SELECT *, {_t_tail('r', 'n')} AS p FROM pairs), ranked AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM tests)
+SELECT a, b, method, round(r, 6) AS statistic, round(p, 6) AS p, round(least(1, min(p * m / i) OVER (ORDER BY i DESC)), 6) AS q FROM ranked""")
 def association_matrix(spark, d):
     return association.associations(t(spark, d, "customer"), ["c_mktsegment", "c_acctbal", "c_nationkey"]).select("a", "b", "method", r6("statistic").alias("statistic"), r6("p").alias("p"), r6("q").alias("q"))
 
 
-@query("SELECT unnest(['c_name', 'c_acctbal', 'c_mktsegment']) AS \"column\", unnest([true, false, true]) AS categorical")
+@query("""WITH v AS (SELECT c_name, c_mktsegment, CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(c_acctbal AS VARCHAR) END AS balance, CASE WHEN c_custkey % 500 = 7 THEN 'unknown' ELSE CAST(c_nationkey AS VARCHAR) END AS nation FROM customer),
+long AS (UNPIVOT v ON c_name, c_mktsegment, key, balance, nation INTO NAME "column" VALUE x)
+SELECT "column", NOT bool_and(try_cast(trim(x) AS DOUBLE) IS NOT NULL) FILTER (WHERE trim(x) <> '') AS categorical FROM long GROUP BY 1 UNION ALL SELECT 'c_acctbal', false""")
 def categorical_columns(spark, d):
-    return association.is_categorical(t(spark, d, "customer"), ["c_name", "c_acctbal", "c_mktsegment"])
+    rows = t(spark, d, "customer").selectExpr(
+        "c_name", "c_mktsegment", "c_acctbal", "CAST(c_custkey AS STRING) AS key", "IF(c_custkey % 3 = 0, '', CAST(c_acctbal AS STRING)) AS balance", "IF(c_custkey % 500 = 7, 'unknown', CAST(c_nationkey AS STRING)) AS nation"
+    )
+    return association.is_categorical(rows, rows.columns, numeric_strings=True)
 
 
-@query()
+@query(enrichment_sql("""WITH e AS (SELECT DISTINCT p_size, o_custkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+u AS (SELECT o_custkey, bool_or(coalesce(c_nationkey = 3 AND c_mktsegment = 'BUILDING', false)) AS y FROM e LEFT JOIN customer ON c_custkey = o_custkey GROUP BY 1)
+SELECT p_size, a, o - a AS b, (SELECT count(*) FROM u WHERE y) - a AS c, (SELECT count(*) FROM u) - o - (SELECT count(*) FROM u WHERE y) + a AS d FROM (SELECT p_size, count(*) FILTER (WHERE y) AS a, count(*) AS o FROM e JOIN u USING (o_custkey) GROUP BY 1) WHERE a > 0""", "p_size", ", description") + " FROM ranked LEFT JOIN (SELECT p_size, min(p_name) AS description FROM part GROUP BY 1) USING (p_size)")
 def term_enrichment(spark, d):
-    edges = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("p_brand", "l_suppkey").distinct()
-    chosen = t(spark, d, "supplier").filter("s_nationkey < 5").select(F.col("s_suppkey").alias("l_suppkey"))
-    names = t(spark, d, "part").groupBy("p_brand").agg(F.min("p_name").alias("description"))
-    return association.enrich(edges, "p_brand", "l_suppkey", chosen, names=names)
+    sold = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = sold.select("p_size", "o_custkey").distinct()
+    chosen = t(spark, d, "customer").filter("c_nationkey = 3 AND c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    names = t(spark, d, "part").groupBy("p_size").agg(F.min("p_name").alias("description"))
+    return association.enrich(edges, "p_size", "o_custkey", chosen, names=names).withColumns({"odds_ratio": r6("odds_ratio"), "p": F.round("p", 7), "q": F.round("q", 7)})
 
 
 @query("""WITH e AS (SELECT DISTINCT event_type AS g, user_id AS u FROM events), s AS (SELECT g, count(*) AS n FROM e GROUP BY 1), m AS (SELECT x.g AS a, y.g AS b, count(*) AS k FROM e x JOIN e y ON x.u = y.u AND x.g < y.g GROUP BY ALL)

@@ -73,8 +73,18 @@ spans AS (SELECT node, CAST(0 AS BIGINT) AS first_leaf, CAST(0 AS BIGINT) AS dep
 nodes AS (SELECT node, parent, coalesce(height, 0) AS height, leaves, first_leaf, first_leaf + leaves - 1 AS last_leaf, depth FROM sizes JOIN spans USING (node) LEFT JOIN up USING (node) LEFT JOIN merges USING (node))"""
 
 
+_LINKED: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
 def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The correlations, the items and the nodes."""
+    """The correlations, the items and the nodes; stored tables that the queries of an application share."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _LINKED:
+        _LINKED[key] = _link(spark, d)
+    return _LINKED[key]
+
+
+def _link(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     from sparkomics.operators.storage import stored
 
     table = stored(matrices.correlation_table(cells(spark, d), "m", "c", "v"), "correlations")

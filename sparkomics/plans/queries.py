@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkomics.functions import columns as C
 from sparkomics.operators import graphs, lists, models, ranges, smoothing, stats, tables
+from sparkomics.operators.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -258,10 +259,28 @@ def enrich_counts(spark, d):
     return _enrichment(spark, d)
 
 
-@query()
+def enrichment_sql(counts: str, term: str, more: str = "") -> str:
+    """SQL from term, a, b, c, d to odds ratio, p and q: Fisher's test as a sum over tables of their log-probabilities, or
+    the tail of chi-square as 1 - erf, whose series has positive terms only."""
+    choose = lambda n, k: f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
+    log = lambda x: f"({choose('(a + b)', x)} + {choose('(c + d)', f'(a + c - {x})')} - {choose('(a + b + c + d)', '(a + c)')})"
+    return f"""WITH counts AS ({counts}), sized AS (SELECT *, CASE WHEN a < c OR (a = c AND b <= d) THEN least(a, b) ELSE least(c, d) END <= 5 AS small,
+  1.0 * (a + b + c + d) * pow(greatest(abs(1.0 * a * d - 1.0 * b * c) - (a + b + c + d) / 2, 0), 2) / nullif(1.0 * (a + b) * (c + d) * (a + c) * (b + d), 0) AS chi2 FROM counts),
+tests AS (SELECT *, CASE WHEN small THEN least(1, list_sum([CASE WHEN {log('x')} <= {log('a')} + 1e-7 THEN exp({log('x')}) ELSE 0 END FOR x IN range(greatest(0, a - d), least(a + b, a + c) + 1)]))
+  WHEN chi2 > 0 THEN 1 - list_sum([exp((2 * k + 1) * ln(chi2 / 2) / 2 - lgamma(k + 1.5) - chi2 / 2) FOR k IN range(0, 400)]) ELSE 1 END AS p FROM sized),
+ranked AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM tests)
+SELECT {term}, a, b, c, d, CASE WHEN b * c > 0 THEN round(1.0 * a * d / (1.0 * b * c), 6) ELSE CAST('inf' AS DOUBLE) END AS odds_ratio, round(p, 7) AS p,
+  round(least(1, min(p * m / i) OVER (ORDER BY i DESC)), 7) AS q{more}"""
+
+
+_ENRICH_COUNTS = """SELECT p_brand, a, o - a AS b, (SELECT count(*) FROM u WHERE y) - a AS c, (SELECT count(*) FROM u) - o - (SELECT count(*) FROM u WHERE y) + a AS d
+FROM (SELECT p_brand, count(*) FILTER (WHERE y) AS a, count(*) AS o FROM (SELECT DISTINCT p_brand, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey) JOIN u ON l_suppkey = s_suppkey GROUP BY p_brand) WHERE a > 0"""
+
+
+@query(enrichment_sql(f"WITH u AS (SELECT s_suppkey, s_acctbal > 3000 AS y FROM supplier) {_ENRICH_COUNTS}", "p_brand") + " FROM ranked")
 def set_enrichment_bh(spark, d):
-    tested = stats.set_enrichment(_enrichment(spark, d)).persist()
-    return stats.p_adjust(tested, "p", [], "fdr")
+    tested = stored(stats.set_enrichment(_enrichment(spark, d)), "enrichment")
+    return stats.p_adjust(tested, "p", [], "fdr").withColumns({"odds_ratio": r6("odds_ratio"), "p": F.round("p", 7), "q": F.round("q", 7)})
 
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.95), 6) AS threshold FROM lineitem GROUP BY l_returnflag")

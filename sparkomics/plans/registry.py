@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkomics.plans import annotation_queries, matrix_queries, variant_queries  # noqa: F401  (they register their queries)
+from sparkomics.plans import annotation_queries, cohort_queries, matrix_queries, variant_queries  # noqa: F401  (they register their queries)
 from sparkomics.plans.queries import QUERIES, SQL
 
 

@@ -24,16 +24,36 @@ def _lines(spark: SparkSession, path: str, comment: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("line")).filter((F.length(F.trim("line")) > 0) & ~F.startswith("line", F.lit(comment)))
 
 
+def _placed(spark: SparkSession, path: str, **options) -> DataFrame:
+    """file, at (a row's place in its file) and value. Splits of a file are read in order, each by one task."""
+    rows = spark.read.text(path, **options).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.select("file", F.struct("block", F.monotonically_increasing_id().alias("row")).alias("at"), "value")
+
+
 def read_fasta(spark: SparkSession, path: str, seq_type: str = "dna") -> DataFrame:
     """name, full_name, seq, seq_type of every record; the name is the header's first word.
 
-    Records start with > at the start of a line, the first one at the start of the file; a file's text is split there.
+    Records start with > at the start of a line; a file's text is split there. What stands before a file's first header is
+    no record, and of records with one name the last counts (by file name, then place); only names are shuffled for that.
     """
+    rows = _placed(spark, path, lineSep="\n>")
     record = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")
     parts = F.split(record, "\n", 2)
     header, body = F.trim(parts[0]), F.coalesce(F.get(parts, 1), F.lit(""))
-    rows = spark.read.text(path, lineSep="\n>").filter(F.length(F.trim("value")) > 0)
-    return rows.select(F.split(header, r"\s+")[0].alias("name"), header.alias("full_name"), F.regexp_replace(body, r"\s", "").alias("seq"), F.lit(seq_type).alias("seq_type"))
+    rows = rows.select("file", "at", F.startswith(F.ltrim(F.regexp_replace("value", r"^\s+", "")), F.lit(">")).alias("marked"), F.split(header, r"\s+")[0].alias("name"), header.alias("full_name"), F.regexp_replace(body, r"\s", "").alias("seq"))
+    heads = rows.groupBy("file").agg(F.min_by(F.struct("at", "marked"), "at").alias("head"))
+    junk = heads.filter("NOT head.marked").select("file", F.col("head")["at"].alias("at"))
+    rows = rows.filter(F.length("name") > 0)
+    named = rows.select("file", "at", "name").join(junk, ["file", "at"], "left_anti")
+    again = named.groupBy("name").agg(F.count("*").alias("n"), F.max(F.struct("file", "at")).alias("last")).filter("n > 1").select("name", "last")
+    told = rows.join(junk, ["file", "at"], "left_anti").join(again, "name", "left").filter(F.col("last").isNull() | (F.col("last") == F.struct("file", "at")))
+    return told.select("name", "full_name", "seq", F.lit(seq_type).alias("seq_type"))
+
+
+def fasta_records(spark: SparkSession, sequences: dict[str, str] | list[str], seq_type: str = "dna") -> DataFrame:
+    """Records of read_fasta's columns from a mapping of names to sequences, or from a list, named by its places."""
+    items = sequences.items() if isinstance(sequences, dict) else ((str(i), s) for i, s in enumerate(sequences))
+    return spark.createDataFrame([(n, n, s, seq_type) for n, s in items], "name string, full_name string, seq string, seq_type string")
 
 
 def merge_fasta(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -98,23 +118,36 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gaf(spark: SparkSession, path: str) -> DataFrame:
-    """The annotation table's columns, all as strings."""
-    cells = F.split("line", "\t", -1)
-    return _lines(spark, path, "!").select(*[F.get(cells, i).alias(c) for i, c in enumerate(GAF_COLUMNS)])
+    """The annotation table's columns, all as strings; of rows with one go_id and db_o_id the first (by file name, then
+    place) counts."""
+    cells = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
+    lines = _placed(spark, path).filter((F.length(F.trim("value")) > 0) & ~F.startswith("value", F.lit("!")))
+    rows = lines.select("file", "at", *[F.get(cells, i).alias(c) for i, c in enumerate(GAF_COLUMNS)])
+    first = rows.groupBy("go_id", "db_o_id").agg(F.min_by(F.struct(*GAF_COLUMNS), F.struct("file", "at")).alias("r"))
+    return first.select("r.*")
 
 
 def read_dat(spark: SparkSession, path: str) -> DataFrame:
-    """idx, ftype, feature, masked of a pedigree's feature list, in its order; the file is one small table."""
+    """idx, ftype, feature, masked of a pedigree's feature list, in its order, up to a line of type E; the file is one small
+    table. Lines without both type and name are none; types other than A, C, T, M and S are S."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("idx", "line"))
     cells = F.split(F.trim("line"), r"\s+", 2)
-    return rows.select("idx", F.substring(cells[0], 1, 1).alias("ftype"), F.trim(F.get(cells, 1)).alias("feature"), (F.length(cells[0]) > 1).alias("masked"))
+    kind = F.upper(F.substring(cells[0], 1, 1))
+    told = rows.select("idx", F.upper(cells[0]).alias("type"), kind.alias("ftype"), F.trim(F.get(cells, 1)).alias("feature"), (F.length(cells[0]) > 1).alias("masked"))
+    end = told.agg(F.min(F.when(F.col("type") == "E", F.col("idx"))).alias("end"))
+    told = told.join(F.broadcast(end)).filter((F.col("end").isNull() | (F.col("idx") < F.col("end"))) & F.col("feature").isNotNull() & (F.col("feature") != ""))  # one row
+    return told.select("idx", F.when(F.col("ftype").isin("A", "C", "T", "M", "S"), F.col("ftype")).otherwise("S").alias("ftype"), "feature", "masked")
 
 
 def read_ped(spark: SparkSession, path: str, features: list[tuple[str, str]] = ()) -> DataFrame:
-    """fam_id, id, father_id, mother_id, gender and `features`, a map. `features` lists (type, name) in the order of the
-    columns; a marker (type M) takes two columns, or one with a slash, and is a/b. Features that a row lacks are null."""
-    cells = F.split(F.trim("line"), r"\s+")
-    parent = lambda i: F.nullif(F.get(cells, i), F.lit("0"))
+    """fam_id, id, father_id, mother_id, gender (m for 1 or m, else f) and `features`, a map. `features` lists (type, name) in
+    the order of the columns; a marker (type M) takes two columns, or one with a slash, and is a/b. Features that a row lacks
+    are null. A file ends at its first line of fewer than five cells, comments (#) aside."""
+    lines = _placed(spark, path).filter(~F.startswith("value", F.lit("#"))).withColumn("cells", F.filter(F.split("value", r"\s+"), lambda x: x != ""))
+    cut = lines.filter(F.size("cells") < 5).groupBy("file").agg(F.min("at").alias("cut"))
+    lines = lines.join(cut, "file", "left").filter(F.col("cut").isNull() | (F.col("at") < F.col("cut")))
+    cells = F.col("cells")
+    parent = lambda i: F.nullif(F.get(cells, F.lit(i)), F.lit("0"))
     table = F.lit(None).cast("map<string,string>")
     if features:
         # Each row has its own places: `at` is where the next feature begins.
@@ -128,7 +161,8 @@ def read_ped(spark: SparkSession, path: str, features: list[tuple[str, str]] = (
             return F.struct((s["at"] + F.when(pair, 2).otherwise(1)).alias("at"), F.array_append(s["out"], F.struct(f["name"].alias("key"), value.alias("value"))).alias("out"))
 
         table = F.map_from_entries(F.aggregate(kinds, begin, step)["out"])
-    return _lines(spark, path, "#").select(cells[0].alias("fam_id"), cells[1].alias("id"), parent(2).alias("father_id"), parent(3).alias("mother_id"), F.get(cells, 4).alias("gender"), table.alias("features"))
+    gender = F.when(F.get(cells, F.lit(4)).isin("1", "m"), "m").otherwise("f")
+    return lines.select(F.get(cells, F.lit(0)).alias("fam_id"), F.get(cells, F.lit(1)).alias("id"), parent(2).alias("father_id"), parent(3).alias("mother_id"), gender.alias("gender"), table.alias("features"))
 
 
 def founders(ped: DataFrame) -> DataFrame:
