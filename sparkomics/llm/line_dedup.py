@@ -8,8 +8,10 @@ before, and only if COMMON documents or more hold it; blank lines stay.
 
 The join splits each line into threshold + 1 segments. A line within the threshold of it and at least as long holds one
 of them unchanged, near its place; so lines meet over hashes of (length, segment, substring), with the places that
-length and segment still allow. Pairs that meet must have close counts of several letters, and are verified by
-banded bit-parallel edit distance. DataFrame operations only.
+length and segment still allow. Where many lines share a segment, as those of one template do, what is left of the lines
+is within the threshold too: it is split the same way, and they meet over both segments, and so on until buckets are
+small or little is left. Pairs that meet must have close counts of several letters, and are verified by banded
+bit-parallel edit distance. DataFrame operations only.
 
 Nulls: a null text is empty. Rows with one doc_id, null among them, are one document here: a line that several of them
 hold first stays in each. Null doc_ids come last. Repeated rows are treated alike. Very long lines are compared whole.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 THRESHOLD = 1
-MIN_CHARS = 40
+MIN_CHARS = 20
 #: So many documents hold a short line that is dropped.
 COMMON = 10
 
@@ -32,6 +34,10 @@ COMMON = 10
 LETTERS = "etna"
 #: Lines of so many candidate pairs are picked out by a broadcast of their hashes; more by a join.
 BROADCAST_LINES = 500_000
+#: Segments of more lines than this are joined by what is left of the lines, too.
+HOT = 64
+#: So often at most; then all but a part in 2 ** (DEPTH + 1) of two lines is equal, with one edit.
+DEPTH = 4
 
 
 def lines_of(text: Column) -> Column:
@@ -81,27 +87,47 @@ def _segment(size: Column, i: int, segments: int) -> tuple[Column, Column]:
     return short * i + extra, short + F.when(F.lit(i) >= segments - longer, 1).otherwise(0)
 
 
-def _key(line: Column, size: Column, i: int, start: Column, length: Column) -> Column:
-    return F.xxhash64(size.cast("long"), F.lit(i), F.substr(line, (start + 1).cast("int"), length.cast("int")))
+Part = tuple[Column, int, Column, Column]
+"""The size of the line that is looked for, its segment's number, and where that stands here: start from 0, length."""
 
 
-def index_keys(line: Column, size: Column, threshold: int) -> list[Column]:
-    return [_key(line, size, i, *_segment(size, i, threshold + 1)) for i in range(threshold + 1)]
+def index_parts(size: Column, threshold: int) -> list[Part]:
+    return [(size, i, *_segment(size, i, threshold + 1)) for i in range(threshold + 1)]
 
 
-def probe_keys(line: Column, size: Column, threshold: int) -> list[Column]:
-    """Keys of all substrings that a segment of a line as long or up to `threshold` shorter can equal; null for none."""
-    keys = []
+def probe_parts(size: Column, threshold: int) -> list[Part]:
+    """All substrings that a segment of a line as long or up to `threshold` shorter can equal."""
+    parts = []
     for shorter in range(threshold + 1):
         target = size - shorter
         for i in range(threshold + 1):
             start, length = _segment(target, i, threshold + 1)
             # Errors before the segment are at most i seen from the left, at most threshold - i seen from the right.
             for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1):
-                at = start + shift
-                fits = (at >= 0) & (at + length <= size)
-                keys.append(F.when(fits, _key(line, target, i, at, length)))
-    return keys
+                parts.append((target, i, start + shift, length))
+    return parts
+
+
+def part_key(line: Column, size: Column, part: Part, *bucket: Column) -> Column:
+    """The key of a part, in a bucket if there is one; null if the line doesn't reach so far."""
+    target, i, start, length = part
+    key = F.xxhash64(*bucket, target.cast("long"), F.lit(i), F.substr(line, (start + 1).cast("int"), length.cast("int")))
+    return F.when((start >= 0) & (length >= 0) & (start + length <= size), key)
+
+
+def rest_of(line: Column, size: Column, part: Part) -> Column:
+    """The line without a part."""
+    _, _, start, length = part
+    after = start + length
+    return F.concat(F.substr(line, F.lit(1), start.cast("int")), F.substr(line, (after + 1).cast("int"), (size - after).cast("int")))
+
+
+def index_keys(line: Column, size: Column, threshold: int) -> list[Column]:
+    return [part_key(line, size, part) for part in index_parts(size, threshold)]
+
+
+def probe_keys(line: Column, size: Column, threshold: int) -> list[Column]:
+    return [part_key(line, size, part) for part in probe_parts(size, threshold)]
 
 
 def letter_counts(line: Column) -> Column:
@@ -171,13 +197,72 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(n - m) > threshold, False).when((n == 0) | (m == 0), F.greatest(n, m) <= threshold).otherwise(distance <= threshold)
 
 
-def edit_pairs(docs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def _picked(df: DataFrame, wanted: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows whose key is, or isn't, in a stored table, which is broadcast if it is small."""
+    few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    return df.join(F.broadcast(wanted) if few else wanted, on, how)
+
+
+def line_texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
+    """h, c, line, first_doc of the lines wanted (h, c; stored)."""
+    return _picked(long_lines(docs, min_chars), wanted, ["h", "c"]).groupBy("h", "c", "line").agg(F.min("doc").alias("first_doc"))
+
+
+def _entries(rows: DataFrame, threshold: int, bucket: str | None = None) -> DataFrame:
+    """key, probe (whether it is one), h, c, letters, rest: the parts of each row's `line`, as index and as probe; in a
+    bucket only as what the row is there."""
+    line, size = F.col("line"), F.length("line")
+    within_bucket = [F.col(bucket)] if bucket else []
+
+    def entries(parts: list[Part], probe: bool) -> DataFrame:
+        told = [F.struct(part_key(line, size, p, *within_bucket).alias("key"), rest_of(line, size, p).alias("rest")) for p in parts]
+        own = rows.filter(F.col("probe") == probe) if bucket else rows
+        return own.select("h", "c", "letters", F.lit(probe).alias("probe"), F.explode(F.array(*told)).alias("x"))
+
+    both = entries(index_parts(size, threshold), False).unionByName(entries(probe_parts(size, threshold), True))
+    return both.select("x.key", "probe", "h", "c", "letters", "x.rest").filter("key IS NOT NULL")
+
+
+def hot_keys(index: DataFrame, hot: int = HOT) -> DataFrame:
+    return index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key")
+
+
+def _meet(index: DataFrame, probe: DataFrame, threshold: int) -> DataFrame:
+    side = lambda df, p: df.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("h", "c", "letters")])
+    other = (F.col("a_h") != F.col("b_h")) | (F.col("a_c") != F.col("b_c"))
+    near = _close_counts(F.col("a_letters"), F.col("b_letters"), threshold)
+    return side(index, "a").join(side(probe, "b"), "key").filter(other & near).drop("key")
+
+
+def candidates(docs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT, depth: int = DEPTH) -> DataFrame:
+    """a_h, a_c, b_h, b_c of lines that meet, more than once maybe. `lines` are the documents' distinct lines, stored."""
+    side = lambda name: lines.select(F.explode(name).alias("key"), "h", "c", "letters")
+    index, probe = side("index"), side("probe")
+    keys = stored(hot_keys(index, hot), "hot-segments")
+    if keys.isEmpty():
+        return _meet(index, probe, threshold)
+    met = _meet(_picked(index, keys, ["key"], "left_anti"), probe, threshold)
+    both = lines.select("h", "c", F.explode(F.concat("index", "probe")).alias("key"))
+    wanted = stored(_picked(both, keys, ["key"]).select("h", "c").distinct(), "hot-lines")
+    texts = line_texts(docs, wanted, min_chars).withColumn("letters", letter_counts(F.col("line")))
+    rows = _picked(_entries(texts, threshold), keys, ["key"])
+    for level in range(1, depth + 1):
+        # Each row is a line in a hot bucket; what is left of it is the line now.
+        rows = stored(rows.withColumnsRenamed({"key": "bucket", "rest": "line"}), f"hot-rests-{level}")
+        entries = _entries(rows, threshold, "bucket")
+        index, probe = entries.filter("NOT probe"), entries.filter("probe")
+        keys = stored(hot_keys(index, hot), f"hot-segments-{level}")
+        if level == depth or keys.isEmpty():
+            return met.unionByName(_meet(index, probe, threshold))
+        met = met.unionByName(_meet(_picked(index, keys, ["key"], "left_anti"), probe, threshold))
+        rows = _picked(entries, keys, ["key"])
+    return met
+
+
+def edit_pairs(docs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
     """a_h, a_c, b_h, b_c: pairs of different lines within the threshold, a before b. `lines` are the documents' distinct
     lines, stored."""
-    index = lines.select(F.explode("index").alias("key"), F.col("h").alias("a_h"), F.col("c").alias("a_c"), F.col("letters").alias("a_letters"))
-    probe = lines.select(F.explode("probe").alias("key"), F.col("h").alias("b_h"), F.col("c").alias("b_c"), F.col("letters").alias("b_letters"))
-    other = (F.col("a_h") != F.col("b_h")) | (F.col("a_c") != F.col("b_c"))
-    met = index.join(probe, (index["key"] == probe["key"]) & other & _close_counts(F.col("a_letters"), F.col("b_letters"), threshold))
+    met = candidates(docs, lines, threshold, min_chars, hot)
     # Lines of one length meet both ways; which of them is earlier is only known with the lines.
     one = F.struct("a_h", "a_c") < F.struct("b_h", "b_c")
     pairs = met.select(
@@ -189,9 +274,7 @@ def edit_pairs(docs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, mi
     pairs = stored(pairs, "line-pairs")
     wanted = pairs.select(F.col("a_h").alias("h"), F.col("a_c").alias("c")).union(pairs.select("b_h", "b_c")).distinct()
     wanted = stored(wanted, "pair-keys")
-    few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    held = long_lines(docs, min_chars).join(F.broadcast(wanted) if few else wanted, ["h", "c"], "left_semi")
-    texts = stored(held.groupBy("h", "c", "line").agg(F.min("doc").alias("first_doc")), "pair-lines")
+    texts = stored(line_texts(docs, wanted, min_chars), "pair-lines")
     side = lambda p: texts.select(F.col("h").alias(f"{p}_h"), F.col("c").alias(f"{p}_c"), F.col("first_doc").alias(f"{p}_doc"), F.split("line", "").alias(p), F.col("line").alias(f"{p}_line"))
     both = pairs.join(side("a"), ["a_h", "a_c"]).join(side("b"), ["b_h", "b_c"])
     close = both.filter(within(F.col("a"), F.col("b"), threshold))

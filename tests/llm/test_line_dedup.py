@@ -106,12 +106,39 @@ def test_documents_of_short_lines_outlive_a_shared_long_line(spark):
 
 
 def test_a_hot_line_and_very_long_ones(spark):
-    hot, long = "a line of forty characters or more that many hold", "".join(random.Random(3).choice("abc d") for _ in range(60_000))
+    hot, long = "a line of twenty characters or more that many hold", "".join(random.Random(3).choice("abc d") for _ in range(60_000))
     rows = [(d, f"{hot}\nown {d}") for d in range(500)] + [(600, long), (601, long[:30_000] + "x" + long[30_000:]), (602, "y" + long)]
     got = {r["doc_id"]: r["dropped"] for r in L.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: "" if d in (0, 600) else "0" for d, _ in rows}
 
 
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_hot_segments_lose_no_pair(spark, threshold):
+    """Templates whose lines share segments, with buckets of three lines already split, over all levels."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcde ") for _ in range(24)) for _ in range(4)]
+    lines = {edited(rng, rng.choice(base), rng.choice([0, 1, 1, 2, 3, 5])).strip() for _ in range(200)}
+    # Repeats of one letter, and lines with less left than there are segments.
+    lines = sorted({x for x in lines if len(x) >= 8} | {"aaaaaaaa", "aaaaaaaaa", "aaaaaaaaaa", "aaaabaaa", "caaaaaaa", "aaaaaaac"})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    names = {(r["h"], r["c"]): r["line"] for r in L.long_lines(docs, 8).collect()}
+    told = L.stored(L.distinct_lines(docs, threshold, 8), "split-lines")
+    got = {(names[r["a_h"], r["a_c"]], names[r["b_h"], r["b_c"]]) for r in L.edit_pairs(docs, told, threshold, 8, hot=2).collect()}
+    assert got == {(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold}
+
+
+def test_a_template_does_not_meet_all_pairs(spark):
+    """3,000 lines with one half in common: pairs in proportion to the lines, not to their square."""
+    rng = random.Random(12)
+    lines = ["the following record was taken at: " + "".join(rng.choice("0123456789") for _ in range(35)) for _ in range(3_000)]
+    lines += [lines[0] + "5", lines[1][:-1] + "x"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    told = L.stored(L.distinct_lines(docs), "template-lines")
+    assert L.candidates(docs, told).count() < 10 * len(lines)
+    got = {r["doc_id"]: r["n_dropped"] for r in L.line_report(docs).collect()}
+    assert sorted(d for d, n in got.items() if n) == [3_000, 3_001]
+
+
 def test_empty_table(spark):
     assert L.line_report(spark.createDataFrame([], SCHEMA)).count() == 0
     assert L.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
