@@ -55,7 +55,7 @@ def test_stages_and_run(spark, tables, tmp_path):
             toxic = {d for d in before if d < 500 and d % 6 == 0}
             assert len(toxic & set(after)) < 0.1 * len(toxic) and len(set(after) - toxic) > 0.97 * (len(before) - len(toxic))
         elif name == "line dedup":
-            gone = test_line_dedup.brute(list(before.items()), 1, 40)
+            gone = test_line_dedup.brute(list(before.items()), 1, test_line_dedup.L.MIN_CHARS)
             want = {}
             for (d, t), numbers in gone.items():
                 out = {int(x) for x in numbers.split(",") if x}
