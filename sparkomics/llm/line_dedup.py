@@ -34,6 +34,9 @@ COMMON = 10
 LETTERS = "etna"
 #: Lines of so many candidate pairs are picked out by a broadcast of their hashes; more by a join.
 BROADCAST_LINES = 500_000
+#: Pairs that one task verifies where the lines are broadcast, as far as there are tasks enough: a pair is a few bytes, but
+#: takes milliseconds, so that splits by size would be too large.
+TASK_PAIRS = 1_000
 #: Segments of more lines than this are joined by what is left of the lines, too.
 HOT = 64
 #: So often at most; then all but a part in 2 ** (DEPTH + 1) of two lines is equal, with one edit.
@@ -276,7 +279,8 @@ def edit_pairs(docs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, mi
     wanted = stored(wanted, "pair-keys")
     texts = stored(line_texts(docs, wanted, min_chars), "pair-lines")
     side = lambda p: texts.select(F.col("h").alias(f"{p}_h"), F.col("c").alias(f"{p}_c"), F.col("first_doc").alias(f"{p}_doc"), F.split("line", "").alias(p), F.col("line").alias(f"{p}_line"))
-    both = pairs.join(side("a"), ["a_h", "a_c"]).join(side("b"), ["b_h", "b_c"])
+    tasks = min(-(-pairs.count() // TASK_PAIRS), 8 * docs.sparkSession.sparkContext.defaultParallelism)
+    both = pairs.repartition(max(tasks, 1)).join(side("a"), ["a_h", "a_c"]).join(side("b"), ["b_h", "b_c"])
     close = both.filter(within(F.col("a"), F.col("b"), threshold))
     order = lambda p: F.struct(F.col(f"{p}_doc").isNull(), F.coalesce(f"{p}_doc", F.lit(0)), f"{p}_line")
     first = order("a") < order("b")
