@@ -238,13 +238,17 @@ def _meet(index: DataFrame, probe: DataFrame, threshold: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT, depth: int = DEPTH) -> DataFrame:
-    """a_h, a_c, b_h, b_c of lines that meet, more than once maybe. `lines` are the documents' distinct lines, stored."""
+    """a_h, a_c, b_h, b_c of lines that meet, more than once maybe. `lines` are the documents' distinct lines, stored.
+
+    Where segments are split, what meets at each level is stored: the joins of all levels in one query would be planned,
+    compiled and started at once, which takes the driver's memory.
+    """
     side = lambda name: lines.select(F.explode(name).alias("key"), "h", "c", "letters")
     index, probe = side("index"), side("probe")
     keys = stored(hot_keys(index, hot), "hot-segments")
     if keys.isEmpty():
         return _meet(index, probe, threshold)
-    met = _meet(_picked(index, keys, ["key"], "left_anti"), probe, threshold)
+    met = stored(_meet(_picked(index, keys, ["key"], "left_anti"), probe, threshold), "met")
     both = lines.select("h", "c", F.explode(F.concat("index", "probe")).alias("key"))
     wanted = stored(_picked(both, keys, ["key"]).select("h", "c").distinct(), "hot-lines")
     texts = line_texts(docs, wanted, min_chars).withColumn("letters", letter_counts(F.col("line")))
@@ -256,8 +260,8 @@ def candidates(docs: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, mi
         index, probe = entries.filter("NOT probe"), entries.filter("probe")
         keys = stored(hot_keys(index, hot), f"hot-segments-{level}")
         if level == depth or keys.isEmpty():
-            return met.unionByName(_meet(index, probe, threshold))
-        met = met.unionByName(_meet(_picked(index, keys, ["key"], "left_anti"), probe, threshold))
+            return met.unionByName(stored(_meet(index, probe, threshold), f"met-{level}"))
+        met = met.unionByName(stored(_meet(_picked(index, keys, ["key"], "left_anti"), probe, threshold), f"met-{level}"))
         rows = _picked(entries, keys, ["key"])
     return met
 

@@ -139,6 +139,18 @@ def test_a_template_does_not_meet_all_pairs(spark):
     assert sorted(d for d, n in got.items() if n) == [3_000, 3_001]
 
 
+def test_levels_of_hot_segments_are_not_joined_in_one_query(spark, capsys):
+    """What a level finds is stored, so that no query holds the joins of all levels."""
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(d, "the same beginning of many a line " + "".join(rng.choice("ab") for _ in range(20))) for d in range(100)], "doc_id long, text string")
+    told = L.stored(L.distinct_lines(docs), "level-lines")
+    met = L.candidates(docs, told, hot=2)
+    assert met.count() > 0
+    met.explain()
+    plan = capsys.readouterr().out
+    assert "Scan parquet" in plan and "Join" not in plan and "Generate" not in plan
+
+
 def test_empty_table(spark):
     assert L.line_report(spark.createDataFrame([], SCHEMA)).count() == 0
     assert L.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
