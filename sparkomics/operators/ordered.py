@@ -37,13 +37,15 @@ def along(df: DataFrame, order: list[str], sums: dict[str, Column] | None = None
         *[F.last(f"__before_{n}", True).over(earlier).alias(f"__before_{n}") for n in before],
         *[F.first(f"__after_{n}", True).over(later).alias(f"__after_{n}") for n in after],
     )
-    so_far, from_here = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    # What follows is what came before, from the end: a frame up to the end is gone through anew for each of its rows.
+    from_end = Window.partitionBy("__part").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(F.broadcast(carried), "__part")  # a row for each partition
     return joined.select(
         *df.columns,
         *[(F.coalesce(F.sum(c).over(so_far), F.lit(0)) + F.coalesce(f"__sum_{n}", F.lit(0))).alias(n) for n, c in sums.items()],
         *[F.coalesce(F.last(c, True).over(so_far), f"__last_{n}").alias(n) for n, c in last.items()],
-        *[F.coalesce(F.first(c, True).over(from_here), f"__first_{n}").alias(n) for n, c in first.items()],
+        *[F.coalesce(F.last(c, True).over(from_end), f"__first_{n}").alias(n) for n, c in first.items()],
         *[F.coalesce(F.lag(F.struct(c.alias("v"))).over(own), f"__before_{n}")["v"].alias(n) for n, c in before.items()],
         *[F.coalesce(F.lead(F.struct(c.alias("v"))).over(own), f"__after_{n}")["v"].alias(n) for n, c in after.items()],
     )

@@ -1,11 +1,12 @@
 """Running values over whole tables, and node numbers, against plain loops."""
 
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkomics.operators import ordered, trees
+from sparkomics.operators import cohorts, ordered, trees
 
 
 @pytest.fixture(params=[5])
@@ -38,6 +39,29 @@ def test_along_and_places(spark, ranges):
         assert [placed[g, i] for i in members] == [(k, len(members) - 1 - k) for k in range(len(members))]
 
 
+def plans(make):
+    """The plans of all queries that are executed while make runs, and of what it returns."""
+    seen, inner = [], ordered.stored
+
+    def watched(df, label):
+        seen.append(df._jdf.queryExecution().toString())
+        return inner(df, label)
+
+    with pytest.MonkeyPatch.context() as patch:
+        for name, other in list(sys.modules.items()):
+            if name.startswith("sparkomics.") and getattr(other, "stored", None) is inner:
+                patch.setattr(other, "stored", watched)
+        seen.append(make()._jdf.queryExecution().toString())
+    return seen
+
+
+def test_no_frame_up_to_the_end_of_a_range(spark):
+    """Spark goes through such a frame anew for each row: the square of a range's rows."""
+    df = spark.range(100).select((F.col("id") % 3).alias("p"), F.timestamp_seconds(F.col("id")).alias("at"), F.col("id").alias("v"))
+    told = plans(lambda: cohorts.nearest_measurement(df, df.withColumnRenamed("at", "when"), ["p"], "at", "when", ["v"], 9, "after"))
+    assert told and not [x for x in told if "(RowFrame, currentrow$(), unboundedfollowing$())" in x]
+
+
 def plain_numbers(children, roots):
     """pre, post, depth, size, first_leaf, leaves by a walk."""
     out, pre, post, leaf = {}, 0, 0, 0
