@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkomics.functions import special
 from sparkomics.operators import smoothing, tables
@@ -127,3 +128,11 @@ def test_tails_of_distributions():
     x = np.array([0.0, 0.1, 1.0, 7.0, 200.0])
     assert np.allclose(special.gamma_tail(np.ones(5), x / 2), np.exp(-x / 2), rtol=1e-12)
     assert np.allclose(special.gamma_tail(np.full(5, 2.0), x / 2), np.exp(-x / 2) * (1 + x / 2), rtol=1e-12)
+
+
+def test_neighbourhoods_without_a_frame_up_to_the_end(spark):
+    """Spark goes through such a frame anew for each row: the square of a range's rows."""
+    rows = spark.range(300).select(F.col("id").alias("__id"), (F.col("id") * 7 % 300).cast("double").alias("__x"))
+    told = smoothing.neighbourhoods(rows, [], 0.4)
+    from_here = "(RowFrame, currentrow$(), unboundedfollowing$())"
+    assert told.count() == 300 and from_here not in told._jdf.queryExecution().toString()
