@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkomics.operators.matrices import NO_NODE
 from sparkomics.operators.ordered import along, numbered, tree_numbers
 from sparkomics.operators.storage import dropped, stored
 
@@ -174,12 +175,23 @@ def leaves_below(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     return spans.join(nodes.filter("size = 1").select(F.col("node").alias("leaf"), F.col("first_leaf").alias("place")), "place").select("node", "leaf")
 
 
+def _gaps(nodes: DataFrame) -> DataFrame:
+    """at, top: the lowest node (leaves, node) above the leaf of place `at` and the next one."""
+    parents = nodes.select(F.col("node").alias("__p"), F.struct("leaves", "node").alias("top"), F.col("first_leaf").alias("__from"))
+    return nodes.join(parents, F.col("parent") == F.col("__p")).filter("first_leaf != __from").select((F.col("first_leaf") - 1).alias("at"), "top")
+
+
+def leaf_gaps(nodes: DataFrame) -> DataFrame:
+    """leaf, place, gap of each leaf, as `matrices.weights_below` takes them."""
+    gap = F.coalesce(F.shiftleft(F.col("top")["leaves"].cast("long"), 32) + F.col("top")["node"], F.lit(NO_NODE))
+    leaves_ = nodes.filter("size = 1").select(F.col("node").alias("leaf"), F.col("first_leaf").alias("place"))
+    return leaves_.join(_gaps(nodes), F.col("place") == F.col("at"), "left").select("leaf", "place", gap.alias("gap"))
+
+
 def _lowest_common(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs of places (lo < hi) with `node`, the lowest above both: the largest node between any two leaves next to each
     other on the way, looked up in a table of the largest over 2^k of them."""
-    parents = nodes.select(F.col("node").alias("__p"), F.struct("leaves", "node").alias("top"), F.col("first_leaf").alias("__from"))
-    gaps = nodes.join(parents, F.col("parent") == F.col("__p")).filter("first_leaf != __from").select((F.col("first_leaf") - 1).alias("at"), "top")
-    level = stored(gaps.select(F.lit(0).alias("level"), "at", "top"), "gaps")
+    level = stored(_gaps(nodes).select(F.lit(0).alias("level"), "at", "top"), "gaps")
     table, k, n = level, 0, level.count()
     while 2 << k <= n:
         right = level.select((F.col("at") - (1 << k)).alias("at"), F.col("top").alias("__right"))
@@ -208,14 +220,20 @@ def node_modularity(matrix: DataFrame, nodes: DataFrame, sigma: float = 1.0, met
     at_leaf = upper.filter("lo = hi").join(place, F.col("lo") == F.col("at")).select(F.col("leaf").alias("node"), F.col("w").alias("inside"), F.lit(0.0).alias("every"))
     between = _lowest_common(upper.filter("lo < hi"), nodes).select("node", F.col("w").alias("inside"), F.lit(0.0).alias("every"))
     rows = weights.select(F.col("i").alias("node"), F.lit(0.0).alias("inside"), F.col("w").alias("every"))
-    own = at_leaf.unionByName(between).unionByName(rows).groupBy("node").agg(F.sum("inside").alias("inside"), F.sum("every").alias("every"))
+    own = at_leaf.unionByName(between).unionByName(rows)
+    return modularity(own, weights.filter("i <= j").agg(F.sum("w").alias("total")), nodes, sigma, method)
+
+
+def modularity(own: DataFrame, total: DataFrame, nodes: DataFrame, sigma: float = 1.0, method: str = "ayroles") -> DataFrame:
+    """The same from the sums of weights: node, inside (of pairs whose lowest node it is), every (of all pairs of a leaf), and
+    the total of all pairs in a row; as `matrices.weights_below` finds them without a table of pairs."""
+    own = own.groupBy("node").agg(F.sum("inside").alias("inside"), F.sum("every").alias("every"))
     walked = nodes.select("node", "pre", "size").join(own, "node", "left").fillna(0.0, ["inside", "every"])
     walked = stored(along(walked, ["pre"], sums={"inside_so_far": F.col("inside"), "every_so_far": F.col("every")}), "node-sums")
     ends = walked.select(F.col("pre").alias("__end"), F.col("inside_so_far").alias("__inside"), F.col("every_so_far").alias("__every"))
     summed = walked.join(ends, F.col("pre") + F.col("size") - 1 == F.col("__end")).select(
         "node", (F.col("__inside") - F.col("inside_so_far") + F.col("inside")).alias("inside"), (F.col("__every") - F.col("every_so_far") + F.col("every")).alias("every")
     )
-    total = weights.filter("i <= j").agg(F.sum("w").alias("total"))
     n, share = F.col("leaves"), F.col("every") / (2 * F.col("total"))
     value = F.col("inside") / F.col("total") - share * share
     if method.lower() == "haq":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkomics.operators import hierarchy, matrices
+from sparkomics.operators.storage import stored
 from sparkomics.plans.queries import query, t
 
 # Monthly quantities of each supplier, and their correlations
@@ -73,44 +74,37 @@ spans AS (SELECT node, CAST(0 AS BIGINT) AS first_leaf, CAST(0 AS BIGINT) AS dep
 nodes AS (SELECT node, parent, coalesce(height, 0) AS height, leaves, first_leaf, first_leaf + leaves - 1 AS last_leaf, depth FROM sizes JOIN spans USING (node) LEFT JOIN up USING (node) LEFT JOIN merges USING (node))"""
 
 
-_LINKED: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+_LINKED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
-def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The correlations, the items and the nodes; stored tables that the queries of an application share."""
+def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The items and the nodes; stored tables that the queries of an application share."""
     key = spark.sparkContext.applicationId, d
     if key not in _LINKED:
-        _LINKED[key] = _link(spark, d)
+        _LINKED[key] = hierarchy.linkage(stored(matrices.nearest_edges(cells(spark, d), "m", "c", "v"), "nearest-edges"))
     return _LINKED[key]
 
 
-def _link(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from sparkomics.operators.storage import stored
-
-    table = stored(matrices.correlation_table(cells(spark, d), "m", "c", "v"), "correlations")
-    far = matrices.distance_table(table).withColumn("distance", F.round("distance", 8))
-    return table, *hierarchy.linkage(far)
-
-
 @query(f"WITH RECURSIVE {_NODES} SELECT node, parent, height, depth, leaves, first_leaf, last_leaf FROM nodes")
 def single_linkage(spark, d):
-    return _linked(spark, d)[2].select("node", "parent", "height", "depth", "leaves", "first_leaf", "last_leaf")
+    return _linked(spark, d)[1].select("node", "parent", "height", "depth", "leaves", "first_leaf", "last_leaf")
 
 
 @query(f'WITH RECURSIVE {_NODES} SELECT m.node, m.l AS "left", m.r AS "right", m.height, leaves FROM merges m JOIN sizes USING (node)')
 def merge_table(spark, d):
-    return hierarchy.merge_table(_linked(spark, d)[2])
+    return hierarchy.merge_table(_linked(spark, d)[1])
 
 
 @query(f"WITH RECURSIVE {_NODES}, o AS (SELECT c, first_leaf AS place FROM items JOIN nodes ON leaf = node) SELECT a, b, r.place AS row_place, c.place AS column_place, round(corrs.r, 8) AS r FROM corrs JOIN o r ON r.c = a JOIN o c ON c.c = b")
 def seriated_correlations(spark, d):
-    table, items, nodes = _linked(spark, d)
-    return hierarchy.reordered(table, hierarchy.leaf_order(items, nodes), "a", "b").select("a", "b", "row_place", "column_place", F.round("r", 8).alias("r"))
+    placed = hierarchy.reordered(cells(spark, d), hierarchy.leaf_order(*_linked(spark, d)), "c")
+    table = matrices.correlation_table(placed.withColumn("c", F.struct("c", F.col("row_place").alias("place"))), "m", "c", "v", tests=False)
+    return table.select("a.c", "b.c", "a.place", "b.place", F.round("r", 8).alias("r")).toDF("a", "b", "row_place", "column_place", "r")
 
 
 @query(f"WITH RECURSIVE {_NODES} SELECT w.node, leaf FROM within w JOIN sizes USING (node) WHERE leaves BETWEEN 2 AND 12")
 def leaves_below_nodes(spark, d):
-    nodes = _linked(spark, d)[2]
+    nodes = _linked(spark, d)[1]
     return hierarchy.leaves_below(nodes, nodes.filter("leaves BETWEEN 2 AND 12"))
 
 
@@ -122,10 +116,10 @@ scores AS (SELECT *, ayroles * CASE WHEN leaves > 1 THEN 1 + 2 * x / (exp(1) * l
 
 
 def _scored(spark: SparkSession, d: str, method: str) -> DataFrame:
-    table, items, nodes = _linked(spark, d)
-    leaf = lambda c, name: items.select(F.col("item").alias(c), F.col("leaf").alias(name))
-    upper = table.join(leaf("a", "i"), "a").join(leaf("b", "j"), "b").select("i", "j", F.coalesce("r", F.lit(0.0)).alias("r"))
-    return hierarchy.node_modularity(upper.union(upper.filter("i != j").select("j", "i", "r")), nodes, method=method)
+    items, nodes = _linked(spark, d)
+    placed = cells(spark, d).join(items.withColumnRenamed("item", "c"), "c").join(hierarchy.leaf_gaps(nodes), "leaf")
+    own = stored(matrices.weights_below(placed.select("m", "v", F.struct("place", "leaf", "gap").alias("at")), "m", "at", "v"), "weights")
+    return hierarchy.modularity(own, own.agg(F.sum("inside").alias("total")), nodes, method=method)
 
 
 @query(f"WITH RECURSIVE {_SCORES} SELECT node, leaves, round(ayroles, 7) AS ayroles FROM scores")
@@ -138,7 +132,5 @@ reached AS (SELECT node, parent FROM fit WHERE parent IS NULL UNION ALL SELECT f
 cut AS (SELECT node FROM reached WHERE node NOT IN (SELECT parent FROM reached WHERE parent IS NOT NULL)), ranks AS (SELECT node, row_number() OVER (ORDER BY first_leaf) AS rank FROM cut JOIN nodes USING (node))
 SELECT leaf, coalesce(node, 0) AS cluster, coalesce(rank, 0) AS rank FROM items LEFT JOIN (SELECT leaf, node, rank FROM within JOIN ranks USING (node)) USING (leaf)""")
 def modularity_partition(spark, d):
-    from sparkomics.operators.storage import stored
-
     scored = stored(_scored(spark, d, "haq"), "scored-nodes")
     return hierarchy.partition(scored, hierarchy.modularity_cut(scored, minsize=3, percentile=30))

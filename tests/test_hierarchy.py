@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkomics.operators import hierarchy as H
 from sparkomics.operators import matrices
@@ -154,3 +155,42 @@ def test_two_thousand_columns(spark):
     values = {(r["row"], r["col"]): r["v"] for r in cells.filter("col IN (3, 1999)").collect()}
     want = np.corrcoef([values[i, 3] for i in range(12)], [values[i, 1999] for i in range(12)])[0, 1]
     assert table.filter("a = 3 AND b = 1999").first()["r"] == pytest.approx(want)
+
+
+def matrix_of(spark, columns, rows, seed):
+    """Cells of a matrix with ties, gaps and two columns without rows in common; and it, with nan where a cell is missing."""
+    rng = np.random.default_rng(seed)
+    m = rng.integers(0, 4, size=(rows, columns)).astype(float)
+    m[rng.random(m.shape) < 0.1] = np.nan
+    m[:, 5], m[:, 7] = m[:, 2], 1.0  # a copy, and a column that doesn't vary
+    m[: rows // 2, 0], m[rows // 2 :, 1] = np.nan, np.nan
+    cells = [(i, f"c{j:02}", float(m[i, j])) for i in range(rows) for j in range(columns) if not np.isnan(m[i, j])]
+    return spark.createDataFrame(cells, "row long, col string, v double"), m
+
+
+def pairs_of(m):
+    """(i, j): r of every two columns that share rows, i <= j; None where it isn't known."""
+    out = {}
+    for i in range(m.shape[1]):
+        for j in range(i, m.shape[1]):
+            both = ~np.isnan(m[:, i]) & ~np.isnan(m[:, j])
+            x, y = m[both, i], m[both, j]
+            if both.any():
+                out[i, j] = None if both.sum() < 3 or np.ptp(x) == 0 or np.ptp(y) == 0 else float(np.corrcoef(x, y)[0, 1])
+    return out
+
+
+@pytest.mark.parametrize("tile, rows", [(3, 512), (256, 512), (3, 4)])
+def test_edges_for_single_linkage(spark, tile, rows, monkeypatch):
+    if rows == 4:
+        monkeypatch.setattr(matrices, "BAND_BYTES", 0)  # by slices of rows
+    n = 40
+    cells, m = matrix_of(spark, n, 12, 2)
+    far = {p: -1.0 if r is None else math.floor((1 - r) * 1e8 + 0.5) / 1e8 for p, r in pairs_of(m).items() if p[0] != p[1]}
+    edges = stored(matrices.nearest_edges(cells, "row", "col", "v", tile=tile, rows=rows), "nearest-edges")
+    got = {(int(r["a"][1:]), int(r["b"][1:])): r["distance"] for r in edges.collect()}
+    assert all(far[p] == pytest.approx(d, abs=2e-8) for p, d in got.items())
+    assert len(got) == n - 1 if tile > n else len(got) < len(far)
+    _, nodes = H.linkage(edges)
+    heights = [r["height"] for r in H.merge_table(nodes).orderBy("node").collect()]
+    assert heights == pytest.approx([d for *_, d in plain_linkage(n, far)], abs=2e-8)
