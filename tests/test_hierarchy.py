@@ -194,3 +194,14 @@ def test_edges_for_single_linkage(spark, tile, rows, monkeypatch):
     _, nodes = H.linkage(edges)
     heights = [r["height"] for r in H.merge_table(nodes).orderBy("node").collect()]
     assert heights == pytest.approx([d for *_, d in plain_linkage(n, far)], abs=2e-8)
+
+
+def test_tables_of_single_linkage_grow_with_the_items(spark):
+    """merge_table and leaves_below of nodes from those edges: 300 columns, no stored table has a row for each pair."""
+    cells = spark.range(9).selectExpr("id AS row", "explode(sequence(0, 299)) AS col").selectExpr("row", "col", "CAST(pmod(xxhash64(row, col), 1000) AS DOUBLE) AS v")
+    edges = stored(matrices.nearest_edges(cells, "row", "col", "v", tile=16), "nearest-edges")
+    assert edges.count() < 300 * 299 // 8
+    items, nodes = H.linkage(edges)
+    assert H.merge_table(nodes).count() == 299 and items.count() == 300
+    below = H.leaves_below(nodes, nodes.filter("parent IS NULL"))
+    assert sorted(r["leaf"] for r in below.collect()) == list(range(300))
