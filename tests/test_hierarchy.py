@@ -205,3 +205,17 @@ def test_tables_of_single_linkage_grow_with_the_items(spark):
     assert H.merge_table(nodes).count() == 299 and items.count() == 300
     below = H.leaves_below(nodes, nodes.filter("parent IS NULL"))
     assert sorted(r["leaf"] for r in below.collect()) == list(range(300))
+
+
+@pytest.mark.parametrize("tile, method", [(3, "ayroles"), (256, "haq")])
+def test_weights_below_nodes(spark, tile, method):
+    n = 30
+    cells, m = matrix_of(spark, n, 12, 4)
+    pairs = {p: r or 0.0 for p, r in pairs_of(m).items()}
+    items, nodes = H.linkage(stored(matrices.nearest_edges(cells, "row", "col", "v", tile=tile), "nearest-edges"))
+    rows = [(i, j, r) for (i, j), r in pairs.items()] + [(j, i, r) for (i, j), r in pairs.items() if i != j]
+    want = {r["node"]: r["modularity"] for r in H.node_modularity(spark.createDataFrame(rows, "i long, j long, r double"), nodes, 0.7, method).collect()}
+    placed = cells.join(items.withColumnRenamed("item", "col"), "col").join(H.leaf_gaps(nodes), "leaf").select("row", "v", F.struct("place", "leaf", "gap").alias("at"))
+    own = stored(matrices.weights_below(placed, "row", "at", "v", 0.7, tile=tile), "weights")
+    got = {r["node"]: r["modularity"] for r in H.modularity(own, own.agg(F.sum("inside").alias("total")), nodes, 0.7, method).collect()}
+    assert own.filter("inside > 0").count() < len(pairs) and got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
