@@ -176,40 +176,52 @@ def knn_impute(df: DataFrame, key: str, target: str, features: list[str], k: int
     """The rows with nulls of `target` filled from the k nearest rows that have it, by distance over `features`: rows of df,
     or of `known` where that is given.
 
-    The rows that have it are dealt over cells of about equal numbers along the first feature. A row looks in its own and
+    Rows with the same features have the same neighbours and are as near to others: each different set of features is
+    looked up once, among the k smallest keys of each. These are dealt over cells of about equal numbers along the feature
+    that parts them best. A row looks in its own and
     both next cells, and again in more than twice as many as long as the k-th distance found exceeds the distance to what
     it hasn't seen; so the neighbours are exact, and rows meet all others only if these are spread so. Rows keep their
     null if a feature is null, or no row has the target. Ties go to the smaller key. Weights fall with distance; without
     `strict` they grow with it and their mean is divided by k once more.
     """
-    first = features[0]
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in features])
-    known = (df if known is None else known).filter(F.col(target).isNotNull() & whole)
-    cells = int(max(1, min(10_000, known.count() // (64 * k))))
-    bounds = known.agg(F.percentile_approx(F.col(first).cast("double"), F.array(*[F.lit(i / cells) for i in range(1, max(cells, 2))]), F.lit(10_000))).first()[0] or []
-    edges = sorted(set(bounds))
+    known = (df if known is None else known).filter(F.col(target).isNotNull() & whole).select(key, target, *features)
+    alike = [F.col(c).cast("double").alias(f"__{c}") for c in features]
+    same = Window.partitionBy(*[f"__{c}" for c in features]).orderBy("__k")
+    have = known.select(F.col(key).alias("__k"), F.col(target).alias("__t"), *alike).withColumn("__n", F.row_number().over(same))
+    have = stored(have.filter(F.col("__n") <= k).drop("__n"), "known-rows")
+    cells = int(max(1, min(10_000, have.count() // (64 * k))))
+    parts = F.array(*[F.lit(i / cells) for i in range(1, max(cells, 2))])
+    bounds = have.agg(*[F.percentile_approx(f"__{c}", parts, F.lit(10_000)) for c in features]).first()
+    walls_of = [sorted({0.0 if x == 0 else x for x in b or []}) for b in bounds]
+    best = max(range(len(features)), key=lambda i: len(walls_of[i]))
+    first, edges = f"__{features[best]}", walls_of[best]
     walls = F.array(F.lit(float("-inf")), *map(F.lit, edges), F.lit(float("inf")))  # cell i lies between walls i and i + 1
     cell = F.size(F.filter(walls, lambda w: w < F.col(first))) - 1
-    have = known.select(F.col(key).alias("__k"), F.col(target).alias("__t"), *[F.col(c).alias(f"__{c}") for c in features], cell.alias("__cell"))
-    open_rows, done, ring = df.filter(F.col(target).isNull() & whole).select(key, *features).withColumn("__at", cell), None, 1
-    distance = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(c) - F.col(f"__{c}"), 2) for c in features]))
+    have = have.withColumn("__cell", cell)
+    own = [f"__ask_{c}" for c in features]
+    asked = df.filter(F.col(target).isNull() & whole).select(*[F.col(c).cast("double").alias(o) for c, o in zip(features, own)]).distinct()
+    at = F.size(F.filter(walls, lambda w: w < F.col(own[best]))) - 1
+    open_rows, done, ring = stored(asked.withColumn("__ask", F.monotonically_increasing_id()).withColumn("__at", at), "asked-rows"), None, 1
+    distance = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(o) - F.col(f"__{c}"), 2) for c, o in zip(features, own)]))
     weight = 1 / (F.col("__d") + 1e-9) if strict else F.col("__d")
     last = len(edges)
     while True:
         low, high = F.greatest(F.col("__at") - ring, F.lit(0)), F.least(F.col("__at") + ring, F.lit(last))
         near = open_rows.withColumn("__cell", F.explode(F.sequence(low, high))).join(have, "__cell").withColumn("__d", distance)
-        near = near.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__d", "__k"))).filter(F.col("__n") <= k)
-        filled = near.groupBy(key).agg(F.try_divide(F.sum(F.col("__t") * weight), F.sum(weight) * (1 if strict else k)).alias("__fill"), F.max("__d").alias("__far"), F.count("*").alias("__found"))
-        seen = F.least(F.col(first) - F.element_at(walls, (low + 1).cast("int")), F.element_at(walls, (high + 2).cast("int")) - F.col(first))
-        told = open_rows.join(filled, key, "left").withColumn("__sure", (F.coalesce("__found", F.lit(0)) >= k) & (F.col("__far") < seen) | F.lit(ring >= last))
+        near = near.withColumn("__n", F.row_number().over(Window.partitionBy("__ask").orderBy("__d", "__k"))).filter(F.col("__n") <= k)
+        filled = near.groupBy("__ask").agg(F.try_divide(F.sum(F.col("__t") * weight), F.sum(weight) * (1 if strict else k)).alias("__fill"), F.max("__d").alias("__far"), F.count("*").alias("__found"))
+        seen = F.least(F.col(own[best]) - F.element_at(walls, (low + 1).cast("int")), F.element_at(walls, (high + 2).cast("int")) - F.col(own[best]))
+        told = open_rows.join(filled, "__ask", "left").withColumn("__sure", (F.coalesce("__found", F.lit(0)) >= k) & (F.col("__far") < seen) | F.lit(ring >= last))
         told = stored(told, "neighbours")
-        sure = told.filter("__sure").select(key, "__fill")
+        sure = told.filter("__sure").select(*own, "__fill")
         done = sure if done is None else done.unionByName(sure)
-        open_rows = told.filter("NOT __sure").select(key, *features, "__at")
+        open_rows = told.filter("NOT __sure").select("__ask", *own, "__at")
         if ring >= last or not open_rows.limit(1).count():
             break
         ring = 2 * ring + 1
-    return df.join(done, key, "left").withColumn(target, F.coalesce(target, "__fill")).drop("__fill")
+    here = reduce(lambda a, b: a & b, [F.col(c).cast("double") == F.col(o) for c, o in zip(features, own)], F.col(target).isNull())
+    return df.join(done, here, "left").withColumn(target, F.coalesce(target, "__fill")).select(*df.columns)
 
 
 def training_columns(df: DataFrame, target: str, values: list[str]) -> list[str]:

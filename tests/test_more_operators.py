@@ -62,6 +62,26 @@ def test_knn_impute_against_brute_force(spark, features):
             assert math.isclose(got[r[0]], sum(w * v for w, (_, _, v) in zip(weights, near)) / sum(weights), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("features, width", [(["x"], 5)])
+def test_knn_impute_looks_up_each_set_of_features_once(spark, monkeypatch, features, width):
+    """Few different values of the first feature: rows don't meet all others that share it."""
+    met, inner = [], tables.stored
+    at = lambda r: r[1 : 1 + len(features)]
+    monkeypatch.setattr(tables, "stored", lambda df, label: (met.append((label, (out := inner(df, label)).count())), out)[1])
+    rng = random.Random(5)
+    rows = [(i, float(rng.randrange(5)), float(i % 400), None if i % 3 == 0 else float(i)) for i in range(3000)]
+    got = {r["i"]: r["v"] for r in tables.knn_impute(spark.createDataFrame(rows, "i int, x double, y double, v double"), "i", "v", features, 3).collect()}
+    sets = len({at(r) for r in rows if r[3] is None})
+    assert max(n for label, n in met if label == "neighbours") <= sets < 1000
+    if width == 5:
+        assert dict(met)["known-rows"] == 3 * 5
+    known = [r for r in rows if r[3] is not None]
+    for r in rows[:600:3]:
+        near = sorted((math.dist(at(r), at(k)), k[0], k[3]) for k in known)[:3]
+        weights = [1 / (d + 1e-9) for d, _, _ in near]
+        assert math.isclose(got[r[0]], sum(w * v for w, (_, _, v) in zip(weights, near)) / sum(weights), rel_tol=1e-9)
+
+
 def test_pairs_that_share_nothing_are_an_option(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "g string, e int")
     pairs = lambda **o: {(r["a"], r["b"]): r["jaccard"] for r in lists.jaccard(df, "g", "e", **o).collect()}
