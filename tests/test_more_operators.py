@@ -62,7 +62,7 @@ def test_knn_impute_against_brute_force(spark, features):
             assert math.isclose(got[r[0]], sum(w * v for w, (_, _, v) in zip(weights, near)) / sum(weights), rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("features, width", [(["x"], 5)])
+@pytest.mark.parametrize("features, width", [(["x"], 5), (["x", "y"], 400)])
 def test_knn_impute_looks_up_each_set_of_features_once(spark, monkeypatch, features, width):
     """Few different values of the first feature: rows don't meet all others that share it."""
     met, inner = [], tables.stored
