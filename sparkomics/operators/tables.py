@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkomics.operators.ordered import along
 from sparkomics.operators.storage import stored
 
 
@@ -172,6 +173,30 @@ def reciprocal_best(hits: DataFrame, other: DataFrame, query: str, subject: str,
     return a.join(b, (F.col(query) == F.col("__s")) & (F.col(subject) == F.col("__q"))).drop("__q", "__s")
 
 
+def nearest_hits(df: DataFrame, other: DataFrame, key: str, subject: str, by: str, value: str) -> DataFrame:
+    """query, subject, score: of each row of df those rows of `other` with the same `by` that may be its best hit, by the score
+    -abs(difference of value): without a pair for each two rows. Columns of `other` are `subject`, by and value.
+
+    Both are sorted into one line by `by` and value. On either side the nearest value, with its smallest subject, is the
+    best; where the next value on that side is as near by its double, all subjects that are as near are looked up.
+    """
+    entries = other.filter(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by, value).agg(F.min(subject).alias("__s"))
+    own = F.struct(by, F.col(value).alias("v"), F.col("__s").alias("s"))
+    entries = along(entries, [by, value], before={"__low": own}, after={"__high": own})
+    entry = F.struct(F.col(by).alias("g"), F.col(value).alias("v"), F.col("__s").alias("s"), *[F.when(F.col(c)[by] == F.col(by), F.col(c)["v"]).alias(n) for c, n in (("__low", "low"), ("__high", "high"))])
+    entries = entries.select(by, value, F.lit(1).alias("__kind"), F.lit(None).cast(df.schema[key].dataType).alias("__q"), entry.alias("__e"))
+    asks = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull()).select(by, value, F.lit(0).alias("__kind"), F.col(key).alias("__q"), F.lit(None).cast(entries.schema["__e"].dataType).alias("__e"))
+    line = along(asks.unionByName(entries), [by, value, "__kind", "__q"], last={"__last": F.col("__e")}, first={"__first": F.col("__e")}).filter("__kind = 0")
+    side = lambda c, beyond: F.when(F.col(c)["g"] == F.col(by), F.struct(F.col(c)["s"].alias("s"), F.abs(F.col(value) - F.col(c)["v"]).alias("gap"), F.abs(F.col(value) - F.col(c)[beyond]).alias("next")))
+    told = line.select(by, value, F.col("__q"), F.array_compact(F.array(side("__last", "low"), side("__first", "high"))).alias("__x"))
+    told = told.withColumn("__gap", F.array_min(F.transform("__x", lambda x: x["gap"]))).withColumn("__odd", F.exists("__x", lambda x: (x["gap"] == F.col("__gap")) & (x["next"] == x["gap"])))
+    told = stored(told, "nearest-hits")
+    hits = told.select("__q", F.explode("__x").alias("__x")).select(F.col("__q"), F.col("__x")["s"].alias("__s"), (-F.col("__x")["gap"]).alias("score"))
+    odd = told.filter("__odd").select("__q", by, F.col(value).alias("__v"), "__gap")
+    same = odd.join(other.select(by, value, F.col(subject).alias("__s")), by).filter(F.abs(F.col("__v") - F.col(value)) == F.col("__gap"))
+    return hits.unionByName(same.select("__q", "__s", (-F.col("__gap")).alias("score"))).select(F.col("__q").alias("query"), F.col("__s").alias("subject"), "score")
+
+
 def knn_impute(df: DataFrame, key: str, target: str, features: list[str], k: int = 3, strict: bool = True, known: DataFrame | None = None) -> DataFrame:
     """The rows with nulls of `target` filled from the k nearest rows that have it, by distance over `features`: rows of df,
     or of `known` where that is given.

@@ -82,6 +82,27 @@ def test_knn_impute_looks_up_each_set_of_features_once(spark, monkeypatch, featu
         assert math.isclose(got[r[0]], sum(w * v for w, (_, _, v) in zip(weights, near)) / sum(weights), rel_tol=1e-9)
 
 
+def test_nearest_hits_make_no_row_for_each_pair(spark):
+    """One group with ties on both sides, equal values, and values that are told apart from afar by no double."""
+    rng = random.Random(3)
+    a = [(i, 1 if i % 50 else None, rng.choice([round(rng.uniform(-9, 9), 1), 1e9])) for i in range(300)] + [(900, 2, 1.0), (901, 3, 5.0)]
+    b = [(i, rng.choice([1, 1, 2]), rng.choice([round(rng.uniform(-9, 9), 1), 1e-9, 2e-9, 3e-9])) for i in range(300)]
+    x, y = spark.createDataFrame(a, "q long, g int, v double"), spark.createDataFrame(b, "s long, g int, v double")
+    pairs = [(q, s, abs(v - w)) for q, g, v in a for s, h, w in b if g == h]
+    best = {q: min((d, s) for p, s, d in pairs if p == q)[1] for q in {p[0] for p in pairs}}
+    back = {s: min((d, q) for q, p, d in pairs if p == s)[1] for s in {p[1] for p in pairs}}
+    hits = tables.nearest_hits(x, y, "q", "s", "g", "v").toDF("q", "s", "score")
+    other = tables.nearest_hits(y, x, "s", "q", "g", "v").toDF("q", "s", "score")
+    got = {(r["q"], r["s"]) for r in tables.reciprocal_best(hits, other, "q", "s", "score").collect()}
+    assert got == {(q, s) for q, s in best.items() if back[s] == q} and got
+    first = {}
+    for r in hits.collect():
+        first.setdefault(r["q"], []).append((-r["score"], r["s"]))
+    assert {q: min(h)[1] for q, h in first.items()} == best
+    narrow = [tables.nearest_hits(z.filter("abs(v) > 0.05 AND v < 100"), w.filter("abs(v) > 0.05 AND v < 100"), k, m, "g", "v").count() for z, w, k, m in ((x, y, "q", "s"), (y, x, "s", "q"))]
+    assert max(narrow) <= 2 * 300
+
+
 def test_pairs_that_share_nothing_are_an_option(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "g string, e int")
     pairs = lambda **o: {(r["a"], r["b"]): r["jaccard"] for r in lists.jaccard(df, "g", "e", **o).collect()}
