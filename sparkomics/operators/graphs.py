@@ -61,8 +61,13 @@ def lookup_values(keys: DataFrame, mapping: DataFrame, key: str, field: str) ->
 
 
 def full_map(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """The full outer join of two identifier tables."""
-    return left.join(right, key, "full_outer")
+    """The full outer join of two identifier tables: the left one with what it finds, and the rest of the right one.
+
+    Spark's own holds all pairs of a key in memory before it hands on the first one; a left join those of one row.
+    """
+    rest = right.join(left.select(key), key, "left_anti")
+    lacking = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c != key]
+    return left.join(right, key, "left").unionAll(rest.select(key, *lacking, *[c for c in right.columns if c != key]))
 
 
 def linked_to(edges: DataFrame, keys: DataFrame, key: str, other: str) -> DataFrame:

@@ -103,6 +103,18 @@ def test_nearest_hits_make_no_row_for_each_pair(spark):
     assert max(narrow) <= 2 * 300
 
 
+def test_full_map_holds_no_pairs_of_a_key(spark):
+    rows = lambda seed, n: [(k if (k := random.Random(seed * 1000 + i).randrange(12)) else None, i) for i in range(n)]
+    a, b = rows(1, 30) + [(77, 90)], rows(2, 20) + [(88, 91), (88, 92)]
+    left, right = spark.createDataFrame(a, "k int, x long"), spark.createDataFrame(b, "k int, y int")
+    out = graphs.full_map(left, right, "k")
+    want = [(k, x, y) for k, x in a for h, y in b if k == h and k is not None]
+    want += [(k, x, None) for k, x in a if k is None or k not in dict(b)] + [(k, None, y) for k, y in b if k is None or k not in dict(a)]
+    order = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(map(tuple, out.collect()), key=order) == sorted(want, key=order)
+    assert out.dtypes == [("k", "int"), ("x", "bigint"), ("y", "int")] and "FullOuter" not in out._jdf.queryExecution().toString()
+
+
 def test_pairs_that_share_nothing_are_an_option(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "g string, e int")
     pairs = lambda **o: {(r["a"], r["b"]): r["jaccard"] for r in lists.jaccard(df, "g", "e", **o).collect()}
