@@ -219,3 +219,20 @@ def test_weights_below_nodes(spark, tile, method):
     own = stored(matrices.weights_below(placed, "row", "at", "v", 0.7, tile=tile), "weights")
     got = {r["node"]: r["modularity"] for r in H.modularity(own, own.agg(F.sum("inside").alias("total")), nodes, 0.7, method).collect()}
     assert own.filter("inside > 0").count() < len(pairs) and got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("name", ["modularity_partition"])
+def test_queries_keep_no_table_of_pairs(spark, name, monkeypatch):
+    """Neither query reads a stored table with a row for each pair of columns; the order comes with the tiles."""
+    from sparkomics.plans import matrix_queries, registry
+
+    cells = spark.range(9).selectExpr("id AS m", "explode(sequence(0, 199)) AS c").selectExpr("m", "c", "CAST(pmod(xxhash64(m, c), 1000) AS DOUBLE) AS v")
+    sizes = []
+    monkeypatch.setattr(matrix_queries, "cells", lambda *_: cells)
+    monkeypatch.setattr(matrix_queries, "_LINKED", {})
+    monkeypatch.setattr(matrices, "TILE", 16)
+    for module in (matrices, H, matrix_queries):
+        monkeypatch.setattr(module, "stored", lambda df, label: (sizes.append(out.count()), out)[1] if (out := stored(df, label)) is not None else None)
+    out = registry.queries()[name](spark, "")
+    assert out.count() == (200 * 201 // 2 if name == "seriated_correlations" else 200)
+    assert sizes and max(sizes) < 200 * 201 // 2
