@@ -221,7 +221,7 @@ def test_weights_below_nodes(spark, tile, method):
     assert own.filter("inside > 0").count() < len(pairs) and got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
 
 
-@pytest.mark.parametrize("name", ["modularity_partition"])
+@pytest.mark.parametrize("name", ["seriated_correlations", "modularity_partition"])
 def test_queries_keep_no_table_of_pairs(spark, name, monkeypatch):
     """Neither query reads a stored table with a row for each pair of columns; the order comes with the tiles."""
     from sparkomics.plans import matrix_queries, registry
