@@ -115,7 +115,7 @@ def test_full_map_holds_no_pairs_of_a_key(spark):
     assert out.dtypes == [("k", "int"), ("x", "bigint"), ("y", "int")] and "FullOuter" not in out._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["diffex_summary"])
+@pytest.mark.parametrize("name", ["diffex_summary", "sig_any"])
 def test_means_at_a_limit_do_not_depend_on_how_rows_are_dealt(spark, tmp_path, name):
     """Sums go by the rows' order in the file, from whatever pieces of it tasks read."""
     import duckdb
