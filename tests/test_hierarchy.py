@@ -180,6 +180,22 @@ def pairs_of(m):
     return out
 
 
+def test_correlations_go_nowhere_from_where_tiles_meet(spark):
+    """Names come with the tiles: the pairs, whose number is the square of the columns', are in no join and no shuffle."""
+    cells, _ = matrix_of(spark, 20, 12, 1)
+    plan = matrices.correlation_table(cells, "row", "col", "v", tile=3)._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "FlatMapGroupsInArrow"
+
+
+def test_p_values_of_all_degrees():
+    r = np.array([0.0, 1e-6, 0.2, -0.5, 0.9, -0.999, 1.0, np.nan])
+    for n in (3, 4, 5, 6, 9, 80, 81, 402, 403, 5000):
+        k = np.full(r.shape, float(n))
+        with np.errstate(divide="ignore"):
+            want = matrices.t_tails(np.sqrt(r * r * (k - 2) / (1 - r * r)), k - 2)
+        assert np.allclose(matrices._p_values(r, k), want, rtol=1e-9, atol=1e-300, equal_nan=True), n
+
+
 @pytest.mark.parametrize("tile, rows", [(3, 512), (256, 512), (3, 4)])
 def test_edges_for_single_linkage(spark, tile, rows, monkeypatch):
     if rows == 4:
